@@ -9,67 +9,72 @@ from pyspark.sql import functions as F
 
 from .columns import DateLike, as_date
 
-# Spellings whose time of day is dropped, as (token pattern, format).
-DATE_ONLY_FORMATS = (
-    (r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?:$|\s)", "M/d/yyyy"),
-    (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:$|\s|T)", "yyyy-MM-dd"),
-    (r"^([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})(?:$|\s)", "yyyy/M/d"),
+# Spellings whose time of day is dropped, and their formats.
+WHOLE_DAY_PATTERN = (
+    r"^(?:([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2})(?:$|\s)"
+    r"|([0-9]{4}-[0-9]{2}-[0-9]{2})(?:$|\s|T))"
 )
+WHOLE_DAY_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy/M/d")
 
 # Further spellings, tried in order, which keep a time of day.
-# Day-first comes last: it is only reached when month-first is impossible.
+# Day-first is only reached where month-first is impossible.
 LENIENT_FORMATS = (
-    "M/d/yyyy",
-    "M/d/yy",
-    "M-d-yyyy",
-    "M-d-yy",
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "yyyy.M.d",
-    "yyyyMMdd",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "d-MMM-yyyy",
-    "d-MMM-yy",
-    "d/M/yyyy",
-    "d-M-yyyy",
+    ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd"),
+    ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy"),
+    ("d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy"),
+    ("d/M/yyyy", "d-M-yyyy"),
 )
 
-_CLOCK = r"[\sT]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:\.[0-9]+)?\s*([AaPp][Mm])?$"
+# The same with two-digit years, which lie between 1975 and 2074.
+SHORT_YEAR_FORMATS = (("M/d/yy", "M-d-yy", "d-MMM-yy"), ("d/M/yy", "d-M-yy"))
+SHORT_YEAR_LIMIT = 2075
+
+_CLOCK = r"[\sT]+([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?(?:\.[0-9]+)?\s*([AaPp][Mm])?$"
+
+
+def _parse(text: Column, *groups: tuple[str, ...]) -> Column:
+    """Date by the first format that fits. The formats of a group are tried in one go."""
+    present = F.nullif(text, F.lit(""))
+    return F.coalesce(
+        *[F.try_to_date(present, "".join(f"[{fmt}]" for fmt in group)) for group in groups]
+    )
+
+
+def _time_of_day(value: Column) -> Column:
+    """Clock time at the end of the text as an interval; null when it is not one."""
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(value, "(?U)" + _CLOCK, group)
+
+    def hours(n: int) -> Column:
+        return F.expr(f"INTERVAL '{n}' HOUR")
+
+    seconds = F.coalesce(F.nullif(part(2), F.lit("")), F.lit(":00"))
+    clock = F.concat(part(1), seconds).try_cast("interval hour to second")
+    half = F.lower(part(3))
+    shifted = (
+        F.when((half == "pm") & (clock < hours(12)), clock + hours(12))
+        .when((half == "am") & (clock >= hours(12)), clock - hours(12))
+        .otherwise(clock)
+    )
+    return F.when(shifted < hours(24), shifted)
 
 
 def parse_date(column: Column) -> Column:
     """Mixed-format date text to ``TIMESTAMP_NTZ``; null when no listed spelling fits."""
     value = F.regexp_replace(column.cast("string"), r"(?U)^\s+|\s+$", "")
-    whole_days = [
-        F.try_to_date(F.nullif(F.regexp_extract(value, "(?U)" + pattern, 1), F.lit("")), fmt)
-        for pattern, fmt in DATE_ONLY_FORMATS
-    ]
+    token = F.regexp_extract(value, "(?U)" + WHOLE_DAY_PATTERN, 0)
+    token = F.regexp_replace(token, r"(?U)[\sT]$", "")
+    whole_day = _parse(token, WHOLE_DAY_FORMATS)
 
-    day_part = F.regexp_replace(value, "(?U)" + _CLOCK, "")
-    lenient_day = F.coalesce(*[F.try_to_date(day_part, fmt) for fmt in LENIENT_FORMATS])
+    def lenient(text: Column) -> Column:
+        short = _parse(text, *SHORT_YEAR_FORMATS)
+        short = F.when(F.year(short) >= SHORT_YEAR_LIMIT, F.add_months(short, -1200)).otherwise(short)
+        return F.coalesce(_parse(text, *LENIENT_FORMATS), short).cast("timestamp_ntz")
 
-    def clock(group: int) -> Column:
-        return F.coalesce(F.regexp_extract(value, "(?U)" + _CLOCK, group).try_cast("int"), F.lit(0))
-
-    half = F.lower(F.regexp_extract(value, "(?U)" + _CLOCK, 4))
-    hour = (
-        F.when((half == "pm") & (clock(1) < 12), clock(1) + 12)
-        .when((half == "am") & (clock(1) == 12), F.lit(0))
-        .otherwise(clock(1))
-    )
-    in_range = (hour < 24) & (clock(2) < 60) & (clock(3) < 60)
-    moment = lenient_day.cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), hour, clock(2), clock(3).cast("decimal(18,6)")
-    )
-    return F.coalesce(
-        *[day.cast("timestamp_ntz") for day in whole_days],
-        F.when(in_range, moment),
-    )
+    day_part = F.regexp_replace(value, "(?U)" + _CLOCK, "")
+    timed = F.when(value.contains(":"), lenient(day_part) + _time_of_day(value))
+    return F.coalesce(whole_day.cast("timestamp_ntz"), timed.otherwise(lenient(value)))
 
 
 def month_start(column: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +155,7 @@ def apply_rule_table(
         hit = F.lit(True)
         for column in _SEARCHED:
             wanted = rule.getField(f"{column}_contains")
-            found = F.forall(wanted, lambda n, c=column: F.col(f"_{c}").contains(F.lower(F.trim(n))))
+            found = F.forall(wanted, _is_in(F.col(f"_{column}")))
             hit = hit & (wanted.isNull() | found)
         gap = F.abs(F.col("_size") - F.abs(rule.getField("amount")))
         tolerance = F.coalesce(rule.getField("amount_tolerance"), F.lit(DEFAULT_TOLERANCE))
@@ -179,6 +179,10 @@ def apply_rule_table(
     )
 
 
+def _is_in(haystack: Column) -> Callable[[Column], Column]:
+    return lambda needle: haystack.contains(F.lower(F.trim(needle)))
+
+
 def _kept(df: DataFrame) -> list[str]:
     added = [c for c in ("sde_addback_flag", "sde_addback_reason") if c not in df.columns]
     return [*df.columns, *added]

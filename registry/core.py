@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,11 @@ def plain(df: DataFrame, digits: int = 2) -> DataFrame:
     return df.select(*shown)
 
 
+def two_decimals(name: str) -> Column:
+    """A number as text without digit grouping."""
+    return F.replace(F.format_number(name, 2), F.lit(","), F.lit(""))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,6 +22,7 @@ from .core import (
     rounded,
     size,
     table,
+    two_decimals,
 )
 from .ledger_queries import ADDBACK_ACCOUNTS, flagged
 
@@ -293,16 +294,27 @@ def chart_series(spark, sf_dir):
 ELAPSED, LEFT = 152, 181
 
 
+def plain_outlook(df, digits=0, columns=None):
+    """Rates and projections in whole units.
+
+    Cents times 487/2432 or 333/152 often end in exactly half a cent, where rounding to cents
+    would hang on the last bit of a sum.
+    """
+    wide = [c for c in df.columns if c in (columns or ()) or c.startswith(("monthly_", "proj_"))]
+    return plain(df.withColumns({c: F.round(c, digits) for c in wide}))
+
+
 @query(
     "run_rates",
     f"""WITH {FLAGGED}, {period_cte("period", f"is_pnl AND {IN_REPORT}", "entity")}
-    SELECT entity, {", ".join(f"round({c} / {ELAPSED} * 30.4375, 2) AS {c}" for c in PERIOD)} FROM period""",
+    SELECT entity, {", ".join(f"round({c} / {ELAPSED} * 30.4375, 0) AS {c}" for c in PERIOD)} FROM period""",
 )
 def run_rates(spark, sf_dir):
     metrics = ll.get_period_metrics(
         ll.report_window(flagged(spark, sf_dir), CUT_OVER, TODAY), by="entity"
     )
-    return plain(ll.calculate_run_rates(metrics, ll.days_between(CUT_OVER, TODAY), by="entity"))
+    rates = ll.calculate_run_rates(metrics, ll.days_between(CUT_OVER, TODAY), by="entity")
+    return plain_outlook(rates, columns=PERIOD)
 
 
 def projection(columns, actual: str = "o.", rate: str = "r.") -> str:
@@ -313,7 +325,7 @@ def projection(columns, actual: str = "o.", rate: str = "r.") -> str:
             return f"{actual}{c}"
         return f"({actual}{c} + {rate}{c} / {ELAPSED}.0 * {LEFT})"
 
-    return ", ".join(f"round({one(c)}, 2) AS {c}" for c in columns)
+    return ", ".join(f"round({one(c)}, 0) AS {c}" for c in columns)
 
 
 @query(
@@ -327,19 +339,21 @@ def forecast(spark, sf_dir):
     owner = ll.get_owner_metrics(rows, PERIOD_START, TODAY, CUT_OVER, by="entity")
     period = ll.get_period_metrics(ll.report_window(rows, CUT_OVER, TODAY), by="entity")
     rates = ll.calculate_run_rates(period, ll.days_between(CUT_OVER, TODAY), by="entity")
-    return plain(ll.forecast_year_1(owner, rates, ll.days_between(TODAY, YEAR_END), by="entity"))
+    outlook = ll.forecast_year_1(owner, rates, ll.days_between(TODAY, YEAR_END), by="entity")
+    return plain_outlook(outlook, columns=OWNER)
 
 
 @query(
     "financial_analysis",
     f"""WITH {FLAGGED_PLAIN}, {owner_cte(f"date <= DATE '{TODAY}'", by="entity")}, {period_cte("period", IN_REPORT, "entity")}
     SELECT o.entity, CAST(o.first_date AS VARCHAR) AS owner_period_start, {rounded(OWNER, prefix="o.")},
-      {", ".join(f"round(r.{c} / {ELAPSED} * 30.4375, 2) AS monthly_{c}" for c in PERIOD)},
+      {", ".join(f"round(r.{c} / {ELAPSED} * 30.4375, 0) AS monthly_{c}" for c in PERIOD)},
       {projection(OWNER).replace(" AS ", " AS proj_")}
     FROM owner o JOIN period r ON o.entity = r.entity""",
 )
 def financial_analysis(spark, sf_dir):
-    return plain(ll.financial_analysis(ledger(spark, sf_dir), TODAY, CUT_OVER, YEAR_END, by="entity"))
+    outlook = ll.financial_analysis(ledger(spark, sf_dir), TODAY, CUT_OVER, YEAR_END, by="entity")
+    return plain_outlook(outlook)
 
 
 DASHBOARD_RULES = [{"name": "big_bolts", "memo_contains": "bolt", "amount": 60000, "amount_tolerance": 20000}]
@@ -361,24 +375,24 @@ def dashboard(spark, sf_dir):
     "dashboard_metrics",
     f"""{DASHBOARD_SQL} SELECT entity, {rounded(PERIOD)}, round(t, 2) AS legacy_overhead_included, n AS legacy_overhead_rows,
       round(overhead + t, 2) AS adjusted_overhead, round(net_profit - t, 2) AS adjusted_net_profit, round(sde - t, 2) AS adjusted_sde,
-      {", ".join(f"round({c} / {ELAPSED} * 30.4375, 2) AS monthly_{c}" for c in PERIOD)},
-      {", ".join(f"round({c} {adj} + {c} / {ELAPSED}.0 * {LEFT}, 2) AS proj_{c}" for c, adj in [(c, "+ t" if c == "overhead" else "- t" if c in ("net_profit", "sde") else "") for c in PERIOD])}
+      {", ".join(f"round({c} / {ELAPSED} * 30.4375, 0) AS monthly_{c}" for c in PERIOD)},
+      {", ".join(f"round({c} {adj} + {c} / {ELAPSED}.0 * {LEFT}, 0) AS proj_{c}" for c, adj in [(c, "+ t" if c == "overhead" else "- t" if c in ("net_profit", "sde") else "") for c in PERIOD])}
     FROM both_sides""",
 )
 def dashboard_metrics(spark, sf_dir):
-    return plain(dashboard(spark, sf_dir))
+    return plain_outlook(dashboard(spark, sf_dir))
 
 
 @query(
     "dashboard_payload",
     f"""{DASHBOARD_SQL} SELECT entity, '{CUT_OVER}' AS report_start, '1998-07-31' AS legacy_end, '704,705,706,707,708' AS cogs_prefixes,
-      n AS july_overhead_selected_count, round(sde - t, 2) AS ytd_sde, round(net_profit - t + net_profit / {ELAPSED}.0 * {LEFT}, 2) AS proj_net,
+      n AS july_overhead_selected_count, round(sde - t, 2) AS ytd_sde, round(net_profit - t + net_profit / {ELAPSED}.0 * {LEFT}, 0) AS proj_net,
       round(net_profit, 2) AS qb_net_start_plus, round(t, 2) AS legacy_overhead_included,
-      round(revenue / {ELAPSED} * 30.4375, 2) AS monthly_revenue FROM both_sides""",
+      round(revenue / {ELAPSED} * 30.4375, 0) AS monthly_revenue FROM both_sides""",
 )
 def dashboard_payload(spark, sf_dir):
     record = ll.dashboard_payload(dashboard(spark, sf_dir), CUT_OVER, TODAY, YEAR_END, by="entity")
-    return plain(
+    return plain_outlook(
         record.select(
             "entity",
             "payload.config.report_start",
@@ -407,7 +421,7 @@ def raw_job_costs(spark, sf_dir):
             F.concat(F.lit("JOB-"), F.col("c_nationkey").cast("string")).alias("Project"),
             F.date_format("o_orderdate", "MM/dd/yyyy").alias("Date"),
             F.col("c_name").alias("Name"),
-            F.format_number("l_extendedprice", "0.00").alias("Total"),
+            two_decimals("l_extendedprice").alias("Total"),
             kind.alias("Cost Type"),
             F.col("o_orderpriority").alias("Memo"),
         )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import ledgerlake as ll
 
-from .core import plain, query, table
+from .core import plain, query, table, two_decimals
 
 STAMP = "'%Y-%m-%d %H:%M:%S'"
 
@@ -55,7 +55,7 @@ MONEY_SPELLINGS = ("${}", "- ${}", "({})", "abc", "+ ${}", "{}d", " {} ")
 )
 def parse_amounts(spark, sf_dir):
     which = F.col("event_id") % 7
-    grouped = F.format_number(F.round(F.col("value") * 100, 2), "#,##0.00")
+    grouped = F.format_number(F.round(F.col("value") * 100, 2), 2)
     spelt = F.lit(None).cast("string")
     for i, pattern in enumerate(MONEY_SPELLINGS):
         lead, tail = pattern.split("{}") if "{}" in pattern else (None, None)
@@ -121,7 +121,7 @@ def month_bounds(spark, sf_dir):
 def raw_ledger(spark, sf_dir):
     """Order lines as an untidy text export: odd names, repeats, blanks, subtotals, no amount."""
     number = F.col("l_linenumber")
-    price = F.format_number("l_extendedprice", "#,##0.00")
+    price = F.format_number("l_extendedprice", 2)
     dated = F.date_format("l_shipdate", "MM/dd/yyyy")
     return table(spark, sf_dir, "lineitem").select(
         F.lit("x").alias("Unnamed: 0"),
@@ -165,8 +165,8 @@ def clean_transaction_detail(spark, sf_dir):
         F.concat(F.lit("C"), F.col("l_suppkey").cast("string")).alias("Name"),
         F.lit(None).cast("string").alias("Memo"),
         F.col("l_returnflag").alias("Account"),
-        F.format_number("l_extendedprice", F.lit(2)).alias("_grouped"),
-        F.format_number("l_extendedprice", "0.00").alias("_bare"),
+        F.format_number("l_extendedprice", 2).alias("_grouped"),
+        two_decimals("l_extendedprice").alias("_bare"),
         F.col("l_linestatus").alias("Account Type"),
         number,
     )
@@ -181,7 +181,7 @@ def clean_transaction_detail(spark, sf_dir):
 
 def raw_register(spark, sf_dir):
     """Events as a bank export."""
-    grouped = F.format_number(F.round(F.col("value") * 100, 2), "#,##0.00")
+    grouped = F.format_number(F.round(F.col("value") * 100, 2), 2)
     sign = F.when(F.col("event_id") % 3 == 0, "- $").when(F.col("event_id") % 3 == 1, "+ $").otherwise("$")
     return table(spark, sf_dir, "events").select(
         F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "M/d/yyyy")).alias("Transaction Date"),
