@@ -11,70 +11,84 @@ from .columns import DateLike, as_date
 
 # Spellings whose time of day is dropped, and their formats.
 WHOLE_DAY_PATTERN = (
-    r"^(?:([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2})(?:$|\s)"
-    r"|([0-9]{4}-[0-9]{2}-[0-9]{2})(?:$|\s|T))"
+    r"(?U)^(?:(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2})(?:$|\s)"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:$|\s|T))"
 )
 WHOLE_DAY_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy/M/d")
 
-# Further spellings, tried in order, which keep a time of day.
-# Day-first is only reached where month-first is impossible.
+# Further spellings, which keep a time of day.
 LENIENT_FORMATS = (
-    ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd"),
-    ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy"),
-    ("d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy"),
-    ("d/M/yyyy", "d-M-yyyy"),
+    "M/d/yyyy",
+    "M-d-yyyy",
+    "yyyy-M-d",
+    "yyyy/M/d",
+    "yyyy.M.d",
+    "yyyyMMdd",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "MMM d yyyy",
+    "MMMM d yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
 )
 
-# The same with two-digit years, which lie between 1975 and 2074.
-SHORT_YEAR_FORMATS = (("M/d/yy", "M-d-yy", "d-MMM-yy"), ("d/M/yy", "d-M-yy"))
-SHORT_YEAR_LIMIT = 2075
+# Day-first spellings, only reached where month-first is impossible.
+DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy")
 
-_CLOCK = r"[\sT]+([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?(?:\.[0-9]+)?\s*([AaPp][Mm])?$"
+# Two-digit years, written out before parsing; they lie between 1975 and 2074.
+SHORT_YEARS = (
+    (r"^([0-9]{1,2}[/-][0-9A-Za-z]{1,3}[/-])(7[5-9]|[89][0-9])$", "$119$2"),
+    (r"^([0-9]{1,2}[/-][0-9A-Za-z]{1,3}[/-])([0-6][0-9]|7[0-4])$", "$120$2"),
+)
 
+CLOCK_PATTERN = (
+    r"(?U)[\sT]+([01]?[0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9]))?(?:\.[0-9]+)?\s*([AaPp][Mm])?$"
+)
 
-def _parse(text: Column, *groups: tuple[str, ...]) -> Column:
-    """Date by the first format that fits. The formats of a group are tried in one go."""
-    present = F.nullif(text, F.lit(""))
-    return F.coalesce(
-        *[F.try_to_date(present, "".join(f"[{fmt}]" for fmt in group)) for group in groups]
-    )
+
+def _parse(text: Column, formats: tuple[str, ...]) -> Column:
+    """Date by whichever format fits, tried in one go. The text must not be blank."""
+    return F.try_to_date(text, "".join(f"[{fmt}]" for fmt in formats))
 
 
 def _time_of_day(value: Column) -> Column:
-    """Clock time at the end of the text as an interval; null when it is not one."""
+    """Clock time at the end of the text as an interval."""
 
     def part(group: int) -> Column:
-        return F.regexp_extract(value, "(?U)" + _CLOCK, group)
-
-    def hours(n: int) -> Column:
-        return F.expr(f"INTERVAL '{n}' HOUR")
-
-    seconds = F.coalesce(F.nullif(part(2), F.lit("")), F.lit(":00"))
-    clock = F.concat(part(1), seconds).try_cast("interval hour to second")
-    half = F.lower(part(3))
-    shifted = (
-        F.when((half == "pm") & (clock < hours(12)), clock + hours(12))
-        .when((half == "am") & (clock >= hours(12)), clock - hours(12))
-        .otherwise(clock)
+        return F.regexp_extract(value, CLOCK_PATTERN, group)
+
+    def number(group: int) -> Column:
+        return F.coalesce(part(group).try_cast("int"), F.lit(0))
+
+    hour = (
+        F.when(part(4) == "", number(1))
+        .when(F.lower(part(4)) == "pm", number(1) % 12 + 12)
+        .otherwise(number(1) % 12)
     )
-    return F.when(shifted < hours(24), shifted)
+    return F.make_dt_interval(F.lit(0), hour, number(2), number(3).cast("decimal(18,6)"))
 
 
 def parse_date(column: Column) -> Column:
-    """Mixed-format date text to ``TIMESTAMP_NTZ``; null when no listed spelling fits."""
+    """Mixed-format date text to ``TIMESTAMP_NTZ``; null when no listed spelling fits.
+
+    Kept short on purpose: every step repeats the ones before it in the generated code.
+    """
     value = F.regexp_replace(column.cast("string"), r"(?U)^\s+|\s+$", "")
-    token = F.regexp_extract(value, "(?U)" + WHOLE_DAY_PATTERN, 0)
-    token = F.regexp_replace(token, r"(?U)[\sT]$", "")
-    whole_day = _parse(token, WHOLE_DAY_FORMATS)
-
-    def lenient(text: Column) -> Column:
-        short = _parse(text, *SHORT_YEAR_FORMATS)
-        short = F.when(F.year(short) >= SHORT_YEAR_LIMIT, F.add_months(short, -1200)).otherwise(short)
-        return F.coalesce(_parse(text, *LENIENT_FORMATS), short).cast("timestamp_ntz")
-
-    day_part = F.regexp_replace(value, "(?U)" + _CLOCK, "")
-    timed = F.when(value.contains(":"), lenient(day_part) + _time_of_day(value))
-    return F.coalesce(whole_day.cast("timestamp_ntz"), timed.otherwise(lenient(value)))
+    whole_day = F.when(
+        value.rlike(WHOLE_DAY_PATTERN),
+        _parse(F.regexp_replace(value, r"(?U)[\sT].*$", ""), WHOLE_DAY_FORMATS),
+    )
+    day = F.regexp_replace(value, CLOCK_PATTERN, "")
+    for pattern, year in SHORT_YEARS:
+        day = F.regexp_replace(day, pattern, year)
+    lenient = F.when(
+        day.rlike("[0-9]"), F.coalesce(_parse(day, LENIENT_FORMATS), _parse(day, DAY_FIRST_FORMATS))
+    )
+    clock = F.when(value.contains(":"), _time_of_day(value)).otherwise(
+        F.expr("INTERVAL '0 00:00:00' DAY TO SECOND")
+    )
+    return F.coalesce(whole_day.cast("timestamp_ntz"), lenient.cast("timestamp_ntz") + clock)
 
 
 def month_start(column: Column) -> Column:

@@ -27,9 +27,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there."""
+    """Write the rows to the checkpoint folder and go on from there.
+
+    The columns are renamed to themselves, which makes them new ones: tables cut from a common
+    origin can then be joined without ambiguity.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    return stored.select(*[F.col(c).alias(c) for c in stored.columns])
 
 
 def broadcast_if_small(stored: DataFrame, rows: int) -> DataFrame:
