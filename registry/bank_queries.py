@@ -32,7 +32,7 @@ def normalize_bank(spark, sf_dir):
     return plain(ll.normalize_bank_register(rows, keep="bank_id"))
 
 
-def matched_sql(by: str = "") -> str:
+def matched_sql(by: str = "", first: str = "date, ") -> str:
     """The greedy loop as a fold: the takers of one amount in order, each adding its pick.
 
     A fold's state has the type of its elements, hence the unused picks in every taker.
@@ -41,11 +41,11 @@ def matched_sql(by: str = "") -> str:
     same = f"q.{by} = b.{by} AND " if by else ""
     return f"""WITH {BANK},
 takers AS (SELECT {key}CAST(round_even(amount * 100, 0) AS BIGINT) AS cents,
-    list({{'x': date_diff('day', DATE '1970-01-01', date), 'picks': CAST([] AS BIGINT[])}} ORDER BY date, _row_id) AS wants,
-    list(_row_id ORDER BY date, _row_id) AS ids FROM bank_ledger GROUP BY ALL),
+    list({{'x': date_diff('day', DATE '1970-01-01', date), 'picks': CAST([] AS BIGINT[])}} ORDER BY {first}_row_id) AS wants,
+    list(_row_id ORDER BY {first}_row_id) AS ids FROM bank_ledger GROUP BY ALL),
 pool AS (SELECT {key}CAST(round_even(amount * 100, 0) AS BIGINT) AS cents,
-    list(date_diff('day', DATE '1970-01-01', date) ORDER BY date, bank_id) AS days,
-    list(bank_id ORDER BY date, bank_id) AS ids FROM bank GROUP BY ALL),
+    list(date_diff('day', DATE '1970-01-01', date) ORDER BY {first}bank_id) AS days,
+    list(bank_id ORDER BY {first}bank_id) AS ids FROM bank GROUP BY ALL),
 folded AS (SELECT {key.replace(by, "q." + by) if by else ""}q.cents, q.ids AS taker_ids, b.ids AS pool_ids,
     list_reduce(q.wants, lambda done, w: {{'x': w.x, 'picks': list_append(done.picks, coalesce(
         list_min([CASE WHEN abs(b.days[i] - w.x) <= 14 AND NOT list_contains(done.picks, i)
@@ -75,14 +75,23 @@ def match_ledger_bank_by_entity(spark, sf_dir):
     return result(spark, sf_dir, "entity").matched.select("entity", "qb_index", "bank_index")
 
 
-@query(
-    "match_ledger_bank_in_blocks",
-    f"{matched_sql()} SELECT qb_index, bank_index FROM matched",
-)
+@query("match_ledger_bank_by_day_counts", f"{matched_sql()} SELECT qb_index, bank_index FROM matched")
+def match_ledger_bank_by_day_counts(spark, sf_dir):
+    """The same result with the longer groups served from counts, as the hottest amounts are."""
+    found = ll.match_qb_and_bank(bank_ledger(spark, sf_dir), bank(spark, sf_dir), max_group_rows=50)
+    return found.matched.select("qb_index", "bank_index")
+
+
+@query("match_ledger_bank_in_blocks", f"{matched_sql(first='')} SELECT qb_index, bank_index FROM matched")
 def match_ledger_bank_in_blocks(spark, sf_dir):
-    """The same result with every longer group cut into blocks, as the hottest amounts are at scale."""
+    """Rows served in the order of their ids; the longer groups cut into blocks."""
     found = ll.match_qb_and_bank(
-        bank_ledger(spark, sf_dir), bank(spark, sf_dir), max_group_rows=100, block_rows=25
+        bank_ledger(spark, sf_dir),
+        bank(spark, sf_dir),
+        qb_order=["_row_id"],
+        bank_order=["bank_id"],
+        max_group_rows=100,
+        block_rows=50,
     )
     return found.matched.select("qb_index", "bank_index")
 
@@ -179,7 +188,7 @@ def match_bank_signed_tolerance(spark, sf_dir):
 
 @query("match_bank_signed_in_blocks", f"{SIGNED_SQL} SELECT bank_index, qb_index FROM matched")
 def match_bank_signed_in_blocks(spark, sf_dir):
-    found = signed(spark, sf_dir, max_group_rows=100, block_rows=25)
+    found = signed(spark, sf_dir, max_group_rows=100, block_rows=50)
     return found.matched.select("bank_index", "qb_index")
 
 
