@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import BROADCAST_ROWS
+
 HEADER_SEARCH_ROWS = 30
 _PEEK_LINES = 200
 _PEEK_THREADS = 16
@@ -82,9 +84,8 @@ def _decode(raw: bytes) -> str:
 
 
 def _peek_rows(spark: SparkSession, path: str) -> list[list[str]]:
-    reader = spark.read.option("encoding", "ISO-8859-1")
-    lines = [row.value for row in reader.text(path).limit(_PEEK_LINES).collect()]
-    content = _decode("\n".join(lines).encode("latin-1"))
+    top = spark.read.text(path).select(F.col("value").cast("binary")).limit(_PEEK_LINES)
+    content = _decode(b"\n".join(bytes(row.value) for row in top.collect()))
     rows = (r for r in csv.reader(io.StringIO(content)) if len(r) > 1 or any(c.strip() for c in r))
     return [row for _, row in zip(range(HEADER_SEARCH_ROWS), rows)]
 
@@ -147,8 +148,9 @@ def _read_group(
         )
     )
     if layout.skip_rows:
+        # One row per file, and never more files than may be broadcast: the rows keep their order.
         top = raw.where(F.col(BLOCK) == 0).groupBy(FILE).agg(F.min(LINE).alias("_top"))
-        raw = raw.join(top, FILE).where(
+        raw = raw.join(F.broadcast(top), FILE).where(
             (F.col(BLOCK) != 0) | (F.col(LINE) >= F.col("_top") + layout.skip_rows)
         )
     # A record with more cells than the header has columns cannot be trusted; shorter ones are padded.
@@ -191,8 +193,9 @@ def read_exports(
     parts = []
     for layout, members in groups.items():
         names = usable_names(layout.header)
-        if names:
-            parts.append(_read_group(spark, members, layout, multiline, names))
+        for start in range(0, len(members) if names else 0, BROADCAST_ROWS):
+            batch = members[start : start + BROADCAST_ROWS]
+            parts.append(_read_group(spark, batch, layout, multiline, names))
     if not parts:
         raise ValueError(f"no readable header under {paths!r}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
