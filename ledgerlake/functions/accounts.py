@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import any_of
+from .columns import any_of, strip
 
 # Words in an account type that mark the balance sheet. They win over the list below.
 BALANCE_SHEET_WORDS = (
@@ -37,7 +37,7 @@ def holds_any(lowered: Column, words: Iterable[str]) -> Column:
 def is_pnl_account_type(account_type: Column) -> Column:
     """True for profit-and-loss types; a missing or blank type is given the benefit of the doubt."""
     lowered = F.lower(F.coalesce(account_type, F.lit("")))
-    blank = F.regexp_replace(lowered, r"(?U)^\s+|\s+$", "").isin("", "nan")
+    blank = strip(lowered).isin("", "nan")
     return (
         F.when(holds_any(lowered, BALANCE_SHEET_WORDS), F.lit(False))
         .when(holds_any(lowered, PROFIT_AND_LOSS_WORDS), F.lit(True))

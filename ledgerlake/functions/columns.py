@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,18 @@ def keys(by: str | Sequence[str] | None) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+# The characters that count as blank at either end of a text.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(column: Column) -> Column:
+    """The text without blanks of any kind at its ends."""
+    return F.btrim(column, F.lit(BLANKS))
+
+
 def text(df: DataFrame, name: str) -> Column:
     """A text column with nulls read as blank; blank when the column is absent."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
@@ -64,6 +76,15 @@ def round_half_even(amount: Column, digits: int = 2) -> Column:
     return F.rint(amount * F.lit(scale)) / F.lit(scale)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row, however often ``body`` uses it.
+
+    A plain helper column gives no such promise: the optimizer may write its definition into
+    every place of use, also into the inner loop of a higher-order function.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     out = F.lit(False)
     for condition in conditions:

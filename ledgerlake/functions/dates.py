@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import DateLike, as_date
+from .columns import DateLike, as_date, bind, strip
 
 # Spellings whose time of day is dropped, and their formats.
 WHOLE_DAY_PATTERN = (
@@ -72,23 +72,33 @@ def _time_of_day(value: Column) -> Column:
 def parse_date(column: Column) -> Column:
     """Mixed-format date text to ``TIMESTAMP_NTZ``; null when no listed spelling fits.
 
-    Kept short on purpose: every step repeats the ones before it in the generated code.
+    The steps are bound as array elements: each is worked out once, and the generated code stays
+    small enough to be compiled where the result is both filtered on and projected.
     """
-    value = F.regexp_replace(column.cast("string"), r"(?U)^\s+|\s+$", "")
-    whole_day = F.when(
-        value.rlike(WHOLE_DAY_PATTERN),
-        _parse(F.regexp_replace(value, r"(?U)[\sT].*$", ""), WHOLE_DAY_FORMATS),
-    )
-    day = F.regexp_replace(value, CLOCK_PATTERN, "")
-    for pattern, year in SHORT_YEARS:
-        day = F.regexp_replace(day, pattern, year)
-    lenient = F.when(
+
+    def parsed(value: Column) -> Column:
+        whole_day = F.when(
+            value.rlike(WHOLE_DAY_PATTERN),
+            _parse(F.regexp_replace(value, r"(?U)[\sT].*$", ""), WHOLE_DAY_FORMATS),
+        )
+        day = F.regexp_replace(value, CLOCK_PATTERN, "")
+        for pattern, year in SHORT_YEARS:
+            day = F.regexp_replace(day, pattern, year)
+        clock = F.when(value.contains(":"), _time_of_day(value)).otherwise(
+            F.expr("INTERVAL '0 00:00:00' DAY TO SECOND")
+        )
+        return F.coalesce(
+            whole_day.cast("timestamp_ntz"), bind(day, _lenient).cast("timestamp_ntz") + clock
+        )
+
+    return bind(strip(column.cast("string")), parsed)
+
+
+def _lenient(day: Column) -> Column:
+    return F.when(
         day.rlike("[0-9]"), F.coalesce(_parse(day, LENIENT_FORMATS), _parse(day, DAY_FIRST_FORMATS))
     )
-    clock = F.when(value.contains(":"), _time_of_day(value)).otherwise(
-        F.expr("INTERVAL '0 00:00:00' DAY TO SECOND")
-    )
-    return F.coalesce(whole_day.cast("timestamp_ntz"), lenient.cast("timestamp_ntz") + clock)
+
 
 
 def month_start(column: Column) -> Column:

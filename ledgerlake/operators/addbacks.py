@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, keys, on_or_after, text
+from ..functions.columns import bind, flag, keys, on_or_after, strip, text
 from ..sources.rules import (
     DEFAULT_TOLERANCE,
     PAYROLL_RULE_NAME,
@@ -22,6 +22,9 @@ from ..sources.rules import (
 # Words that mark a transaction as an owner addback.
 BASE_TOKENS = ("xnp", "ng", "nathan", "owner", "personal")
 
+# Longest rule table that is written into the plan as a constant.
+RULES_IN_PLAN = 10_000
+
 RuleLike = AddbackRule | Mapping
 _SEARCHED = ("account", "name", "memo")
 
@@ -136,37 +139,46 @@ def apply_rule_table(
     and is never multiplied or regrouped; the array is then searched in place.
     """
     by = keys(by)
-    present = [f.name for f in RULE_SCHEMA.fields if f.name in rules.columns]
+    if "name" not in rules.columns:
+        raise ValueError("a rule table needs a 'name' column")
     absent = [f for f in RULE_SCHEMA.fields if f.name not in rules.columns]
     full = rules.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}) if absent else rules
-    records = F.struct(F.col(order).alias("pos"), *[F.col(f.name) for f in RULE_SCHEMA.fields])
-    gathered = F.array_sort(F.collect_list(records)).alias("_rules")
-    if "name" not in present:
-        raise ValueError("a rule table needs a 'name' column")
-
+    # Everything about a rule that does not depend on the row is settled here, once per rule.
+    ready = {
+        **{f"{c}_contains": F.transform(f"{c}_contains", _needle) for c in _SEARCHED},
+        "amount": F.abs("amount"),
+        "amount_tolerance": F.coalesce(F.col("amount_tolerance"), F.lit(DEFAULT_TOLERANCE)),
+    }
+    records = F.struct(
+        F.col(order).alias("pos"),
+        *[ready.get(f.name, F.col(f.name)).alias(f.name) for f in RULE_SCHEMA.fields],
+    )
+    gathered = F.array_sort(F.collect_list(records))
     if by:
-        with_rules = df.join(full.groupBy(*by).agg(gathered), by, "left")
+        df_rules = df.join(full.groupBy(*by).agg(gathered.alias("_rules")), by, "left")
+        own_rules = F.col("_rules")
     else:
-        with_rules = df.withColumn("_rules", full.agg(gathered).scalar())
+        df_rules, own_rules = _common_rules(df, full, gathered)
 
-    searched = {f"_{c}": F.lower(text(df, c)) for c in _SEARCHED}
+    row = F.struct(
+        *[F.lower(text(df, c)).alias(c) for c in _SEARCHED],
+        _magnitude(df).alias("size"),
+        (F.col("date") if "date" in df.columns else F.lit(None).cast("date")).alias("date"),
+    )
 
-    def holds(rule: Column) -> Column:
-        hit = F.lit(True)
+    def holds(row: Column, rule: Column) -> Column:
+        """Cheap tests first: the others are only made where those hold."""
+        hit = rule["amount"].isNull() | (F.abs(row["size"] - rule["amount"]) <= rule["amount_tolerance"])
+        hit = hit & (rule["start_date"].isNull() | (row["date"] >= rule["start_date"]))
         for column in _SEARCHED:
-            wanted = rule.getField(f"{column}_contains")
-            found = F.forall(wanted, _is_in(F.col(f"_{column}")))
-            hit = hit & (wanted.isNull() | found)
-        gap = F.abs(F.col("_size") - F.abs(rule.getField("amount")))
-        tolerance = F.coalesce(rule.getField("amount_tolerance"), F.lit(DEFAULT_TOLERANCE))
-        hit = hit & (rule.getField("amount").isNull() | (gap <= tolerance))
-        start = rule.getField("start_date")
-        return F.coalesce(hit & (start.isNull() | (F.col("date") >= start)), F.lit(False))
-
-    names = F.transform(F.col("_hits"), lambda r: F.concat(F.lit("rule="), r.getField("name")))
+            wanted = rule[f"{column}_contains"]
+            hit = hit & (wanted.isNull() | F.forall(wanted, row[column].contains))
+        return F.coalesce(hit, F.lit(False))
+
+    hits = bind(row, lambda row: F.filter(own_rules, lambda rule: holds(row, rule)))
+    names = F.transform(F.col("_hits"), lambda r: F.concat(F.lit("rule="), r["name"]))
     return (
-        with_rules.withColumns({**searched, "_size": _magnitude(df)})
-        .withColumn("_hits", F.coalesce(F.filter(F.col("_rules"), holds), F.array()))
+        df_rules.withColumn("_hits", F.coalesce(hits, F.array()))
         .withColumns(
             {
                 "sde_addback_flag": flag(df, "sde_addback_flag") | (F.size("_hits") > 0),
@@ -179,8 +191,22 @@ def apply_rule_table(
     )
 
 
-def _is_in(haystack: Column) -> Callable[[Column], Column]:
-    return lambda needle: haystack.contains(F.lower(F.trim(needle)))
+def _common_rules(df: DataFrame, rules: DataFrame, gathered: Column) -> tuple[DataFrame, Column]:
+    """The one array that all rows are tested against: part of the plan while it is small.
+
+    As a constant it is shared; a longer one is carried by the rows.
+    """
+    size = F.count(F.lit(1))
+    packed = F.when(size <= RULES_IN_PLAN, F.to_json(gathered))
+    table = rules.agg(gathered.alias("_rules"))
+    constant = rules.agg(packed).first()[0]
+    if constant is None:
+        return df.withColumn("_rules", table.scalar()), F.col("_rules")
+    return df, F.from_json(F.lit(constant), table.schema["_rules"].dataType)
+
+
+def _needle(text: Column) -> Column:
+    return strip(F.lower(text))
 
 
 def _kept(df: DataFrame) -> list[str]:

@@ -13,7 +13,7 @@ from ..functions.accounts import (
     holds_any,
     is_pnl_account_type,
 )
-from ..functions.columns import membership, text
+from ..functions.columns import membership, strip, text
 
 REVENUE, COGS, OVERHEAD, OTHER = "Revenue", "COGS", "Overhead", "Other"
 
@@ -36,7 +36,7 @@ def classify_transactions(df: DataFrame, cogs_prefixes: Iterable[str] | None = N
     )
     job_cost = (
         kind.contains("cost of goods sold")
-        | (kind.contains("cogs") & kind.rlike(r"(?U)^\s*cogs\s*\z"))
+        | (strip(kind) == "cogs")
         | membership(F.col("account_prefix"), prefixes)
     )
     return (

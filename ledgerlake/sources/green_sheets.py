@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import text
+from ..functions.columns import strip, text
 from .bank import _snake_columns
 from .ledger import number_of, timestamp_of
 
@@ -36,6 +36,6 @@ def load_green_sheets(df: DataFrame) -> DataFrame:
         {
             "date": timestamp_of(sheet, "date"),
             "amount": F.coalesce(number_of(sheet, "amount"), F.lit(0.0)),
-            "cost_type": F.regexp_replace(F.lower(text(sheet, "cost_type")), r"(?U)^\s+|\s+$", ""),
+            "cost_type": strip(F.lower(text(sheet, "cost_type"))),
         }
     )
