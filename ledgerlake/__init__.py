@@ -61,4 +61,5 @@ from .plans.dashboard import (
     write_json,
 )
 from .plans.kpi_report import kpi_periods, kpi_report
+from .plans.reconcile import Reconciliation, reconcile_exports, reconcile_ledger
 from .sources import *  # noqa: F403

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import keys, text
 from ..functions.text import describe
-from .layout import BLOCK, FILE, LINE, first_present, read_exports, select_positions, snake
+from .layout import (
+    BLOCK,
+    FILE,
+    LINE,
+    first_present,
+    read_exports,
+    select_positions,
+    snake,
+    with_file_order,
+)
 from .ledger import number_of, timestamp_of
 
 # Names under which a bank register's date and description may appear, best first.
@@ -36,10 +45,18 @@ def clean_bank_export(raw: DataFrame) -> DataFrame:
 
 
 def load_bank_export(
-    spark: SparkSession, paths: str | Sequence[str], *, multiline: bool = True, same_layout: bool = False
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    *,
+    multiline: bool = True,
+    same_layout: bool = False,
+    with_ids: bool = False,
 ) -> DataFrame:
-    raw = read_exports(spark, paths, multiline=multiline, same_layout=same_layout)
-    return clean_bank_export(raw.drop(FILE, BLOCK, LINE))
+    """Bank CSV exports; ``with_ids`` adds ``bank_id`` and ``_pos``, numbering rows in file order."""
+    df = clean_bank_export(read_exports(spark, paths, multiline=multiline, same_layout=same_layout))
+    if with_ids:
+        df = with_file_order(df).withColumn("bank_id", F.col("_pos").cast("string"))
+    return df.drop(FILE, BLOCK, LINE)
 
 
 def normalize_bank_register(df: DataFrame, keep: str | Sequence[str] = ()) -> DataFrame:

@@ -226,3 +226,39 @@ def test_currency(spark, one):
 def test_month_helpers(spark):
     assert ll.prior_month("2025-03-15") == (dt.date(2025, 2, 1), dt.date(2025, 2, 28))
     assert ll.days_between("2025-08-01", "2025-08-31") == 30
+
+
+def test_reconcile_exports(spark, tmp_path, one):
+    bank = write(
+        tmp_path / "bank.csv",
+        "Transaction Date,Transaction Description,Amount\n"
+        "08/20/2025,Check 7,- $100.00\n08/05/2025,Deposit,+ $50\n08/05/2025,Deposit,+ $50\n08/09/2025,Fee,- $9\n",
+    )
+    ledger = write(
+        tmp_path / "ledger.csv",
+        "Date,Num,Account,Name,Amount\n"
+        "08/10/2025,7,PNC Checking,Smith,-100.00\n08/06/2025,,PNC Checking,Cust,50\n"
+        "08/04/2025,,pnc checking,Cust,-50.01\n08/09/2025,,Cash,Fee,-9\n08/30/2025,,PNC,Late,1\n",
+    )
+    result, summary = ll.reconcile_exports(spark, bank, ledger)
+    got = sorted((r.bank_index, r.qb_index, r.qb_name, r.qb_num) for r in result.matched.collect())
+    assert got == [("0", "0", "Smith", "7"), ("1", "1", "Cust", ""), ("2", "2", "Cust", "")]
+    totals = one(summary)
+    assert (totals["total_matched"], totals["total_unmatched_bank"], totals["unmatched_bank_amount"]) == (3, 1, -9)
+    assert (totals["total_unmatched_qb"], totals["unmatched_qb_amount"]) == (1, 1)
+
+
+def test_reconcile_ledger(spark, one):
+    ledger = spark.createDataFrame(
+        [("1", "1/5/2025", "10", "N", "M"), ("2", "1/6/2025", "0", "N", "M"), ("3", "1/7/2025", "11", "", "x")],
+        "_row_id string, date string, amount string, name string, memo string",
+    )
+    bank = spark.createDataFrame(
+        [("a", "1/9/2025", "$10.00", "POS"), ("b", "1/9/2025", "(11.00)", "POS")],
+        "bank_id string, `Posting Date` string, Amount string, Description string",
+    )
+    result, summary = ll.reconcile_ledger(ledger, bank)
+    (row,) = result.matched.collect()
+    assert (row.qb_index, row.bank_index, row.qb_description, row.bank_description) == ("1", "a", "N | M", "POS")
+    totals = one(summary)
+    assert (totals["total_unmatched_bank"], totals["unmatched_bank_amount"], totals["total_unmatched_qb"]) == (1, -11, 1)
