@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.accounts import holds_any
 from ..functions.columns import bind, flag, keys, on_or_after, strip, text
 from ..sources.rules import (
     DEFAULT_TOLERANCE,
@@ -17,11 +19,15 @@ from ..sources.rules import (
     RULE_SCHEMA,
     AddbackRule,
     as_rules,
+    rules_table,
 )
 
 # Words that mark a transaction as an owner addback.
 BASE_TOKENS = ("xnp", "ng", "nathan", "owner", "personal")
 
+# Most tokens or rules that are written out as code; more of them are looped over.
+COMPILED = 30
+
 # Longest rule table that is written into the plan as a constant.
 RULES_IN_PLAN = 10_000
 
@@ -38,24 +44,32 @@ def detect_addbacks(
 ) -> DataFrame:
     """Flag rows whose name or memo holds one of the tokens as a whole word, then apply the rules.
 
-    One alternation over both texts decides whether a row is hit at all; which tokens hit it is
-    only worked out for those rows.
+    Plain substring tests on both texts rule out most rows; one alternation then decides whether a
+    row is hit at all; which tokens hit it is only worked out for those rows.
     """
-    tokens = [*BASE_TOKENS, *(t.lower() for t in custom_tokens or ())]
-    words = [re.escape(t) for t in tokens if t]
+    tokens = [t for t in (*BASE_TOKENS, *(t.lower() for t in custom_tokens or ())) if t]
+    words = [re.escape(t) for t in tokens]
     haystack = F.col("_haystack")
-    reason = F.concat_ws(
-        ", ",
-        *[
-            F.when(haystack.rlike(rf"(?U)\b{word}\b"), F.lit(f"token={token}"))
-            for word, token in zip(words, filter(None, tokens))
-        ],
-    )
+    hit = haystack.rlike(rf"(?U)\b(?:{'|'.join(words)})\b")
+    if len(tokens) <= COMPILED:
+        hit = holds_any(haystack, dict.fromkeys(tokens)) & hit
+        reason = F.concat_ws(
+            ", ",
+            *[
+                F.when(haystack.rlike(rf"(?U)\b{word}\b"), F.lit(f"token={token}"))
+                for word, token in zip(words, tokens)
+            ],
+        )
+    else:
+        pairs = [F.struct(F.lit(t).alias("token"), F.lit(rf"(?U)\b{w}\b").alias("word")) for t, w in zip(tokens, words)]
+        found = F.filter(F.array(*pairs), lambda pair: F.rlike(haystack, pair["word"]))
+        named = F.transform(found, lambda pair: F.concat(F.lit("token="), pair["token"]))
+        reason = F.array_join(named, ", ")
     out = (
         df.withColumn(
             "_haystack", F.lower(F.concat(text(df, "name"), F.lit("\n"), text(df, "memo")))
         )
-        .withColumn("sde_addback_flag", haystack.rlike(rf"(?U)\b(?:{'|'.join(words)})\b"))
+        .withColumn("sde_addback_flag", hit)
         .withColumn("sde_addback_reason", F.when(F.col("sde_addback_flag"), reason).otherwise(""))
         .drop("_haystack")
     )
@@ -71,12 +85,15 @@ def apply_addback_rules(
 ) -> DataFrame:
     """Flag rows by a list of rules, given as rule objects or JSON objects.
 
-    The list is compiled into one projection. Needles are literal text unless ``regex`` is set;
-    a malformed pattern or rule is an error.
+    A short list is compiled into one projection, a long one is searched as a table. Needles are
+    literal text unless ``regex`` is set; a malformed pattern or rule is an error.
     """
     parsed = as_rules(rules)
     if not parsed:
         return df
+    if len(parsed) > COMPILED and not regex:
+        dated = [replace(r, start_date=_start(r, payroll_start)) for r in parsed]
+        return apply_rule_table(df, rules_table(df.sparkSession, dated))
     hits = [(rule.name, _matches(df, rule, payroll_start, regex)) for rule in parsed]
     named = {f"_rule{i}": hit for i, (_, hit) in enumerate(hits)}
     reasons = [
@@ -110,6 +127,10 @@ def _magnitude(df: DataFrame) -> Column:
     return F.abs(F.coalesce(F.col("amount").try_cast("double"), F.lit(0.0)))
 
 
+def _start(rule: AddbackRule, payroll_start: dt.date) -> dt.date | None:
+    return rule.start_date or (payroll_start if rule.name == PAYROLL_RULE_NAME else None)
+
+
 def _matches(df: DataFrame, rule: AddbackRule, payroll_start: dt.date, regex: bool) -> Column:
     hit = F.lit(True)
     for column in _SEARCHED:
@@ -121,7 +142,7 @@ def _matches(df: DataFrame, rule: AddbackRule, payroll_start: dt.date, regex: bo
                 hit = hit & lowered.rlike("(?U)" + wanted)
             else:
                 hit = hit & lowered.contains(wanted)
-    start = rule.start_date or (payroll_start if rule.name == PAYROLL_RULE_NAME else None)
+    start = _start(rule, payroll_start)
     if start is not None:
         hit = hit & on_or_after(df, "date", start)
     if rule.amount is not None:

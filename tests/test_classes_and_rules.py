@@ -308,3 +308,22 @@ def test_redact(spark):
     out = ll.redact_text(rows)
     assert out.columns == ["note", "n"]
     assert [r.note for r in out.orderBy("n").collect()] == list(texts.values())
+
+
+def test_many_tokens_and_rules_give_what_few_give(make_ledger, monkeypatch):
+    rows = make_ledger(
+        [
+            ("2025-11-14", "Payroll", "Expense", "Owner + co", "Payroll (1)", 2880.0),
+            ("2025-11-20", "Payroll", "Expense", "Nathan", "payroll a.b", -2905.0),
+            ("2025-11-21", "Travel", "Expense", "x", None, None),
+        ]
+    )
+    tokens, rules = ["a.b", "co", "co"], [*ll.default_rules(), {"name": "all"}, {"name": "p", "memo_contains": "(1)"}]
+    few = reasons(ll.detect_addbacks(rows, tokens, rules))
+    monkeypatch.setattr("ledgerlake.operators.addbacks.COMPILED", 1)
+    assert reasons(ll.detect_addbacks(rows, tokens, rules)) == few
+    assert few[0] == (True, "token=owner, token=co, token=co, rule=all, rule=p")
+    monkeypatch.setattr("ledgerlake.operators.addbacks.RULES_IN_PLAN", 1)
+    assert reasons(ll.detect_addbacks(rows, tokens, rules)) == few
+    plenty = [f"word{i}" for i in range(400)]
+    assert [f for f, _ in reasons(ll.detect_addbacks(rows, plenty))] == [True, True, False]
