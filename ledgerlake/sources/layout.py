@@ -1,27 +1,28 @@
 """Reading delimited exports whose header, width and encoding are only known from the file.
 
-The header is looked for on the driver in a bounded peek at the top of each file. Everything
-else - parsing, width check, decoding - runs in the executors.
+The header is looked for in a bounded peek at the top of each file: on the driver for a few files,
+in one job for many. Everything else - parsing, width check, decoding - runs in the executors.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, broadcast_if_small, cut
 
 HEADER_SEARCH_ROWS = 30
 _PEEK_LINES = 200
 _PEEK_THREADS = 16
+_FEW_FILES = 256
 
 # Cell texts that count as missing.
 NULL_MARKERS = (
@@ -74,40 +75,94 @@ def first_present(names: Sequence[str], candidates: Iterable[str]) -> str | None
     return next((c for c in candidates if c in names), None)
 
 
-def _decode(raw: bytes) -> str:
-    for encoding in ("utf-8-sig", "cp1252"):
-        try:
-            return raw.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("latin-1")
-
+def _finder(header_words: Sequence[str]) -> Callable:
+    """The function that reads a layout off the top lines. Self-contained, as it also runs in tasks."""
+    wanted, most_rows = set(header_words), HEADER_SEARCH_ROWS
+
+    def find(lines):
+        """Header cells, whether they are on top, and rows to remove by their place in the file."""
+        import csv
+        import io
+
+        raw = b"\n".join(lines)
+        content = None
+        for encoding in ("utf-8-sig", "cp1252", "latin-1"):
+            try:
+                content = raw.decode(encoding)
+                break
+            except UnicodeDecodeError:
+                continue
+        parsed = csv.reader(io.StringIO(content))
+        rows = [row for row in parsed if len(row) > 1 or any(c.strip() for c in row)][:most_rows]
+        if not rows:
+            return [], True, 0
+        at = next(
+            (i for i, row in enumerate(rows) if wanted and wanted <= {c.strip().lower() for c in row}),
+            0,
+        )
+        # Rows above the header normally have no date and fall to the date filter later. Only a row
+        # that shows something in the date column has to be removed by its place in the file.
+        dated = [i for i, cell in enumerate(rows[at]) if "date" in cell.lower()]
+        risky = any(i < len(row) and row[i].strip() for row in rows[:at] for i in dated)
+        return rows[at], at == 0, at + 1 if risky else 0
 
-def _peek_rows(spark: SparkSession, path: str) -> list[list[str]]:
-    top = spark.read.text(path).select(F.col("value").cast("binary")).limit(_PEEK_LINES)
-    content = _decode(b"\n".join(bytes(row.value) for row in top.collect()))
-    rows = (r for r in csv.reader(io.StringIO(content)) if len(r) > 1 or any(c.strip() for c in r))
-    return [row for _, row in zip(range(HEADER_SEARCH_ROWS), rows)]
+    return find
 
 
 def discover_layout(spark: SparkSession, path: str, header_words: Sequence[str] = ()) -> Layout:
     """Find the first row that holds all ``header_words`` as whole cells; else the top row."""
-    rows = _peek_rows(spark, path)
-    if not rows:
-        return Layout((), True)
-    wanted = set(header_words)
-    at = next(
-        (i for i, row in enumerate(rows) if wanted and wanted <= {c.strip().lower() for c in row}),
-        0,
+    top = spark.read.text(path).select(F.col("value").cast("binary")).limit(_PEEK_LINES)
+    header, on_top, skip = _finder(header_words)([bytes(row.value) for row in top.collect()])
+    return Layout(tuple(header), on_top, skip)
+
+
+def discover_layouts(
+    spark: SparkSession, files: Sequence[str], header_words: Sequence[str] = ()
+) -> dict[Layout, list[str]]:
+    """The files of each layout. A few are peeked at one by one, many by one distributed job."""
+    if len(files) <= _FEW_FILES:
+        with ThreadPoolExecutor(_PEEK_THREADS) as pool:
+            found = list(pool.map(lambda f: (f, discover_layout(spark, f, header_words)), files))
+    else:
+        found = _discover_in_tasks(spark, files, header_words)
+    groups: dict[Layout, list[str]] = {}
+    for file, layout in sorted(found, key=lambda f: f[0]):
+        groups.setdefault(layout, []).append(file)
+    return groups
+
+
+def _discover_in_tasks(
+    spark: SparkSession, files: Sequence[str], header_words: Sequence[str]
+) -> list[tuple[str, Layout]]:
+    """One row per file comes back to the driver, as in the file listing it already keeps."""
+    find, most_lines = _finder(header_words), _PEEK_LINES
+
+    def run(batches):
+        import pandas as pd
+
+        tops: dict = {}
+        for batch in batches:
+            for file, values in batch.groupby("file", sort=False)["value"]:
+                lines = tops.setdefault(file, [])
+                lines.extend(values.iloc[: most_lines - len(lines)])
+        rows = [(file, *find(lines)) for file, lines in tops.items()]
+        yield pd.DataFrame(rows, columns=["file", "header", "on_top", "skip"])
+
+    first_splits = (
+        spark.read.text(list(files))
+        .where(F.col("_metadata.file_block_start") == 0)
+        .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
     )
-    header = tuple(rows[at])
-    if at == 0:
-        return Layout(header, True)
-    # Rows above the header normally have no date and fall to the date filter later. Only a row
-    # that shows something in the date column has to be removed by its place in the file.
-    dated = [i for i, cell in enumerate(header) if "date" in snake(cell)]
-    risky = any(i < len(row) and row[i].strip() for row in rows[:at] for i in dated)
-    return Layout(header, False, at + 1 if risky else 0)
+    schema = "file string, header array<string>, on_top boolean, skip int"
+    return [
+        (_as_path(row.file), Layout(tuple(row.header), row.on_top, row.skip))
+        for row in first_splits.mapInPandas(run, schema).collect()
+    ]
+
+
+def _as_path(uri: str) -> str:
+    """A listed file's address as a path that can be read: unescaped, and not taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def _text_cell(column: Column) -> Column:
@@ -176,7 +231,8 @@ def read_exports(
                      for very large files without such cells, which makes them splittable.
     ``same_layout``  all files share the layout of the first one: only that one is peeked at.
     """
-    files = sorted(spark.read.text(paths if isinstance(paths, str) else list(paths)).inputFiles())
+    listed = spark.read.text(paths if isinstance(paths, str) else list(paths)).inputFiles()
+    files = sorted(_as_path(uri) for uri in listed)
     if not files:
         raise FileNotFoundError(f"no files under {paths!r}")
     odd = [f for f in files if not f.lower().endswith(".csv")]
@@ -186,11 +242,7 @@ def read_exports(
     if same_layout:
         groups = {discover_layout(spark, files[0], header_words): files}
     else:
-        with ThreadPoolExecutor(_PEEK_THREADS) as pool:
-            layouts = list(pool.map(lambda f: discover_layout(spark, f, header_words), files))
-        groups = {}
-        for layout, file in zip(layouts, files):
-            groups.setdefault(layout, []).append(file)
+        groups = discover_layouts(spark, files, header_words)
 
     parts = []
     for layout, members in groups.items():
@@ -206,19 +258,19 @@ def read_exports(
 def with_file_order(df: DataFrame, name: str = "_pos") -> DataFrame:
     """Dense 0..n-1 number in file order, over the rows that are left.
 
-    Each input split is one run of rows whose line numbers rise. A first pass counts the rows of
-    every split (one row per split, not per record), the second adds a row's place within its
-    split to the rows before that split. No sort of the data is needed.
+    Each input split is one run of rows whose line numbers rise. A first pass, made when this is
+    called, counts the rows of every split (one row per split, not per record); the second adds a
+    row's place within its split to the rows before that split. The data is never sorted.
     """
     local = df.withColumn("_seq", F.monotonically_increasing_id())
     chunk = [FILE, BLOCK]
     sizes = local.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_from"))
     earlier = Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *chunk, "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    offsets = cut(
+        sizes.select(*chunk, "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     return (
-        local.join(offsets, chunk)
+        local.join(broadcast_if_small(offsets, offsets.count()), chunk)
         .withColumn(name, F.col("_before") + F.col("_seq") - F.col("_from"))
         .drop("_seq", "_before", "_from")
     )

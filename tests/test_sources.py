@@ -262,3 +262,16 @@ def test_reconcile_ledger(spark, one):
     assert (row.qb_index, row.bank_index, row.qb_description, row.bank_description) == ("1", "a", "N | M", "POS")
     totals = one(summary)
     assert (totals["total_unmatched_bank"], totals["unmatched_bank_amount"], totals["total_unmatched_qb"]) == (1, -11, 1)
+
+
+def test_layouts_found_in_tasks_equal_those_found_one_by_one(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    texts = [MESSY, "Date,Account,Amount\n1/2/2025,a,1\n", "Date,Account,Amount\n1/3/2025,b,2\n", "Café,Date\n1,2\n", ""]
+    for i, text in enumerate(texts):
+        write(folder / f"{i} export [{i}%].csv", text, "cp1252")
+    one_by_one = ll.load_ledger(spark, str(folder))
+    expected = rows(one_by_one, "_row_id", "account", "amount")
+    monkeypatch.setattr("ledgerlake.sources.layout._FEW_FILES", 1)
+    assert rows(ll.load_ledger(spark, str(folder)), "_row_id", "account", "amount") == expected
+    assert len(expected) == 6
