@@ -194,13 +194,13 @@ def match_bank_signed_in_blocks(spark, sf_dir):
 
 @query(
     "signed_reconcile_summary",
-    f"""{SIGNED_SQL} SELECT (SELECT count(*) FROM matched) AS total_matched, b.n AS total_unmatched_bank, round(b.s, 2) AS unmatched_bank_amount,
-      q.n AS total_unmatched_qb, round(q.s, 2) AS unmatched_qb_amount
+    f"""{SIGNED_SQL} SELECT (SELECT count(*) FROM matched) AS total_matched, b.n AS total_unmatched_bank, round(b.s, 3) AS unmatched_bank_amount,
+      q.n AS total_unmatched_qb, round(q.s, 3) AS unmatched_qb_amount
     FROM (SELECT count(*) AS n, coalesce(sum(amount), 0) AS s FROM jittered WHERE bank_id NOT IN (SELECT bank_index FROM matched)) b,
          (SELECT count(*) AS n, coalesce(sum(amount), 0) AS s FROM bank_ledger WHERE _row_id NOT IN (SELECT qb_index FROM matched)) q""",
 )
 def signed_reconcile_summary(spark, sf_dir):
-    return plain(ll.match_summary(signed(spark, sf_dir)))
+    return plain(ll.match_summary(signed(spark, sf_dir)), 3)
 
 
 INSIDE = f"date BETWEEN DATE '{START}' AND DATE '{END}'"

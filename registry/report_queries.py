@@ -294,20 +294,23 @@ def chart_series(spark, sf_dir):
 ELAPSED, LEFT = 152, 181
 
 
-def plain_outlook(df, digits=0, columns=None):
-    """Rates and projections in whole units.
+THIRD = "1 / 3.0"
 
-    Cents times 487/2432 or 333/152 often end in exactly half a cent, where rounding to cents
-    would hang on the last bit of a sum.
+
+def plain_outlook(df, columns=()):
+    """Rates and projections in whole units, a third added before rounding.
+
+    Cents times 487/2432 or 333/152 can end in exactly half a unit, where rounding would hang on
+    the last bit of a sum. With a third on top they never do.
     """
-    wide = [c for c in df.columns if c in (columns or ()) or c.startswith(("monthly_", "proj_"))]
-    return plain(df.withColumns({c: F.round(c, digits) for c in wide}))
+    wide = [c for c in df.columns if c in columns or c.startswith(("monthly_", "proj_"))]
+    return plain(df.withColumns({c: F.round(F.col(c) + F.lit(1 / 3), 0) for c in wide}))
 
 
 @query(
     "run_rates",
     f"""WITH {FLAGGED}, {period_cte("period", f"is_pnl AND {IN_REPORT}", "entity")}
-    SELECT entity, {", ".join(f"round({c} / {ELAPSED} * 30.4375, 0) AS {c}" for c in PERIOD)} FROM period""",
+    SELECT entity, {", ".join(f"round({c} / {ELAPSED} * 30.4375 + {THIRD}, 0) AS {c}" for c in PERIOD)} FROM period""",
 )
 def run_rates(spark, sf_dir):
     metrics = ll.get_period_metrics(
@@ -325,7 +328,7 @@ def projection(columns, actual: str = "o.", rate: str = "r.") -> str:
             return f"{actual}{c}"
         return f"({actual}{c} + {rate}{c} / {ELAPSED}.0 * {LEFT})"
 
-    return ", ".join(f"round({one(c)}, 0) AS {c}" for c in columns)
+    return ", ".join(f"round({one(c)} + {THIRD}, 0) AS {c}" for c in columns)
 
 
 @query(
@@ -347,7 +350,7 @@ def forecast(spark, sf_dir):
     "financial_analysis",
     f"""WITH {FLAGGED_PLAIN}, {owner_cte(f"date <= DATE '{TODAY}'", by="entity")}, {period_cte("period", IN_REPORT, "entity")}
     SELECT o.entity, CAST(o.first_date AS VARCHAR) AS owner_period_start, {rounded(OWNER, prefix="o.")},
-      {", ".join(f"round(r.{c} / {ELAPSED} * 30.4375, 0) AS monthly_{c}" for c in PERIOD)},
+      {", ".join(f"round(r.{c} / {ELAPSED} * 30.4375 + {THIRD}, 0) AS monthly_{c}" for c in PERIOD)},
       {projection(OWNER).replace(" AS ", " AS proj_")}
     FROM owner o JOIN period r ON o.entity = r.entity""",
 )
@@ -375,8 +378,8 @@ def dashboard(spark, sf_dir):
     "dashboard_metrics",
     f"""{DASHBOARD_SQL} SELECT entity, {rounded(PERIOD)}, round(t, 2) AS legacy_overhead_included, n AS legacy_overhead_rows,
       round(overhead + t, 2) AS adjusted_overhead, round(net_profit - t, 2) AS adjusted_net_profit, round(sde - t, 2) AS adjusted_sde,
-      {", ".join(f"round({c} / {ELAPSED} * 30.4375, 0) AS monthly_{c}" for c in PERIOD)},
-      {", ".join(f"round({c} {adj} + {c} / {ELAPSED}.0 * {LEFT}, 0) AS proj_{c}" for c, adj in [(c, "+ t" if c == "overhead" else "- t" if c in ("net_profit", "sde") else "") for c in PERIOD])}
+      {", ".join(f"round({c} / {ELAPSED} * 30.4375 + {THIRD}, 0) AS monthly_{c}" for c in PERIOD)},
+      {", ".join(f"round({c} {adj} + {c} / {ELAPSED}.0 * {LEFT} + {THIRD}, 0) AS proj_{c}" for c, adj in [(c, "+ t" if c == "overhead" else "- t" if c in ("net_profit", "sde") else "") for c in PERIOD])}
     FROM both_sides""",
 )
 def dashboard_metrics(spark, sf_dir):
@@ -386,9 +389,9 @@ def dashboard_metrics(spark, sf_dir):
 @query(
     "dashboard_payload",
     f"""{DASHBOARD_SQL} SELECT entity, '{CUT_OVER}' AS report_start, '1998-07-31' AS legacy_end, '704,705,706,707,708' AS cogs_prefixes,
-      n AS july_overhead_selected_count, round(sde - t, 2) AS ytd_sde, round(net_profit - t + net_profit / {ELAPSED}.0 * {LEFT}, 0) AS proj_net,
+      n AS july_overhead_selected_count, round(sde - t, 2) AS ytd_sde, round(net_profit - t + net_profit / {ELAPSED}.0 * {LEFT} + {THIRD}, 0) AS proj_net,
       round(net_profit, 2) AS qb_net_start_plus, round(t, 2) AS legacy_overhead_included,
-      round(revenue / {ELAPSED} * 30.4375, 0) AS monthly_revenue FROM both_sides""",
+      round(revenue / {ELAPSED} * 30.4375 + {THIRD}, 0) AS monthly_revenue FROM both_sides""",
 )
 def dashboard_payload(spark, sf_dir):
     record = ll.dashboard_payload(dashboard(spark, sf_dir), CUT_OVER, TODAY, YEAR_END, by="entity")
