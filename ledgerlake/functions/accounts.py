@@ -36,12 +36,15 @@ def holds_any(lowered: Column, words: Iterable[str]) -> Column:
 
 def is_pnl_account_type(account_type: Column) -> Column:
     """True for profit-and-loss types; a missing or blank type is given the benefit of the doubt."""
-    lowered = F.lower(F.coalesce(account_type, F.lit("")))
-    blank = strip(lowered).isin("", "nan")
+    return is_pnl_kind(F.lower(F.coalesce(account_type, F.lit(""))))
+
+
+def is_pnl_kind(kind: Column) -> Column:
+    """The same for a type already in lower case and not null."""
     return (
-        F.when(holds_any(lowered, BALANCE_SHEET_WORDS), F.lit(False))
-        .when(holds_any(lowered, PROFIT_AND_LOSS_WORDS), F.lit(True))
-        .otherwise(blank)
+        F.when(holds_any(kind, BALANCE_SHEET_WORDS), F.lit(False))
+        .when(holds_any(kind, PROFIT_AND_LOSS_WORDS), F.lit(True))
+        .otherwise(strip(kind).isin("", "nan"))
     )
 
 

@@ -11,7 +11,7 @@ from ..functions.accounts import (
     JOB_COST_PREFIXES,
     extract_account_prefix,
     holds_any,
-    is_pnl_account_type,
+    is_pnl_kind,
 )
 from ..functions.columns import membership, strip, text
 
@@ -42,7 +42,7 @@ def classify_transactions(df: DataFrame, cogs_prefixes: Iterable[str] | None = N
     return (
         df.withColumns({"_kind": F.lower(text(df, "account_type")), "_account": text(df, "account")})
         .withColumns(
-            {"is_pnl": is_pnl_account_type(kind), "account_prefix": extract_account_prefix(account)}
+            {"is_pnl": is_pnl_kind(kind), "account_prefix": extract_account_prefix(account)}
         )
         .withColumn(
             "is_revenue",

@@ -181,7 +181,12 @@ def _cells(record: Column) -> Column:
 
 
 def _read_group(
-    spark: SparkSession, files: list[str], layout: Layout, multiline: bool, names: list[tuple[int, str]]
+    spark: SparkSession,
+    files: list[str],
+    layout: Layout,
+    names: list[tuple[int, str]],
+    multiline: bool,
+    drop_wide: bool,
 ) -> DataFrame:
     width = len(layout.header)
     fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
@@ -210,6 +215,9 @@ def _read_group(
         )
     # A record with more cells than the header has columns cannot be trusted; shorter ones are padded.
     fits = F.col("_misfit").isNull() | (_cells(F.col("_misfit")) <= width)
+    if not drop_wide:
+        fault = F.concat(F.lit(f"expected {width} cells: "), F.col("_misfit"))
+        fits = F.when(fits, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))
     # Always true: Spark turns down queries that look at nothing but the misfit column.
     named = F.octet_length(F.concat_ws("", F.col("_c0"))) >= 0
     return raw.where(fits & named).select(
@@ -224,12 +232,14 @@ def read_exports(
     header_words: Sequence[str] = (),
     multiline: bool = True,
     same_layout: bool = False,
+    drop_wide: bool = False,
 ) -> DataFrame:
     """All-text rows of delimited exports under their clean header names, plus file position.
 
     ``multiline``    cells may hold line breaks. Each file is then read by one task; turn it off
                      for very large files without such cells, which makes them splittable.
     ``same_layout``  all files share the layout of the first one: only that one is peeked at.
+    ``drop_wide``    leave out records with more cells than the header; else they are an error.
     """
     listed = spark.read.text(paths if isinstance(paths, str) else list(paths)).inputFiles()
     files = sorted(_as_path(uri) for uri in listed)
@@ -249,7 +259,7 @@ def read_exports(
         names = usable_names(layout.header)
         for start in range(0, len(members) if names else 0, BROADCAST_ROWS):
             batch = members[start : start + BROADCAST_ROWS]
-            parts.append(_read_group(spark, batch, layout, multiline, names))
+            parts.append(_read_group(spark, batch, layout, names, multiline, drop_wide))
     if not parts:
         raise ValueError(f"no readable header under {paths!r}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -81,7 +81,12 @@ def load_ledger(
     it the id is the row's place (file, split, line) and costs nothing.
     """
     raw = read_exports(
-        spark, paths, header_words=("date", "account"), multiline=multiline, same_layout=same_layout
+        spark,
+        paths,
+        header_words=("date", "account"),
+        multiline=multiline,
+        same_layout=same_layout,
+        drop_wide=True,
     )
     df = clean_ledger(raw)
     if dense_ids:

@@ -275,3 +275,11 @@ def test_layouts_found_in_tasks_equal_those_found_one_by_one(spark, tmp_path, mo
     monkeypatch.setattr("ledgerlake.sources.layout._FEW_FILES", 1)
     assert rows(ll.load_ledger(spark, str(folder)), "_row_id", "account", "amount") == expected
     assert len(expected) == 6
+
+
+def test_wide_rows_are_an_error_outside_ledgers(spark, tmp_path):
+    path = write(tmp_path / "w.csv", "Transaction Date,Transaction Description,Amount\n1/2/2025,a,1\n1/2/2025,b,2,3\n")
+    with pytest.raises(Exception, match="expected 3 cells"):
+        ll.load_bank_export(spark, path).collect()
+    padded = write(tmp_path / "n.csv", "Transaction Date,Transaction Description,Amount\n1/2/2025,a\n\n1/3/2025,b,2\n")
+    assert ll.load_bank_export(spark, padded).count() == 2
