@@ -15,8 +15,7 @@ from .layout import (
     LINE,
     first_present,
     read_exports,
-    select_positions,
-    snake,
+    snake_columns,
     with_file_order,
 )
 from .ledger import number_of, timestamp_of
@@ -26,16 +25,9 @@ REGISTER_DATE_COLUMNS = ("date", "transaction_date", "posting_date")
 REGISTER_TEXT_COLUMNS = ("description", "transaction_description", "memo")
 
 
-def _snake_columns(df: DataFrame) -> DataFrame:
-    first: dict[str, int] = {}
-    for position, name in enumerate(df.columns):
-        first.setdefault(snake(name), position)
-    return select_positions(df, [(p, n) for n, p in first.items() if n])
-
-
 def clean_bank_export(raw: DataFrame) -> DataFrame:
     """``Transaction Date / Transaction Description / Amount`` rows, parsed; nothing is dropped."""
-    df = _snake_columns(raw)
+    df = snake_columns(raw)
     return df.withColumns(
         {
             "date": timestamp_of(df, "transaction_date"),
@@ -64,7 +56,7 @@ def normalize_bank_register(df: DataFrame, keep: str | Sequence[str] = ()) -> Da
 
     ``keep`` names further columns to carry along, such as entity keys and row order.
     """
-    bank = _snake_columns(df)
+    bank = snake_columns(df)
     date_column = first_present(bank.columns, REGISTER_DATE_COLUMNS)
     if date_column is None:
         raise ValueError("Bank register is missing a date-like column.")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import strip, text
-from .bank import _snake_columns
+from .layout import snake_columns
 from .ledger import number_of, timestamp_of
 
 # Source spelling -> our name, used only where our name is not there already.
@@ -25,7 +25,7 @@ COLUMNS = (
 
 def load_green_sheets(df: DataFrame) -> DataFrame:
     """Job costs under any usual header spelling, typed; absent columns are null."""
-    sheet = _snake_columns(df)
+    sheet = snake_columns(df)
     for source, target in RENAMES.items():
         if source in sheet.columns and target not in sheet.columns:
             sheet = sheet.withColumnRenamed(source, target)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..session import BROADCAST_ROWS, broadcast_if_small, cut
 
 HEADER_SEARCH_ROWS = 30
-_PEEK_LINES = 200
+PEEK_LINES = 200
 _PEEK_THREADS = 16
 _FEW_FILES = 256
 
@@ -66,6 +66,14 @@ def select_positions(df: DataFrame, picks: Iterable[tuple[int, str]]) -> DataFra
     return anonymous.select(*[F.col(f"_c{i}").alias(name) for i, name in picks])
 
 
+def snake_columns(df: DataFrame) -> DataFrame:
+    """Snake-case names; the first column of each name is kept."""
+    first: dict[str, int] = {}
+    for position, name in enumerate(df.columns):
+        first.setdefault(snake(name), position)
+    return select_positions(df, [(position, name) for name, position in first.items() if name])
+
+
 def normalize_ledger_columns(df: DataFrame) -> DataFrame:
     """Snake-case names; drop unnamed columns and repeats of a name."""
     return select_positions(df, usable_names(df.columns))
@@ -79,11 +87,15 @@ def _finder(header_words: Sequence[str]) -> Callable:
     """The function that reads a layout off the top lines. Self-contained, as it also runs in tasks."""
     wanted, most_rows = set(header_words), HEADER_SEARCH_ROWS
 
-    def find(lines):
-        """Header cells, whether they are on top, and rows to remove by their place in the file."""
+    def find(lines, whole):
+        """Header cells, whether they are on top, and rows to remove by their place in the file.
+
+        No header cells if the lines, not being the whole file, are too few to tell.
+        """
         import csv
         import io
 
+        csv.field_size_limit(2**31 - 1)
         raw = b"\n".join(lines)
         content = None
         for encoding in ("utf-8-sig", "cp1252", "latin-1"):
@@ -94,12 +106,14 @@ def _finder(header_words: Sequence[str]) -> Callable:
                 continue
         parsed = csv.reader(io.StringIO(content))
         rows = [row for row in parsed if len(row) > 1 or any(c.strip() for c in row)][:most_rows]
+        hits = (i for i, row in enumerate(rows) if wanted and wanted <= {c.strip().lower() for c in row})
+        at = next(hits, None)
+        if at is None:
+            if not whole and len(rows) < (most_rows if wanted else 2):
+                return None, False, 0
+            at = 0
         if not rows:
             return [], True, 0
-        at = next(
-            (i for i, row in enumerate(rows) if wanted and wanted <= {c.strip().lower() for c in row}),
-            0,
-        )
         # Rows above the header normally have no date and fall to the date filter later. Only a row
         # that shows something in the date column has to be removed by its place in the file.
         dated = [i for i, cell in enumerate(rows[at]) if "date" in cell.lower()]
@@ -109,11 +123,20 @@ def _finder(header_words: Sequence[str]) -> Callable:
     return find
 
 
-def discover_layout(spark: SparkSession, path: str, header_words: Sequence[str] = ()) -> Layout:
-    """Find the first row that holds all ``header_words`` as whole cells; else the top row."""
-    top = spark.read.text(path).select(F.col("value").cast("binary")).limit(_PEEK_LINES)
-    header, on_top, skip = _finder(header_words)([bytes(row.value) for row in top.collect()])
-    return Layout(tuple(header), on_top, skip)
+def discover_layout(
+    spark: SparkSession, path: str, header_words: Sequence[str] = (), lines: int = PEEK_LINES
+) -> Layout:
+    """Find the first row that holds all ``header_words`` as whole cells; else the top row.
+
+    Looks at a number of lines, and at more where cells with line breaks fill those up.
+    """
+    while True:
+        top = spark.read.text(path).select(F.col("value").cast("binary")).limit(lines)
+        seen = [bytes(row.value) for row in top.collect()]
+        header, on_top, skip = _finder(header_words)(seen, len(seen) < lines)
+        if header is not None:
+            return Layout(tuple(header), on_top, skip)
+        lines *= 8
 
 
 def discover_layouts(
@@ -135,7 +158,7 @@ def _discover_in_tasks(
     spark: SparkSession, files: Sequence[str], header_words: Sequence[str]
 ) -> list[tuple[str, Layout]]:
     """One row per file comes back to the driver, as in the file listing it already keeps."""
-    find, most_lines = _finder(header_words), _PEEK_LINES
+    find, most_lines = _finder(header_words), PEEK_LINES
 
     def run(batches):
         import pandas as pd
@@ -145,7 +168,7 @@ def _discover_in_tasks(
             for file, values in batch.groupby("file", sort=False)["value"]:
                 lines = tops.setdefault(file, [])
                 lines.extend(values.iloc[: most_lines - len(lines)])
-        rows = [(file, *find(lines)) for file, lines in tops.items()]
+        rows = [(file, *find(lines, len(lines) < most_lines)) for file, lines in tops.items()]
         yield pd.DataFrame(rows, columns=["file", "header", "on_top", "skip"])
 
     first_splits = (
@@ -154,10 +177,15 @@ def _discover_in_tasks(
         .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
     )
     schema = "file string, header array<string>, on_top boolean, skip int"
-    return [
-        (_as_path(row.file), Layout(tuple(row.header), row.on_top, row.skip))
-        for row in first_splits.mapInPandas(run, schema).collect()
-    ]
+    found = []
+    for row in first_splits.mapInPandas(run, schema).collect():
+        path = _as_path(row.file)
+        if row.header is None:
+            layout = discover_layout(spark, path, header_words, PEEK_LINES * 8)
+        else:
+            layout = Layout(tuple(row.header), row.on_top, row.skip)
+        found.append((path, layout))
+    return found
 
 
 def _as_path(uri: str) -> str:
@@ -175,8 +203,11 @@ def _text_cell(column: Column) -> Column:
 
 
 def _cells(record: Column) -> Column:
-    """Number of cells in a raw record, commas inside quotes not counted."""
-    unquoted = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    """Number of cells in a raw record, commas inside quotes not counted.
+
+    A doubled quote ends one quoted stretch and starts the next, which leaves nothing between them.
+    """
+    unquoted = F.regexp_replace(record, r'"[^"]*"', "")
     return F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
 
 

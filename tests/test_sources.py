@@ -283,3 +283,13 @@ def test_wide_rows_are_an_error_outside_ledgers(spark, tmp_path):
         ll.load_bank_export(spark, path).collect()
     padded = write(tmp_path / "n.csv", "Transaction Date,Transaction Description,Amount\n1/2/2025,a\n\n1/3/2025,b,2\n")
     assert ll.load_bank_export(spark, padded).count() == 2
+
+
+def test_header_below_a_very_long_cell(spark, tmp_path, monkeypatch):
+    long_title = '"' + "line\n" * 700 + '"'
+    texts = [f"{long_title}\nmore\nDate,Account,Amount\n1/2/2025,a,1\n", "Date,Account,Amount\n1/3/2025,b,2\n"]
+    for i, text in enumerate(texts):
+        write(tmp_path / f"{i}.csv", text)
+    for few in (256, 0):
+        monkeypatch.setattr("ledgerlake.sources.layout._FEW_FILES", few)
+        assert rows(ll.load_ledger(spark, str(tmp_path)), "account", "amount") == [("a", 1), ("b", 2)]
