@@ -37,6 +37,11 @@ def strip(column: Column) -> Column:
     return F.btrim(column, F.lit(BLANKS))
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text(df: DataFrame, name: str) -> Column:
     """A text column with nulls read as blank; blank when the column is absent."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
@@ -49,8 +54,19 @@ def flag(df: DataFrame, name: str, default: bool = False) -> Column:
     return F.coalesce(F.col(name).cast("boolean"), F.lit(False))
 
 
-def money(name: str = "amount") -> Column:
-    """A double whose NaNs count as missing, so that sums skip them."""
+def money(df: DataFrame, name: str = "amount") -> Column:
+    """The amount to sum: a decimal as it is, anything else as a double without NaNs.
+
+    Doubles give what double arithmetic gives. Decimals are summed exactly, in whatever order
+    the rows come, and turned into a double at the end.
+    """
+    if isinstance(df.schema[name].dataType, T.DecimalType):
+        return F.col(name)
+    return as_double(name)
+
+
+def as_double(name: str = "amount") -> Column:
+    """A double whose NaNs count as missing."""
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 

@@ -24,7 +24,7 @@ def build_account_summary(
         df = df.where(in_midnights(df, "date", owner_period_start, current_date))
     return (
         df.groupBy(*by, "account", "account_type")
-        .agg(total(money()).alias("ytd_amount"))
+        .agg(total(money(df)).alias("ytd_amount"))
         .select(
             *by,
             "account",

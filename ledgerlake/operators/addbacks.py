@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.accounts import holds_any
-from ..functions.columns import bind, flag, keys, on_or_after, strip, text
+from ..functions.columns import bind, flag, keys, named, on_or_after, strip, text
 from ..sources.rules import (
     DEFAULT_TOLERANCE,
     PAYROLL_RULE_NAME,
@@ -230,6 +230,6 @@ def _needle(text: Column) -> Column:
     return strip(F.lower(text))
 
 
-def _kept(df: DataFrame) -> list[str]:
+def _kept(df: DataFrame) -> list[Column]:
     added = [c for c in ("sde_addback_flag", "sde_addback_reason") if c not in df.columns]
-    return [*df.columns, *added]
+    return [named(c) for c in (*df.columns, *added)]

@@ -51,7 +51,7 @@ def compute_period_billing(
             "job string, overhead_pct double, profit_pct double, contract_type string",
         )
     on = [*keys(by), "job"]
-    amount = money()
+    amount = money(costs)
     sums = (
         costs.where(in_midnights(costs, "date", period_start, period_end))
         .groupBy(*on)

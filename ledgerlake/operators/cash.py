@@ -18,7 +18,7 @@ def compute_cash_basis_pl(
 ) -> DataFrame:
     """Money in, money out and the difference, from the bank register."""
     by = keys(by)
-    amount = money()
+    amount = money(bank)
     return (
         bank.where(in_dates(bank, "date", start_date, end_date))
         .groupBy(*by)
@@ -38,7 +38,7 @@ def compute_accrual_pl_from_qb(
     A type that names both an expense and cost of goods sold counts under each.
     """
     by = keys(by)
-    amount = money()
+    amount = money(ledger)
     kind = F.lower(text(ledger, "account_type"))
     income = kind.contains("income")
     cogs = magnitude(total(amount, kind.contains("cost of goods sold")))

@@ -76,7 +76,7 @@ def _alias(sums: Mapping[str, Column], prefix: str) -> list[Column]:
 
 def period_sums(df: DataFrame, where: Column | None = None, prefix: str = "") -> list[Column]:
     """Aggregates for the plain period metrics over the rows where the condition holds."""
-    amount = money()
+    amount = money(df)
     inside = F.lit(True) if where is None else where
     sums = {
         name: magnitude(total(amount, inside & flag(df, f"is_{name}")))
@@ -96,7 +96,7 @@ def owner_sums(
     prefix: str = "",
 ) -> list[Column]:
     """Aggregates for the owner metrics: rows before the cut-over count apart, as legacy."""
-    amount = money()
+    amount = money(df)
     inside = F.lit(True) if where is None else where
     after = inside & on_or_after(df, "date", owner_revenue_start)
     earlier = inside & before(df, "date", owner_revenue_start)
@@ -135,7 +135,7 @@ def kpi_sums(
 ) -> list[Column]:
     """Aggregates for one reporting period: overhead counts in full, revenue and job costs only
     from ``revenue_start`` on."""
-    amount = money()
+    amount = money(df)
     inside = in_dates(df, "date", start, end)
     after = inside & on_or_after(df, "date", revenue_start)
     earlier = inside & before(df, "date", revenue_start)
@@ -224,7 +224,7 @@ def compute_legacy_overhead_addins(
         picked = picked.join(included_row_ids.select("_row_id"), "_row_id", "left_semi")
     elif included_row_ids:
         picked = picked.where(membership(text(df, "_row_id"), included_row_ids))
-    return picked.groupBy(*by).agg(magnitude(total(money())).alias("legacy_overhead"))
+    return picked.groupBy(*by).agg(magnitude(total(money(picked))).alias("legacy_overhead"))
 
 
 def legacy_overhead_candidates(df: DataFrame, report_start: DateLike) -> DataFrame:

@@ -50,13 +50,13 @@ def compute_monthly_kpis(
             raise ValueError(f"compute_monthly_kpis requires a '{needed}' column")
     label = F.col("classification") if "classification" in df.columns else F.lit("Other")
     counted = F.when(
-        flag(df, "is_revenue") & before(df, "date", owner_revenue_start), F.lit(0.0)
-    ).otherwise(money())
+        flag(df, "is_revenue") & before(df, "date", owner_revenue_start), F.lit(0)
+    ).otherwise(money(df))
     lines = [
         magnitude(total(counted, label.isin(*labels))).alias(name)
         for name, labels in CLASS_LABELS.items()
     ]
-    addbacks = total(F.abs(money()), flag(df, "sde_addback_flag")).alias("addbacks")
+    addbacks = total(F.abs(money(df)), flag(df, "sde_addback_flag")).alias("addbacks")
 
     months = (
         df.where(F.col("date").isNotNull())
@@ -93,7 +93,7 @@ def addbacks_by_month(df: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
     return (
         df.where(flag(df, "sde_addback_flag") & F.col("date").isNotNull())
         .groupBy(*by, month_start(F.col("date")).alias("month"))
-        .agg(total(F.abs(money())).alias("addbacks"), F.count(F.lit(1)).alias("count"))
+        .agg(total(F.abs(money(df))).alias("addbacks"), F.count(F.lit(1)).alias("count"))
         .withColumn("month_str", month_label(F.col("month")))
         .select(*by, "month", "month_str", "addbacks", "count")
         .orderBy(*by, "month")

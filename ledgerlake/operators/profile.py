@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, keys, money, total
+from ..functions.columns import flag, keys, money, named, total
 from ..functions.text import contains_text
 
 
 def non_null_counts(df: DataFrame) -> DataFrame:
     """One row: the number of values present in every column."""
-    return df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return df.agg(*[F.count(named(c)).alias(c) for c in df.columns])
 
 
 def value_counts(df: DataFrame, column: str, by: str | Sequence[str] = ()) -> DataFrame:
@@ -34,8 +34,8 @@ def ledger_totals(df: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-        total(money()).alias("total_amount"),
-        total(money(), income).alias("income_amount"),
+        total(money(df)).alias("total_amount"),
+        total(money(df), income).alias("income_amount"),
     )
 
 
@@ -49,7 +49,7 @@ def addback_totals(df: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
     flagged = flag(df, "sde_addback_flag")
     return df.groupBy(*keys(by)).agg(
         F.count(F.when(flagged, F.lit(1))).alias("addback_count"),
-        total(money(), flagged).alias("addback_amount"),
+        total(money(df), flagged).alias("addback_amount"),
     )
 
 

@@ -82,7 +82,7 @@ def dashboard_metrics(
 
     sums = df.groupBy(*by).agg(
         *period_sums(flagged, report),
-        magnitude(total(money(), legacy & picked)).alias("legacy_overhead_included"),
+        magnitude(total(money(df), legacy & picked)).alias("legacy_overhead_included"),
         F.count(F.when(legacy & picked, F.lit(1))).alias("legacy_overhead_rows"),
     )
     metrics = with_profit_lines(sums)

@@ -314,3 +314,21 @@ def test_dashboard_equals_its_parts(make_ledger, one, tmp_path):
     back = one(payload.sparkSession.read.json(str(tmp_path / "payload")))["payload"]
     assert back["config"]["july_overhead_window"]["end"] == "2025-07-31"
     assert back["reconciliation_bridge"]["adjusted_net"] == got["adjusted_net_profit"]
+
+
+def test_decimal_amounts_are_summed_exactly(spark, make_ledger, one):
+    cents = [("2025-08-05", "Rent", "Expense", "Owner", "m", 0.1)] * 30 + [
+        ("2025-08-06", "Sales", "Income", "c", "m", -1e15),
+        ("2025-08-07", "Sales", "Income", "c", "m", 1e15),
+    ]
+    exact = flagged(make_ledger(cents).withColumn("amount", F.col("amount").cast("decimal(18,2)")))
+    metrics = ll.get_owner_metrics(exact, "2025-08-01", "2025-08-31", CUT_OVER)
+    assert subset(one(metrics), dict(overhead=3.0, addbacks=3.0, revenue=0.0, net_profit=-3.0))
+    assert metrics.schema["overhead"].dataType.simpleString() == "double"
+    (month,) = ll.compute_monthly_kpis(exact, CUT_OVER).collect()
+    assert (month.overhead, month.addbacks, month.revenue) == (3.0, 3.0, 0.0)
+    assert one(ll.get_period_metrics(exact))["sde"] == 0.0
+    assert one(ll.ledger_totals(exact))["total_amount"] == 3.0
+    bank = exact.withColumn("bank_id", F.col("memo")).limit(1)
+    matched, summary = ll.reconcile_transactions(bank, exact.withColumn("_row_id", F.col("name")).limit(1))
+    assert one(summary)["total_matched"] == matched.matched.count() == 1

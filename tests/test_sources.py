@@ -293,3 +293,14 @@ def test_header_below_a_very_long_cell(spark, tmp_path, monkeypatch):
     for few in (256, 0):
         monkeypatch.setattr("ledgerlake.sources.layout._FEW_FILES", few)
         assert rows(ll.load_ledger(spark, str(tmp_path)), "account", "amount") == [("a", 1), ("b", 2)]
+
+
+def test_column_names_with_dots(spark, tmp_path):
+    path = write(tmp_path / "l.csv", "Date,Account,Amt. (USD),Ref`no,Amount\n1/2/2025,a,x y,z,5\n1/3/2025,b,,z,6\n")
+    ledger = ll.load_ledger(spark, path)
+    assert ledger.columns[2:4] == ["amt._(usd)", "ref`no"]
+    flagged = ll.flagged_ledger(ledger, rules=[{"name": "r", "account_contains": "a"}])
+    table = ll.apply_rule_table(flagged, ll.rules_table(spark, ll.default_rules()))
+    assert ll.non_null_counts(ll.redact_text(ll.render_dates(table))).first()["amt._(usd)"] == 1
+    bank = flagged.withColumnRenamed("_row_id", "bank_id").where("amount = 5")
+    assert [r["amount"] for r in ll.match_qb_and_bank(flagged, bank).unmatched_qb.collect()] == [6]
