@@ -11,8 +11,8 @@ All arcs of one token end in one state, so a state is named by a token; its miss
 splits of that token, of its right part before the token was born, of that one's right part, and so
 on. An arc (token born from its left part) is missing where its left part was missing at its birth.
 Two short walks over the table of splits therefore decide any transition; rows of the transition
-table are filled on first use. The tables take a few MB for 50,000 merges and are broadcast; their
-size depends on the vocabulary alone.
+table are filled on first use. The vocabulary is broadcast and each worker compiles it once, in about a
+second for 50,000 merges; its size does not depend on the data.
 
 **Encoding** follows arcs from the start of a word, longest labels first. Only one path leads to any
 place in a word, so each place is entered and given up once at most and time is linear in the word's
@@ -39,6 +39,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 # Words whose ids a task remembers; beyond it, it forgets them all and starts anew.
 REMEMBERED_WORDS = 300_000
 LATER = 1 << 60
+PARTS = ("vocab", "merges", "special")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -54,6 +55,8 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: Sequence[Sequence[str]], special: dict[str, int]):
         symbols = byte_symbols()
         self.special = special
+        self._table: dict[int, bool] = {}
+        self._words: dict[str, bytes] = {}
         self.labels = {i: bytes(symbols[c] for c in token) for token, i in vocab.items() if token not in special}
         self.labels |= {i: token.encode() for token, i in special.items()}
         self.parts: dict[int, tuple[int, int]] = {}  # token -> the two tokens it was merged from
@@ -95,17 +98,6 @@ class Automaton:
                 return True
             last, until = parts[last][1], born[last]
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_table", "_words", "_special")}
-
-    @cached_property
-    def _table(self) -> dict[tuple[int, int], bool]:
-        return {}
-
-    @cached_property
-    def _words(self) -> dict[str, bytes]:
-        return {}
-
     @cached_property
     def _special(self) -> regex.Pattern | None:
         names = sorted(self.special, key=len, reverse=True)
@@ -186,13 +178,17 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
-def compile_tokenizer(path: str) -> Automaton:
-    """The automaton of a byte-level BPE vocabulary file in the tokenizers library's JSON format."""
+def read_vocabulary(path: str) -> dict:
+    """Vocabulary, merges and special tokens of a file in the tokenizers library's JSON format."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-    return Automaton(spec["model"]["vocab"], merges, special)
+    return {"vocab": spec["model"]["vocab"], "merges": merges, "special": special}
+
+
+def compile_tokenizer(path: str) -> Automaton:
+    return Automaton(**read_vocabulary(path))
 
 
 def encode(docs: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -203,10 +199,13 @@ def encode(docs: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text:
     """
     if clash := {"ids", "n_tokens", "decoded"} & set(keys):
         raise ValueError(f"keys named like results: {sorted(clash)}")
-    automaton = docs.sparkSession.sparkContext.broadcast(compile_tokenizer(path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, words = automaton.value, regex.compile(WORD_PATTERN).findall
+        # A worker compiles the vocabulary once and keeps the automaton, with what it remembers, for its next tasks.
+        tables = vocabulary.value
+        machine = tables.get("machine") or tables.setdefault("machine", Automaton(*(tables[k] for k in PARTS)))
+        words = regex.compile(WORD_PATTERN).findall
         for batch in batches:
             ids = [machine.encode(t or "", words) for t in batch.pop(batch.columns[-1])]
             yield batch.assign(ids=ids, n_tokens=[len(x) // 4 for x in ids], decoded=[machine.decode(x) for x in ids])
