@@ -47,3 +47,32 @@ def ascii_lower(text: Column) -> Column:
 def partitions(df: DataFrame) -> int:
     """How many tasks to deal rows to: what the session says."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+FILTER_BITS = 1 << 26
+
+
+def _bit(keys: list[Column]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+
+
+def among(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in ``wanted``, and a few others, with a boolean ``_hit`` for all rows.
+
+    A filter of fixed size (8 MB) is broadcast, so rows can be told apart without a shuffle. It has false
+    hits, more of them the more keys there are, so an exact join has to follow.
+    """
+    bits = (
+        wanted.select(_bit([F.col(k) for k in keys]).alias("b"))
+        .groupBy(F.floor(F.col("b") / 32768).alias("_block"))
+        .agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("_bits"))
+    )
+    bit = _bit([df[k] for k in keys])
+    byte = F.substring("_bits", (F.floor((bit % 32768) / 8) + 1).cast("int"), F.lit(1))
+    filled = F.conv(F.hex(byte), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8 + 1).cast("int"))
+    hit = F.coalesce(filled.bitwiseAND(mask) > 0, F.lit(False))
+    marked = df.withColumn("_at", F.floor(bit / 32768)).join(
+        F.broadcast(store(bits)), F.col("_at") == F.col("_block"), "left"
+    )
+    return marked.withColumn("_hit", hit).drop("_at", "_block", "_bits")
