@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, ngram_join, quality_model, quality_rules, suffix_dedup
+from . import bpe, chat, licenses, ngram_join, pii, quality_model, quality_rules, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = quality_model.fit(docs, labels, ~held_out)
     scored = quality_model.score(docs, network)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = pii.span_list(F.col("base"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        pii.span_list(F.concat("base", "extra")).alias("spans"),
+    )
