@@ -76,3 +76,15 @@ def among(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
         F.broadcast(store(bits)), F.col("_at") == F.col("_block"), "left"
     )
     return marked.withColumn("_hit", hit).drop("_at", "_block", "_bits")
+
+
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one column, ``row``, beside computed keys: no name can clash with the rows' own."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Packed rows whose keys are not in ``gone``, unpacked. Only rows that may be gone are shuffled."""
+    marked = among(rows, gone, keys)
+    rest = marked.where("_hit").join(gone.select(*keys).distinct(), keys, "left_anti")
+    return marked.where("NOT _hit").select("row.*").unionByName(rest.select("row.*"))

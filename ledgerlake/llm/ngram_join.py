@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, store
+from .common import among, let, packed, store, without
 from .graph import components
-from .shingles import WordHashes, set_key, shingle_set, words_of
+from .shingles import Powers, set_key, shingle_sets
 
 # Links: 5 * intersection >= 4 * union, which is 9 * intersection >= 4 * (both sizes).
 COUNTERS = 1 << 18
-FILTER_BITS = 1 << 26
 STARTS = 2
 LEAST_WORDS, MOST_WORDS = 4, 256  # of 64 bits in a bitmap
+GROUP = 2_000  # members that are compared with one set in one group of rows
 
 
 def prefix_length(n: int) -> int:
@@ -53,9 +53,9 @@ def band(n: Column) -> Column:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Four bits or more for each shingle, in a power of two of 64-bit words."""
+    """A bit or two for each shingle, in a power of two of 64-bit words."""
     words = LEAST_WORDS
-    while words < MOST_WORDS and words * 16 < len(shingles):
+    while words < MOST_WORDS and words * 64 < len(shingles):
         words *= 2
     bits = np.zeros(words * 64, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = 1
@@ -73,17 +73,13 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
 
 
-def _sets(texts: list[str | None], known: WordHashes) -> list[np.ndarray]:
-    return [shingle_set(words_of(text), known) for text in texts]
-
-
 def shingle_counts(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     """How many shingles of all documents fall on each counter. The result's size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordHashes(), np.zeros(counters, np.int64)
+        powers, total = Powers(), np.zeros(counters, np.int64)
         for batch in batches:
-            sets = _sets(batch.column(0).to_pylist(), known)
+            sets = shingle_sets(batch.column(0).to_pylist(), powers)
             at = np.concatenate(sets) & np.uint64(counters - 1) if sets else np.empty(0, np.uint64)
             total += np.bincount(at.astype(np.int64), minlength=counters)
         used = np.flatnonzero(total)
@@ -104,10 +100,10 @@ def signatures(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordHashes(), shared.value
+        powers, total = Powers(), shared.value
         mask = np.uint64(len(total) - 1)
         for batch in batches:
-            sets = _sets(batch.column(1).to_pylist(), known)
+            sets = shingle_sets(batch.column(1).to_pylist(), powers)
             keep = [i for i, s in enumerate(sets) if len(s)]
             sets = [sets[i] for i in keep]
             keys = [set_key(s) for s in sets]
@@ -131,62 +127,57 @@ def signatures(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     return texts.select("id", "text", "h").mapInArrow(run, SIGNED)
 
 
-def _bit(id: Column) -> Column:
-    return F.pmod(F.xxhash64(id), F.lit(FILTER_BITS))
-
-
 def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k1, k2, shingles) of the documents whose ids are wanted, and of a few others.
-
-    The wanted ids become a bit filter of fixed size, so rows that nobody asked for are dropped before
-    their words are hashed. Bits that others share only let rows through that a later join drops.
-    """
-    bits = (
-        wanted.select(_bit(F.col("id")).alias("b"))
-        .groupBy(F.floor(F.col("b") / 32768).alias("block"))
-        .agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("bits"))
-    )
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in bits.collect():  # at most FILTER_BITS / 32768 rows
-        part = np.frombuffer(row["bits"], np.uint8)
-        table[row["block"] * 4096 : row["block"] * 4096 + len(part)] = part
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+    """(k1, k2, shingles) of the documents whose ids are wanted, and of a few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, filled = WordHashes(), shared.value
+        powers = Powers()
         for batch in batches:
-            bit = batch.column(0).to_numpy()
-            hit = (filled[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            sets = _sets(batch.column(1).take(pa.array(np.flatnonzero(hit))).to_pylist(), known)
-            sets = [s for s in sets if len(s)]
+            sets = [s for s in shingle_sets(batch.column(0).to_pylist(), powers) if len(s)]
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _lists(sets)],
                 ["k1", "k2", "shingles"],
             )
 
-    return texts.select(_bit(F.col("id")), "text").mapInArrow(run, "k1 long, k2 long, shingles array<long>")
+    near = among(texts.select("id", "text"), wanted.select("id"), ["id"]).where("_hit")
+    return near.select("text").mapInArrow(run, "k1 long, k2 long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by exact intersection of their sorted arrays."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = classes.select("node", "id", "k1", "k2").join(ends, "node")
-    sets = named.join(sets_of(texts, named), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "shingles")
-    sets = store(sets)
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    """The pairs (a, b) whose sets are linked, by exact intersection of their sorted arrays.
+
+    The sets are made again from the texts of just these documents, and each travels to the groups that
+    ask for it: one group for every ``GROUP`` members a that one b is compared with.
+    """
+    named = classes.select("node", "id", "k1", "k2")
+    groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    salted = pairs.join(groups, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("groups")))
+    members = salted.select(F.col("a").alias("node"), "b", "salt", F.col("a").alias("member"))
+    heads = groups.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
+    asked = members.unionByName(heads.withColumn("member", F.lit(None).cast("long"))).join(named, "node")
+    asked = store(asked.select("id", "k1", "k2", "b", "salt", "member"))
+    sent = sets_of(texts, asked.select("id").distinct()).join(asked.drop("id"), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, head = None, np.empty(0, np.int64)
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            linked = []
-            for i in range(batch.num_rows):
-                s, o = x[i].values.to_numpy(), y[i].values.to_numpy()
-                common = len(np.intersect1d(s, o, assume_unique=True))
-                linked.append(9 * common >= 4 * (len(s) + len(o)))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            b, salt, member, shingles = (batch.column(k) for k in range(4))
+            first, second = [], []
+            for i, key in enumerate(zip(b.to_pylist(), salt.to_pylist(), strict=True)):
+                own = shingles[i].values.to_numpy()
+                if member[i].as_py() is None:
+                    group, head = key, own.copy()
+                elif key == group:
+                    common = len(np.intersect1d(own, head, assume_unique=True))
+                    if 9 * common >= 4 * (len(own) + len(head)):
+                        first.append(member[i].as_py())
+                        second.append(key[0])
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+    order = ["b", "salt", F.col("member").asc_nulls_first()]
+    ordered = sent.select("b", "salt", "member", "shingles").repartition("b", "salt").sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _bound(x: Column, y: Column) -> Column:
@@ -208,30 +199,35 @@ def _bound(x: Column, y: Column) -> Column:
     )
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
+def star_pairs(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Each class with the first member of the tiles of its smallest hashes."""
-    tiles = classes.select("node", "n", F.explode("starts").alias("token")).withColumn("band", band(F.col("n")))
+    own = _of_classes(signed, classes, "starts")
+    tiles = own.select("node", "n", F.explode("starts").alias("token")).withColumn("band", band(F.col("n")))
     first = tiles.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("f"), F.count(F.lit(1)).alias("members"))
     first = first.where("members > 1").select("token", "band", F.col("f.node").alias("b"), F.col("f.n").alias("m"))
     met = tiles.join(first, ["token", "band"]).where("node != b AND 5 * least(n, m) >= 4 * greatest(n, m)")
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
-def tile_pairs(classes: DataFrame, known: DataFrame) -> DataFrame:
+def _of_classes(signed: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """A column of the signatures for each class, from the document that names it."""
+    own = signed.select("k1", "k2", F.col("id").alias("_id"), column)
+    return classes.join(own, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass the bitmaps' bound."""
-    placed = classes.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-        "node", "n", "prefix", F.coalesce("component", "node").alias("component")
-    )
-    rows = placed.select("node", "n", "component", F.explode("prefix").alias("token"))
-    mixed = (
-        rows.groupBy("token")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("token")
-    )
-    rows = store(rows.join(mixed, "token"))
-    marked = rows.join(classes.select(F.col("node").alias("_n"), "bitmap"), F.col("node") == F.col("_n")).drop("_n")
-    marked = store(marked.withColumn("tile", band(F.col("n"))))
+    placed = classes.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+    placed = store(placed.withColumn("component", F.coalesce("component", "node")))
+    own = _of_classes(signed, placed, "prefix")
+    rows = own.select("node", "n", "component", F.explode("prefix").alias("token"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = store(mixed.where("low < high").select("token"))
+    met = among(rows, mixed, ["token"]).where("_hit").drop("_hit").join(mixed, "token")
+    tiles = store(met.withColumn("tile", band(F.col("n"))))
+    bitmaps = _of_classes(signed, placed.join(tiles.select("node").distinct(), "node"), "bitmap")
+    bitmaps = store(bitmaps.select("node", "bitmap"))
+    marked = tiles.join(bitmaps, "node")
     left = marked.toDF(*[f"{c}1" if c not in ("token", "tile") else c for c in marked.columns])
     right = marked.withColumn("tile", F.explode(F.array(F.col("tile"), F.col("tile") - 1)))
     right = right.toDF(*[f"{c}2" if c not in ("token", "tile") else c for c in right.columns])
@@ -245,8 +241,8 @@ def tile_pairs(classes: DataFrame, known: DataFrame) -> DataFrame:
         & (9 * (F.col("n1") - _bound(F.col("bitmap1"), F.col("bitmap2"))) >= need)
         & (9 * (F.col("n2") - _bound(F.col("bitmap2"), F.col("bitmap1"))) >= need)
     )
-    met = left.join(right, ["token", "tile"]).where(possible)
-    return met.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
+    pairs = left.join(right, ["token", "tile"]).where(possible)
+    return pairs.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -254,19 +250,16 @@ def _grouped(docs: DataFrame, id: str, text: str) -> DataFrame:
     texts = _texts(docs, id, text)
     signed = store(signatures(texts, shingle_counts(texts)))
     keys = ["k1", "k2"]
-    named = signed.groupBy(*keys).agg(F.min("id").alias("least_id"))
-    named = store(named.withColumn("node", F.monotonically_increasing_id()))
-    same = (F.col("id") == F.col("least_id")) | F.col("least_id").isNull()
-    classes = signed.join(named, keys).where(same).drop("least_id")
-    classes = store(classes.dropDuplicates(["node"]))
+    classes = signed.groupBy(*keys).agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    classes = store(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    links = store(verified(store(star_pairs(classes)), classes, texts))
+    links = store(verified(store(star_pairs(signed, classes)), classes, texts))
     known = components(links)
-    more = verified(store(tile_pairs(classes, known)), classes, texts)
+    more = verified(store(tile_pairs(signed, classes, known)), classes, texts)
     whole = components(links.unionByName(more))
 
-    smallest = named.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = smallest.groupBy("component").agg(F.min("least_id").alias("name"))
+    smallest = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = smallest.groupBy("component").agg(F.min("id").alias("name"))
     resolved = smallest.join(names, "component").select(*keys, "name")
     return signed.select("id", "h", "n", *keys).join(resolved, keys)
 
@@ -287,6 +280,5 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     texts are told apart. Documents without words are no copies of anything and stay, and so do rows
     whose id is null.
     """
-    copies = _grouped(docs, id, text).where("id != name").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
-    same = (docs[id].cast("long") == F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_h"))
-    return docs.join(copies, same, "left_anti")
+    copies = store(_grouped(docs, id, text).where("id != name").select("id", "h").distinct())
+    return without(packed(docs, id=F.col(id).cast("long"), h=F.xxhash64(F.col(text))), copies, ["id", "h"])
