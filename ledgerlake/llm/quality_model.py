@@ -4,8 +4,8 @@ A filter looks at ``WIDTH`` bytes and adds a learned weight for each. Documents
 512 bytes that overlap by 64, through to their last byte. In each chunk every filter keeps its largest
 response; the mean and the maximum of these over all chunks make one logistic probability.
 
-Training takes a bounded sample: for either label at most ``sample`` rows of at most ``longest`` bytes,
-in the order of a hash of their ids, so the driver's share does not grow with the data. Scoring needs no
+Training takes a bounded sample: for either label ``sample`` rows in the order of a hash of their ids, of
+which those of at most ``longest`` bytes count, so the driver's share does not grow with the data. Scoring needs no
 shuffle: weights are broadcast (fixed size), every row is scored where it is, whole. Weights of two
 neighbouring bytes are added up beforehand, so a filter costs two look-ups for four bytes.
 
@@ -169,17 +169,18 @@ def train(texts: list[bytes], labels: list[int], settings: Training = Training()
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, settings: Training = Training()) -> DataFrame:
     """(text, quality) of the bounded sample; ``usable`` is a condition on ``doc_id``."""
     known = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality").where(usable)
-    fits = F.octet_length("text").between(1, settings.longest)
-    rows = docs.select("doc_id", "text").where(fits).join(known, "doc_id")
     picked = [
-        rows.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(settings.sample)
+        known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
         for label in (0, 1)
     ]
-    return picked[0].unionByName(picked[1]).select("text", "quality")
+    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * settings.sample rows
+    fits = F.octet_length("text").between(1, settings.longest)
+    return docs.select("doc_id", "text").where(fits).join(chosen, "doc_id").select("text", "quality").limit(2 * settings.sample)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, settings: Training = Training()) -> Network:
     rows = training_rows(docs, labels, usable, settings).collect()  # at most 2 * settings.sample rows
+    rows.sort(key=lambda r: (r["text"], r["quality"]))  # rows come in any order, the training goes by one
     return train([r["text"].encode() for r in rows], [r["quality"] for r in rows], settings)
 
 
