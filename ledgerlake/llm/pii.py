@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, store
+from .common import among, let, packed, store
 
 KINDS = ("email", "ip", "card", "phone")
 # The seeds' patterns, with the same matches as their plain forms.
@@ -241,10 +241,16 @@ def _masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", settings: Bootstrap = Bootstrap()) -> DataFrame:
     """The documents with all spans replaced by their kind; other columns stay as they are."""
-    extra = _extra(_texts(docs, id, text), settings)
+    extra = store(_extra(_texts(docs, id, text), settings)).toDF("id", "h", "extra")
     content = F.coalesce(docs[text], F.lit(""))
-    same = docs[id].cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(content) == F.col("_h"))
+    rows = among(packed(docs, id=docs[id].cast("long"), h=F.xxhash64(content)), extra, ["id", "h"])
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    spans = F.concat(base_spans(content), F.coalesce("extra", none))
-    masked = let(spans, lambda s: F.when(F.size(s) > 0, _masked(content, s)).otherwise(docs[text]))
-    return docs.join(extra, same, "left").select(*[masked.alias(text) if c == text else docs[c] for c in docs.columns])
+    plain = rows.where("NOT _hit").select("row", none.alias("extra"))
+    hit = rows.where("_hit")
+    found = extra.toDF("_i", "_h", "extra")
+    more = hit.join(found, hit["id"].eqNullSafe(F.col("_i")) & (hit["h"] == F.col("_h")), "left")
+    both = plain.unionByName(more.select("row", F.coalesce("extra", none).alias("extra")))
+    own = F.col("row").getField(text)
+    spans = F.concat(base_spans(F.coalesce(own, F.lit(""))), F.col("extra"))
+    masked = let(spans, lambda s: F.when(F.size(s) > 0, _masked(own, s)).otherwise(own))
+    return both.select(*[(masked if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
