@@ -7,16 +7,17 @@ in a table of fixed size (all shingles are counted; several may share a counter,
 but no result), so a passage in very many documents makes no tile unless whole documents consist of it.
 
 In a tile, each set has a bitmap with a bit for each shingle's hash, longer for larger bands. Every bit
-set in one bitmap only is a shingle that the other lacks, which bounds the overlap from above. Pairs that
-the bound lets through are intersected exactly.
+set in one bitmap only is a shingle that the other lacks, which bounds the overlap from above; so does the place
+of the shared shingle in either prefix. Pairs that the bounds let through are intersected exactly.
 
-What keeps large groups of copies linear:
+What keeps large groups of copies from making pairs:
 
 1. Equal sets are one class.
-2. Classes that share one of their smallest hashes are first compared with one member of that tile only;
-   the links found give components.
-3. In the tiles, only pairs of *different* components are compared. Every such pair with a common prefix
-   shingle is, so no link between components is missed and the final components are exact.
+2. Classes that share one of their smallest hashes are a *cluster*; near copies nearly always share one. A cluster is
+   cut into blocks, and two blocks at a time are compared exactly by one matrix product. Only links that connect
+   something new are put out, at most one for each member.
+3. In the tiles, only pairs of different components without a common cluster are left to compare. Every such pair
+   with a common prefix shingle is, so no link between components is missed and the final components are exact.
 
 Defined results: null and empty texts have an empty set, no links, and their own id as component; a row
 with a null id belongs to its class, whose name is the smallest id that is not null; rows with the same
@@ -38,7 +39,9 @@ from .shingles import Powers, set_key, shingle_sets
 
 # Links: 5 * intersection >= 4 * union, which is 9 * intersection >= 4 * (both sizes).
 COUNTERS = 1 << 18
-STARTS = 2
+STARTS = 4
+BLOCK = 1_000  # members of a cluster that are compared with as many others in one group of rows
+COLUMNS = 4_096
 LEAST_WORDS, MOST_WORDS = 4, 256  # of 64 bits in a bitmap
 GROUP = 2_000  # members that are compared with one set in one group of rows
 
@@ -53,9 +56,9 @@ def band(n: Column) -> Column:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A bit or two for each shingle, in a power of two of 64-bit words."""
+    """Two bits or more for each shingle, in a power of two of 64-bit words."""
     words = LEAST_WORDS
-    while words < MOST_WORDS and words * 64 < len(shingles):
+    while words < MOST_WORDS and words * 32 < len(shingles):
         words *= 2
     bits = np.zeros(words * 64, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = 1
@@ -199,14 +202,115 @@ def _bound(x: Column, y: Column) -> Column:
     )
 
 
-def star_pairs(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each class with the first member of the tiles of its smallest hashes."""
+def clusters(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cluster): the classes that share one of their smallest hashes, named by the one with the smallest id."""
     own = _of_classes(signed, classes, "starts")
-    tiles = own.select("node", "n", F.explode("starts").alias("token")).withColumn("band", band(F.col("n")))
-    first = tiles.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("f"), F.count(F.lit(1)).alias("members"))
-    first = first.where("members > 1").select("token", "band", F.col("f.node").alias("b"), F.col("f.n").alias("m"))
-    met = tiles.join(first, ["token", "band"]).where("node != b AND 5 * least(n, m) >= 4 * greatest(n, m)")
-    return met.select(F.col("node").alias("a"), "b").distinct()
+    tokens = own.select("id", "node", F.explode("starts").alias("token"))
+    first = tokens.groupBy("token").agg(F.min(F.struct("id", "node")).alias("f"), F.count(F.lit(1)).alias("members"))
+    met = tokens.join(first.where("members > 1"), "token")
+    return met.select("node", F.col("f.node").alias("cluster")).distinct()
+
+
+def overlaps(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Intersection sizes of the sets from ``first`` on (rows) with all sets (columns).
+
+    Only shingles that several sets have matter; their incidence matrix is multiplied with itself, some columns
+    at a time.
+    """
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    change = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    size = np.diff(np.append(change, len(values)))
+    column = np.repeat(np.cumsum(size > 1) - 1, size)
+    shared = np.repeat(size > 1, size)
+    column, owner = column[shared], owner[shared]
+    total = np.zeros((len(sets) - first, len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        total += part[first:] @ part.T
+    return total
+
+
+def spanning_links(nodes: list[int], sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
+    """Links that connect what all links from the sets from ``first`` on connect; no more than there are sets."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(s) for s in sets], np.float32)
+    linked = 9 * overlaps(sets, first) >= 4 * (sizes[first:, None] + sizes[None, :])
+    linked[np.arange(len(sets) - first), np.arange(first, len(sets))] = False
+    name = np.arange(len(sets))
+    found = []
+    for row in np.flatnonzero(linked.any(axis=1)):
+        for other in np.flatnonzero(linked[row] & (name != name[row + first])):
+            if name[other] != name[row + first]:
+                found.append((nodes[row + first], nodes[other]))
+                name[name == name[other]] = name[row + first]
+    return found
+
+
+def cluster_links(signed: DataFrame, classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all linked members of each cluster.
+
+    A cluster's members are dealt to blocks, and each pair of blocks is a group of rows of bounded size; members
+    travel once for each block of their cluster, not once for each other member.
+    """
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = dealt.select("node", "cluster", "own", other.alias("other"))
+    rows = rows.select(
+        "node",
+        "cluster",
+        F.least("own", "other").alias("low"),
+        F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).alias("second"),
+    )
+    asked = store(rows.join(classes.select("node", "id", "k1", "k2"), "node"))
+    wanted = asked.select("id").distinct()
+    sent = sets_of(texts, wanted).join(asked.drop("id"), ["k1", "k2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets, split = None, [], [], 0
+
+        def done() -> list[tuple[int, int]]:
+            # In a group of one block all are compared with all, else the second block's with all others.
+            return spanning_links(nodes, sets, split if key[1] != key[2] else 0) if nodes else []
+
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "low", "high", "second", "node")]
+            shingles = batch.column("shingles")
+            for i, (cluster, low, high, second, node) in enumerate(zip(*columns, strict=True)):
+                if (cluster, low, high) != key:
+                    found += done()
+                    key, nodes, sets, split = (cluster, low, high), [], [], 0
+                if nodes and nodes[-1] == node:
+                    continue  # another document with the same set
+                nodes.append(node)
+                sets.append(shingles[i].values.to_numpy().copy())
+                split += not second
+            yield _links(found)
+        yield _links(done())
+
+    group = ["cluster", "low", "high"]
+    ordered = sent.select(*group, "second", "node", "shingles").repartition(*group).sortWithinPartitions(*group, "second", "node")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]
+    )
+
+
+def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with their node's component, which is the node itself while it has no links."""
+    found = rows.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+    return found.withColumn("component", F.coalesce("component", "node"))
 
 
 def _of_classes(signed: DataFrame, classes: DataFrame, column: str) -> DataFrame:
@@ -215,17 +319,19 @@ def _of_classes(signed: DataFrame, classes: DataFrame, column: str) -> DataFrame
     return classes.join(own, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
-def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs of different components that share a prefix shingle and pass the bitmaps' bound."""
-    placed = classes.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
-    placed = store(placed.withColumn("component", F.coalesce("component", "node")))
-    own = _of_classes(signed, placed, "prefix")
-    rows = own.select("node", "n", "component", F.explode("prefix").alias("token"))
+def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of different components and without a common cluster that share a prefix shingle and pass the
+    bounds. Pairs with a common cluster have been compared."""
+    own = members.groupBy(F.col("node").alias("_m")).agg(F.collect_set("cluster").alias("clusters"))
+    nodes = placed(classes, known).join(own, F.col("node") == F.col("_m"), "left").drop("_m")
+    nodes = store(nodes.withColumn("clusters", F.coalesce("clusters", F.array().cast("array<bigint>"))))
+    own = _of_classes(signed, nodes, "prefix")
+    rows = own.select("node", "n", "component", "clusters", F.posexplode("prefix").alias("at", "token"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = store(mixed.where("low < high").select("token"))
     met = among(rows, mixed, ["token"]).where("_hit").drop("_hit").join(mixed, "token")
     tiles = store(met.withColumn("tile", band(F.col("n"))))
-    bitmaps = _of_classes(signed, placed.join(tiles.select("node").distinct(), "node"), "bitmap")
+    bitmaps = _of_classes(signed, nodes.join(tiles.select("node").distinct(), "node"), "bitmap")
     bitmaps = store(bitmaps.select("node", "bitmap"))
     marked = tiles.join(bitmaps, "node")
     left = marked.toDF(*[f"{c}1" if c not in ("token", "tile") else c for c in marked.columns])
@@ -234,10 +340,12 @@ def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame) -> DataF
     # Within a band each pair is met twice, so one order is kept; a larger band's set is always on the right.
     once = (band(F.col("n1")) != band(F.col("n2"))) | (F.col("node1") < F.col("node2"))
     need = 4 * (F.col("n1") + F.col("n2"))
+    # At the first shingle that two sets share, all others that they share come later in both prefixes' order.
     possible = (
         (F.col("component1") != F.col("component2"))
         & once
-        & (9 * F.least("n1", "n2") >= need)
+        & ~F.arrays_overlap("clusters1", "clusters2")
+        & (9 * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= need)
         & (9 * (F.col("n1") - _bound(F.col("bitmap1"), F.col("bitmap2"))) >= need)
         & (9 * (F.col("n2") - _bound(F.col("bitmap2"), F.col("bitmap1"))) >= need)
     )
@@ -253,9 +361,10 @@ def _grouped(docs: DataFrame, id: str, text: str) -> DataFrame:
     classes = signed.groupBy(*keys).agg(F.min("id").alias("id"), F.first("n").alias("n"))
     classes = store(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    links = store(verified(store(star_pairs(signed, classes)), classes, texts))
+    members = store(clusters(signed, classes))
+    links = store(cluster_links(signed, classes, members, texts))
     known = components(links)
-    more = verified(store(tile_pairs(signed, classes, known)), classes, texts)
+    more = verified(store(tile_pairs(signed, classes, known, members)), classes, texts)
     whole = components(links.unionByName(more))
 
     smallest = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
