@@ -8,7 +8,7 @@ A text starts after a start mark and ends with an end mark, which is a token.
 
 **Tables.** Texts are dealt to *blocks* by a hash. A block sends its distinct words, then its distinct pairs, to
 *shards* that own ranges of hashes; a shard adds up what all blocks sent and answers each block in the order in which
-it asked. So each distinct pair of a block travels once, as a few bytes in a packed table of one row for each
+it asked. So each distinct pair of a block that training can have seen travels once, as a few bytes in a packed table of one row for each
 (block, shard), and the answer needs a count for each. A token's probability is then looked up in its block: pair,
 else context weight times word.
 
@@ -23,6 +23,7 @@ share for all tokens; rows with the same id are scored one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .shingles import Powers, batches_of, hashed_words
 
 ADDED = 0.1
 DISCOUNTED = 5  # counts up to this are discounted
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 16_000_000
 START, END = np.uint64(1), np.uint64(2)  # no word has these hashes but by a chance of 2 ** -64
 
 
@@ -44,26 +45,49 @@ def _tokens(texts: list[str | None]) -> list[np.ndarray]:
     return [np.append(h, end) for a, b in batches_of(texts) for h in hashed_words(texts[a:b], powers)]
 
 
+@dataclass(frozen=True)
+class Setting:
+    """What all tasks know: sizes of the training text, the shards, the very frequent contexts."""
+
+    tokens: int
+    types: int
+    texts: int
+    bits: int
+    hot: np.ndarray
+
+    @property
+    def kind(self) -> type:
+        """Type of words' numbers and counts: four bytes as long as they do."""
+        return np.uint32 if max(self.types * 2, self.tokens) < 1 << 31 else np.uint64
+
+    @property
+    def last(self) -> int:
+        return int(np.iinfo(self.kind).max)
+
+    def shard(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + ADDED) / (self.tokens + ADDED * (self.types + 1))
+
+
 class Block:
     """The distinct words and pairs of a block of texts, in an order that every pass finds again."""
 
-    def __init__(self, table: pa.Table, bits: int, hot: np.ndarray):
+    def __init__(self, table: pa.Table, setting: Setting):
         self.tokens = _tokens(table.column("text").to_pylist())
         self.train = np.array(table.column("train").to_pylist(), bool)
-        self.bits, self.hot = bits, hot
+        self.setting = setting
         self.sizes = np.array([len(t) for t in self.tokens])
         self.words, self.word = np.unique(np.concatenate(self.tokens), return_inverse=True)
 
-    def shard(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-
     def word_slices(self) -> list[np.ndarray]:
         """Distinct words by shard; shards own ranges, so the slices follow one another."""
-        cuts = np.searchsorted(self.shard(self.words), np.arange(1, 1 << self.bits))
+        cuts = np.searchsorted(self.setting.shard(self.words), np.arange(1, 1 << self.setting.bits))
         return np.split(self.words, cuts)
 
-    def pairs(self) -> None:
-        """Distinct pairs by (shard, context, word): context, word (places in ``words``), training count."""
+    def pairs(self, counts: np.ndarray) -> None:
+        """Distinct pairs by (context, word), places in ``words``; and by shard those that training can have seen."""
         starts = np.cumsum(self.sizes) - self.sizes
         first = len(self.words)  # the place of the start mark
         context = np.empty(len(self.word), np.int64)
@@ -73,28 +97,38 @@ class Block:
         learnt = np.repeat(self.train, self.sizes)
         self.count = np.bincount(self.pair[learnt], minlength=len(key))
         self.context, self.second = key // (first + 1), key % (first + 1)
-        heads = np.append(self.words, START)
-        owner = self.shard(heads)[self.context]
-        is_hot = np.isin(heads, self.hot)[self.context]
-        owner[is_hot] = self.shard(self.words)[self.second[is_hot]]
-        self.order = np.argsort(owner, kind="stable")  # keys are sorted, so contexts stay together in a shard
-        self.cuts = np.searchsorted(owner[self.order], np.arange((1 << self.bits) + 1))
-
-    def asked(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that a shard owns, and the contexts (places) of its own, hot ones first, then as pairs have them."""
+        heads, hot = np.append(self.words, START), self.setting.hot
+        place = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
+        self.hot = np.where(hot[place] == heads, place, -1)  # of each context, its place among the frequent ones
+        owner = self.setting.shard(heads)[self.context]
+        is_hot = self.hot[self.context] >= 0
+        owner[is_hot] = self.setting.shard(self.words)[self.second[is_hot]]
+        seen = np.append(counts, 1) > 0
+        known = np.flatnonzero(seen[self.context] & (counts[self.second] > 0))
+        self.order = known[np.argsort(owner[known], kind="stable")]  # contexts stay together in a shard
+        shards = np.arange((1 << self.setting.bits) + 1)
+        self.cuts = np.searchsorted(owner[self.order], shards)
+        # What follows a context matters to its weight even if the block has it before unknown words only.
+        own = np.unique(self.context)
+        own = own[seen[own] & (self.hot[own] < 0)]
+        by = np.argsort(self.setting.shard(heads[own]), kind="stable")
+        self.contexts, self.context_cuts = own[by], np.searchsorted(self.setting.shard(heads[own[by]]), shards)
+
+    def asked(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that a shard is asked for, its contexts, and how many of the pairs each of them has."""
         mine = self.order[self.cuts[shard] : self.cuts[shard + 1]]
         context = self.context[mine]
-        heads = np.append(self.words, START)
-        return mine, heads[context]
+        own = np.union1d(self.contexts[self.context_cuts[shard] : self.context_cuts[shard + 1]], context)
+        return mine, own, np.bincount(np.searchsorted(own, context), minlength=len(own))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
 
-def _ask_words(bits: int, hot: np.ndarray):
+def _ask_words(setting: Setting):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        slices = Block(table, bits, hot).word_slices()
+        slices = Block(table, setting).word_slices()
         return pa.table(
             {
                 "shard": pa.array(range(len(slices)), pa.int32()),
@@ -106,54 +140,62 @@ def _ask_words(bits: int, hot: np.ndarray):
     return run
 
 
-def _answer_words(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-    words = known.column("w").to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    words, counts = words[order], known.column("c").to_numpy()[order]
-    answers = []
-    for blob in asked.column("words").to_pylist():
-        wanted = np.frombuffer(blob, np.uint64)
-        at = np.minimum(np.searchsorted(words, wanted), max(len(words) - 1, 0))
-        found = words[at] == wanted if len(words) else np.zeros(len(wanted), bool)
-        answers.append(np.where(found, counts[at] if len(words) else 0, 0).astype(np.uint64).tobytes())
-    n = len(answers)
-    return pa.table(
-        {
-            "block": asked.column("block"),
-            "shard": asked.column("shard"),
-            "kind": pa.array([0] * n, pa.int32()),
-            "answer": pa.array(answers, pa.binary()),
-        }
-    )
+def _answer_words(setting: Setting):
+    def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        """Counts, and numbers that name the words in four bytes instead of eight."""
+        words = known.column("w").to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        words, counts = words[order], known.column("c").to_numpy()[order]
+        names, answers = [], []
+        for blob in asked.column("words").to_pylist():
+            wanted = np.frombuffer(blob, np.uint64)
+            at = np.minimum(np.searchsorted(words, wanted), max(len(words) - 1, 0))
+            found = words[at] == wanted if len(words) else np.zeros(len(wanted), bool)
+            count = np.where(found, counts[at], 0) if len(words) else np.zeros(len(wanted))
+            names.append(((at << setting.bits) + (key[0].as_py() or 0)).astype(setting.kind).tobytes())
+            answers.append(count.astype(setting.kind).tobytes())
+        return pa.table(
+            {
+                "block": asked.column("block"),
+                "shard": asked.column("shard"),
+                "kind": pa.array([0] * len(answers), pa.int32()),
+                "answer": pa.array(answers, pa.binary()),
+                "names": pa.array(names, pa.binary()),
+            }
+        )
+
+    return run
 
 
-def _word_counts(answers: pa.Table) -> np.ndarray:
-    parts = sorted(
-        (s, a)
-        for s, k, a in zip(*(answers.column(c).to_pylist() for c in ("shard", "kind", "answer")), strict=True)
-        if k == 0
-    )
-    return np.frombuffer(b"".join(a for _, a in parts), np.uint64).astype(np.int64)
+def _by_shard(answers: pa.Table, kind: int, column: str) -> list[tuple[int, bytes]]:
+    rows = zip(*(answers.column(c).to_pylist() for c in ("shard", "kind", column)), strict=True)
+    return sorted((s, a) for s, k, a in rows if k == kind)
 
 
-def _ask_pairs(bits: int, hot: np.ndarray):
+def _numbers(answers: pa.Table, column: str, setting: Setting) -> np.ndarray:
+    joined = b"".join(a for _, a in _by_shard(answers, 0, column))
+    return np.frombuffer(joined, setting.kind).astype(np.int64)
+
+
+def _ask_pairs(setting: Setting):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, bits, hot)
-        counts = _word_counts(answers)
-        block.pairs()
+        block, kind = Block(table, setting), setting.kind
+        counts, names = (_numbers(answers, c, setting) for c in ("answer", "names"))
+        block.pairs(counts)
+        # Frequent contexts are named by their place, from the top.
+        heads = np.where(block.hot >= 0, setting.last - block.hot, np.append(names, 0))
         rows = []
-        for shard in range(1 << bits):
-            mine, heads = block.asked(shard)
+        for shard in range(1 << setting.bits):
+            mine, own, lengths = block.asked(shard)
             second = block.second[mine]
             # Columns of one kind together: they compress better than rows.
-            change = np.flatnonzero(np.append(True, heads[1:] != heads[:-1])) if len(heads) else np.empty(0, np.int64)
             rows.append(
                 _packed(
-                    np.array([len(mine), len(change)], np.int64),
-                    heads[change],
-                    np.diff(np.append(change, len(mine))).astype(np.uint32),
-                    block.words[second],
-                    counts[second].astype(np.uint64),
+                    np.array([len(mine), len(own)], np.int64),
+                    heads[own].astype(kind),
+                    lengths.astype(np.uint32),
+                    names[second].astype(kind),
+                    counts[second].astype(kind),
                     block.count[mine].astype(np.uint32),
                 )
             )
@@ -168,20 +210,20 @@ def _ask_pairs(bits: int, hot: np.ndarray):
     return run
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, m = np.frombuffer(blob, np.int64, 2)
+def _unpacked(blob: bytes, kind: type) -> tuple[np.ndarray, ...]:
+    n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     at, out = 16, []
-    for size, kind in ((m, np.uint64), (m, np.uint32), (n, np.uint64), (n, np.uint64), (n, np.uint32)):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += size * np.dtype(kind).itemsize
+    for size, each in ((m, kind), (m, np.uint32), (n, kind), (n, kind), (n, np.uint32)):
+        out.append(np.frombuffer(blob, each, size, at))
+        at += size * np.dtype(each).itemsize
     heads, lengths, words, counts, seen = out
-    return np.repeat(heads, lengths), words, counts, seen
+    return np.repeat(heads, lengths), words, counts, seen, heads
 
 
-def _merged(asked: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all blocks' pairs: how many each block asked for; for each its distinct pair; the distinct pairs'
-    contexts, words' counts, totals."""
-    parts = [_unpacked(b) for b in asked.column("pairs").to_pylist()]
+def _merged(asked: pa.Table, kind: type) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all blocks' pairs: what each block sent; for each pair its distinct pair; the distinct pairs' contexts,
+    words' counts, totals."""
+    parts = [_unpacked(b, kind) for b in asked.column("pairs").to_pylist()]
     heads, words, counts, seen = (np.concatenate([p[k] for p in parts]) for k in range(4))
     order = np.lexsort((words, heads))
     fresh = np.ones(len(order), bool)
@@ -190,36 +232,39 @@ def _merged(asked: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndar
     which[order] = np.cumsum(fresh) - 1
     first = order[fresh]
     totals = np.bincount(which, weights=seen, minlength=len(first)).astype(np.int64)
-    return [len(p[0]) for p in parts], which, heads[first], counts[first].astype(np.int64), totals, heads
+    return parts, which, heads[first], counts[first].astype(np.int64), totals
 
 
-def _count_of_counts(key: tuple, asked: pa.Table) -> pa.Table:
-    totals = _merged(asked)[4]
-    n = np.bincount(np.minimum(totals, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-    return pa.table({f"n{r}": pa.array([int(n[r])], pa.int64()) for r in range(1, DISCOUNTED + 2)})
+def _count_of_counts(setting: Setting):
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        *_, totals = _merged(asked, setting.kind)
+        n = np.bincount(np.minimum(totals, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
+        return pa.table({f"n{r}": pa.array([int(n[r])], pa.int64()) for r in range(1, DISCOUNTED + 2)})
 
+    return run
 
-def _answer_pairs(tokens: int, types: int, hot: np.ndarray):
+
+def _answer_pairs(setting: Setting):
     def run(key: tuple, asked: pa.Table) -> pa.Table:
-        sizes, which, heads, counts, totals, asked_heads = _merged(asked)
+        parts, which, heads, counts, totals = _merged(asked, setting.kind)
+        hot = (setting.last - np.arange(len(setting.hot))).astype(setting.kind)
         known = totals > 0
-        context, place = np.unique(np.append(heads, hot), return_inverse=True)
+        wanted = [part[4] for part in parts]
+        context, place = np.unique(np.concatenate([heads, hot, *wanted]), return_inverse=True)
         place = place[: len(heads)]
         stats = np.zeros((len(context), DISCOUNTED + 1))
         for r in range(1, DISCOUNTED + 1):
             stats[:, r - 1] = np.bincount(place[totals == r], minlength=len(context))
-        share = (counts + ADDED) / (tokens + ADDED * (types + 1))
-        stats[:, DISCOUNTED] = np.bincount(place[known], weights=share[known], minlength=len(context))
+        shares = setting.share(counts)
+        stats[:, DISCOUNTED] = np.bincount(place[known], weights=shares[known], minlength=len(context))
         hot_stats = stats[np.searchsorted(context, hot)]
         answers, at = [], 0
-        for size in sizes:
-            mine = asked_heads[at : at + size]
-            change = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if size else np.empty(0, np.int64)
-            own = stats[np.searchsorted(context, mine[change])]
+        for part in parts:
+            size = len(part[0])
+            own = stats[np.searchsorted(context, part[4])]
             few = own[:, :DISCOUNTED].astype(np.uint32)
-            answers.append(
-                _packed(hot_stats, few.T.copy(), own[:, DISCOUNTED].copy(), totals[which[at : at + size]].astype(np.uint32))
-            )
+            total = totals[which[at : at + size]].astype(np.uint32)
+            answers.append(_packed(hot_stats, few.T.copy(), own[:, DISCOUNTED].copy(), total))
             at += size
         return pa.table(
             {
@@ -252,41 +297,29 @@ def discounts(n: list[int]) -> np.ndarray:
     return factors
 
 
-def _score(bits: int, tokens: int, types: int, texts: int, hot: np.ndarray):
+def _score(setting: Setting):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, bits, hot)
-        counts = _word_counts(answers)
-        block.pairs()
-        heads = np.append(block.words, START)
+        block = Block(table, setting)
+        counts = _numbers(answers, "answer", setting)
+        block.pairs(counts)
         totals = np.zeros(len(block.count), np.int64)
-        stats = np.zeros((len(heads), DISCOUNTED + 1))
-        hot_stats = np.zeros((len(hot), DISCOUNTED + 1))
-        blobs = {
-            s: a
-            for s, k, a in zip(*(answers.column(c).to_pylist() for c in ("shard", "kind", "answer")), strict=True)
-            if k == 1
-        }
-        for shard, blob in blobs.items():
-            mine, names = block.asked(shard)
-            context = block.context[mine]
-            change = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(mine) else np.empty(0, np.int64)
+        stats = np.zeros((len(block.words) + 1, DISCOUNTED + 1))
+        hot_stats = np.zeros((len(setting.hot), DISCOUNTED + 1))
+        for shard, blob in _by_shard(answers, 1, "answer"):
+            mine, own, _ = block.asked(shard)
             at = hot_stats.size * 8
             hot_stats += np.frombuffer(blob, np.float64, hot_stats.size).reshape(hot_stats.shape)
-            few = np.frombuffer(blob, np.uint32, DISCOUNTED * len(change), at).reshape(DISCOUNTED, -1)
+            few = np.frombuffer(blob, np.uint32, DISCOUNTED * len(own), at).reshape(DISCOUNTED, -1)
             at += few.nbytes
-            seen = np.frombuffer(blob, np.float64, len(change), at)
+            seen = np.frombuffer(blob, np.float64, len(own), at)
             at += seen.nbytes
-            stats[context[change], :DISCOUNTED] = few.T
-            stats[context[change], DISCOUNTED] = seen
+            stats[own, :DISCOUNTED] = few.T
+            stats[own, DISCOUNTED] = seen
             totals[mine] = np.frombuffer(blob, np.uint32, len(mine), at)
-        where = np.searchsorted(hot, heads)
-        where = np.minimum(where, max(len(hot) - 1, 0))
-        if len(hot):
-            is_hot = hot[where] == heads
-            stats[is_hot] = hot_stats[where[is_hot]]
+        stats[block.hot >= 0] = hot_stats[block.hot[block.hot >= 0]]
         factor = discounts([int(answers.column(f"n{r}")[0].as_py() or 0) for r in range(1, DISCOUNTED + 2)])
-        word = (counts + ADDED) / (tokens + ADDED * (types + 1))
-        total = np.append(counts, texts).astype(np.float64)  # of each context
+        word = setting.share(counts)
+        total = np.append(counts, setting.texts).astype(np.float64)  # of each context
         saved = stats[:, :DISCOUNTED] @ (np.arange(1, DISCOUNTED + 1) * (1 - factor[1:]))
         total += (saved == 0) & (total > 0)
         left = np.where(saved > 0, saved, 1.0) / np.maximum(total, 1)
@@ -346,29 +379,31 @@ def score(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     texts = rows.where("train").count()
-    bits = max(0, int(np.ceil(np.log2(max(1, size / block_bytes)))))
-    shards = 1 << bits
+    bits = max(0, int(np.floor(np.log2(max(1, size / block_bytes)))))
+    shards, dealt = 1 << bits, max(1, -(-size // block_bytes))
     # At most ``shards`` words can be that frequent, and the start mark.
     frequent = counts.where((F.col("c") >= tokens / shards) & (F.col("w") != int(END))).select("w").collect()
     hot = np.sort(np.array([START, *[np.int64(r["w"]).view(np.uint64) for r in frequent]], np.uint64))
+    setting = Setting(tokens, types, texts, bits, hot)
 
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(dealt)).cast("int"))
     by_block = blocks.groupBy("block")
     owner = F.shiftrightunsigned("w", 64 - bits).cast("int") if bits else F.lit(0)
     owned = counts.withColumn("shard", owner)
-    asked = by_block.applyInArrow(_ask_words(bits, hot), "shard int, block int, words binary")
-    words = asked.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(_answer_words, ANSWER)
+    asked = by_block.applyInArrow(_ask_words(setting), "shard int, block int, words binary")
+    words = asked.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(
+        _answer_words(setting), f"{ANSWER}, names binary"
+    )
     pairs = by_block.cogroup(words.groupBy("block")).applyInArrow(
-        _ask_pairs(bits, hot), "shard int, block int, pairs binary"
+        _ask_pairs(setting), "shard int, block int, pairs binary"
     )
     names = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
-    rare = pairs.groupBy("shard").applyInArrow(_count_of_counts, ", ".join(f"{n} long" for n in names))
+    rare = pairs.groupBy("shard").applyInArrow(_count_of_counts(setting), ", ".join(f"{n} long" for n in names))
     rare = rare.agg(*[F.sum(n).alias(n) for n in names])  # one row
-    totals = pairs.groupBy("shard").applyInArrow(_answer_pairs(tokens, types, hot), ANSWER)
-    answers = words.unionByName(totals).crossJoin(F.broadcast(rare))
+    totals = pairs.groupBy("shard").applyInArrow(_answer_pairs(setting), ANSWER)
+    answers = words.drop("names").unionByName(totals).crossJoin(F.broadcast(rare))
     scored = by_block.cogroup(answers.groupBy("block")).applyInArrow(
-        _score(bits, tokens, types, texts, hot),
-        "id long, train boolean, n_tokens long, n_known long, base_score double, score double",
+        _score(setting), "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(
         F.col("id").alias(id), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
