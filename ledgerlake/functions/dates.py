@@ -31,8 +31,15 @@ LENIENT_FORMATS = (
     "d MMM yyyy",
     "d MMMM yyyy",
     "d-MMM-yyyy",
+    "M.d.yyyy",
+    "MMM yyyy",
+    "MMMM yyyy",
+    "yyyy-MM",
 )
 
+# A weekday before a date, which says nothing more.
+WEEKDAY_PATTERN = r"(?i)^(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)[a-z]*\.?,?\s+(?=[0-9a-z])"
+
 # Day-first spellings, only reached where month-first is impossible.
 DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy")
 
@@ -40,11 +47,15 @@ DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy")
 SHORT_YEARS = (
     (r"^([0-9]{1,2}[/-][0-9A-Za-z]{1,3}[/-])(7[5-9]|[89][0-9])$", "$119$2"),
     (r"^([0-9]{1,2}[/-][0-9A-Za-z]{1,3}[/-])([0-6][0-9]|7[0-4])$", "$120$2"),
+    (r"^([0-9]{1,2} [A-Za-z]{3,9} )(7[5-9]|[89][0-9])$", "$119$2"),
+    (r"^([0-9]{1,2} [A-Za-z]{3,9} )([0-6][0-9]|7[0-4])$", "$120$2"),
 )
 
 CLOCK_PATTERN = (
     r"(?U)[\sT]+([01]?[0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9]))?(?:\.[0-9]+)?\s*([AaPp][Mm])?$"
 )
+# Fixed value: a full hour, written out before parsing.
+FULL_HOUR = (r"(?i)(\s(?:1[0-2]|0?[1-9]))\s*([ap]m)$", "$1:00 $2")
 
 
 def _parse(text: Column, formats: tuple[str, ...]) -> Column:
@@ -91,7 +102,8 @@ def parse_date(column: Column) -> Column:
             whole_day.cast("timestamp_ntz"), bind(day, _lenient).cast("timestamp_ntz") + clock
         )
 
-    return bind(strip(column.cast("string")), parsed)
+    plain = F.regexp_replace(strip(column.cast("string")), WEEKDAY_PATTERN, "")
+    return bind(F.regexp_replace(plain, *FULL_HOUR), parsed)
 
 
 def _lenient(day: Column) -> Column:

@@ -28,9 +28,6 @@ BASE_TOKENS = ("xnp", "ng", "nathan", "owner", "personal")
 # Most tokens or rules that are written out as code; more of them are looped over.
 COMPILED = 30
 
-# Longest rule table that is written into the plan as a constant.
-RULES_IN_PLAN = 10_000
-
 RuleLike = AddbackRule | Mapping
 _SEARCHED = ("account", "name", "memo")
 
@@ -85,12 +82,16 @@ def apply_addback_rules(
 ) -> DataFrame:
     """Flag rows by a list of rules, given as rule objects or JSON objects.
 
-    A short list is compiled into one projection, a long one is searched as a table. Needles are
-    literal text unless ``regex`` is set; a malformed pattern or rule is an error.
+    A short list is compiled into one projection, a long one is searched as a table, with the same
+    results. Needles are literal text unless ``regex`` is set; a malformed pattern or rule is an error,
+    and so is a dated rule where ``date`` is missing or text.
     """
     parsed = as_rules(rules)
     if not parsed:
         return df
+    starts = [start for r in parsed if (start := _start(r, payroll_start)) is not None]
+    for start in starts[:1]:
+        on_or_after(df, "date", start)  # dated rules need a date column, however many rules there are
     if len(parsed) > COMPILED and not regex:
         dated = [replace(r, start_date=_start(r, payroll_start)) for r in parsed]
         return apply_rule_table(df, rules_table(df.sparkSession, dated))
@@ -179,7 +180,7 @@ def apply_rule_table(
         df_rules = df.join(full.groupBy(*by).agg(gathered.alias("_rules")), by, "left")
         own_rules = F.col("_rules")
     else:
-        df_rules, own_rules = _common_rules(df, full, gathered)
+        df_rules, own_rules = df.withColumn("_rules", full.agg(gathered.alias("_rules")).scalar()), F.col("_rules")
 
     row = F.struct(
         *[F.lower(text(df, c)).alias(c) for c in _SEARCHED],
@@ -212,20 +213,6 @@ def apply_rule_table(
     )
 
 
-def _common_rules(df: DataFrame, rules: DataFrame, gathered: Column) -> tuple[DataFrame, Column]:
-    """The one array that all rows are tested against: part of the plan while it is small.
-
-    As a constant it is shared; a longer one is carried by the rows.
-    """
-    size = F.count(F.lit(1))
-    packed = F.when(size <= RULES_IN_PLAN, F.to_json(gathered))
-    table = rules.agg(gathered.alias("_rules"))
-    constant = rules.agg(packed).first()[0]
-    if constant is None:
-        return df.withColumn("_rules", table.scalar()), F.col("_rules")
-    return df, F.from_json(F.lit(constant), table.schema["_rules"].dataType)
-
-
 def _needle(text: Column) -> Column:
     return strip(F.lower(text))
 

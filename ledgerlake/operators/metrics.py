@@ -32,16 +32,19 @@ from .classify import classify_transactions
 
 DAYS_PER_MONTH = 30.4375
 
+# The measures' names and their order.
 PERIOD_MEASURES = (
     "revenue", "cogs", "overhead", "other_expense", "gross_profit", "net_profit", "addbacks", "sde",
 )
 
+# The measures' names and their order.
 OWNER_MEASURES = (
     "revenue", "cogs", "legacy_cogs", "overhead", "other_expense", "gross_profit", "net_profit",
     "addbacks", "sde", "legacy_july_total_expense", "legacy_july_excluded_job_cost",
     "legacy_july_included_overhead",
 )
 
+# The measures' names and their order.
 KPI_MEASURES = (
     "revenue", "cogs", "legacy_cogs", "overhead", "other_expense", "addbacks", "net_profit", "sde",
     "gross_profit",
@@ -243,7 +246,9 @@ def beside(left: DataFrame, right: DataFrame, by: str | Sequence[str] = ()) -> D
     """Columns of two metric tables side by side: per key, or of the single row each has."""
     by = keys(by)
     if by:
-        return left.join(right, by, "left")
+        mine = right.withColumnsRenamed({k: f"_by_{k}" for k in by})
+        same = [left[k].eqNullSafe(mine[f"_by_{k}"]) for k in by]  # rows without a key are a key of their own
+        return left.join(mine, same, "left").drop(*[f"_by_{k}" for k in by])
     row = right.agg(F.first(F.struct(*right.columns))).scalar()
     return left.withColumn("_right", row).select("*", "_right.*").drop("_right")
 

@@ -28,6 +28,7 @@ CLASS_LABELS = {
     "other_expense": ("Other", "Other Expense"),
 }
 
+# The measures' names and their order.
 MONTHLY_COLUMNS = (
     "month", "month_str", "revenue", "cogs", "overhead", "other_expense", "gross_profit",
     "net_profit", "addbacks", "sde", "gross_margin_pct", "net_margin_pct", "sde_margin_pct",

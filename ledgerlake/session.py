@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     stored = df.checkpoint(eager=True)
-    return stored.select(*[F.col(c).alias(c) for c in stored.columns])
+    return stored.select(*[F.col(f"`{c}`").alias(c) for c in stored.columns])
 
 
 def broadcast_if_small(stored: DataFrame, rows: int) -> DataFrame:

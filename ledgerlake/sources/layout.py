@@ -165,16 +165,21 @@ def _discover_in_tasks(
 
         tops: dict = {}
         for batch in batches:
-            for file, values in batch.groupby("file", sort=False)["value"]:
-                lines = tops.setdefault(file, [])
+            for (file, whole), values in batch.groupby(["file", "whole"], sort=False)["value"]:
+                lines, _ = tops.setdefault(file, ([], whole))
                 lines.extend(values.iloc[: most_lines - len(lines)])
-        rows = [(file, *find(lines, len(lines) < most_lines)) for file, lines in tops.items()]
+        # Few lines are all there are only if the split holds the whole file.
+        rows = [(file, *find(lines, whole and len(lines) < most_lines)) for file, (lines, whole) in tops.items()]
         yield pd.DataFrame(rows, columns=["file", "header", "on_top", "skip"])
 
     first_splits = (
         spark.read.text(list(files))
         .where(F.col("_metadata.file_block_start") == 0)
-        .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+        .select(
+            F.col("value").cast("binary").alias("value"),
+            F.col("_metadata.file_path").alias("file"),
+            (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("whole"),
+        )
     )
     schema = "file string, header array<string>, on_top boolean, skip int"
     found = []
@@ -315,3 +320,14 @@ def with_file_order(df: DataFrame, name: str = "_pos") -> DataFrame:
         .withColumn(name, F.col("_before") + F.col("_seq") - F.col("_from"))
         .drop("_seq", "_before", "_from")
     )
+
+
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """Each row's file, split and place within the split as text, the same whichever files are read with it.
+
+    One row per split says where its line numbers start; several files may share a task's numbering.
+    """
+    starts = cut(df.groupBy(FILE, BLOCK).agg(F.min(LINE).alias("_from")))
+    placed = df.join(broadcast_if_small(starts, starts.count()), [FILE, BLOCK])
+    within = (F.col(LINE) - F.col("_from")).cast("string")
+    return placed.withColumn(name, F.concat_ws("#", F.col(FILE), F.col(BLOCK).cast("string"), within)).drop("_from")

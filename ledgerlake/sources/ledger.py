@@ -20,6 +20,7 @@ from .layout import (
     normalize_ledger_columns,
     read_exports,
     with_file_order,
+    with_place,
 )
 
 # Names under which the posting date may appear, best first.
@@ -78,7 +79,8 @@ def load_ledger(
     """Ledger CSV exports to the ledger schema with ``_row_id`` and, for ordering, ``_pos``.
 
     ``dense_ids`` numbers rows 0..n-1 in file order, for which the files are read twice. Without
-    it the id is the row's place (file, split, line) and costs nothing.
+    it the id is the row's place (file, split, place in the split), which does not depend on the other
+    files, and there is no ``_pos``.
     """
     raw = read_exports(
         spark,
@@ -95,8 +97,7 @@ def load_ledger(
             .withColumn("_row_id", F.col("_pos").cast("string"))
             .drop(FILE, BLOCK, LINE)
         )
-    place = F.concat_ws("#", F.col(FILE), F.col(BLOCK).cast("string"), F.col(LINE).cast("string"))
-    return df.withColumn("_row_id", place).withColumn("_pos", F.col(LINE)).drop(FILE, BLOCK, LINE)
+    return with_place(df, "_row_id").drop(FILE, BLOCK, LINE)
 
 
 def load_qb_export(

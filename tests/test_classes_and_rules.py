@@ -21,9 +21,9 @@ FLAGS = ("is_revenue", "is_cogs", "is_overhead", "is_other_expense")
         (" COGS ", "Materials", "COGS"),
         ("COGS - Labor", "Materials", "Overhead"),
         ("COGS - Labor", "705 x", "COGS"),
-        ("Expense", "705.120 · LIGHTING", "COGS"),
-        ("Expense", "7051 · LIGHTING", "Overhead"),
-        ("Expense", "865 · Rent Expense", "Overhead"),
+        ("Expense", "705.330 · FENCING", "COGS"),
+        ("Expense", "7051 · FENCING", "Overhead"),
+        ("Expense", "840 · Storage", "Overhead"),
         ("Expense", "\u00a0705.1 x", "COGS"),
         ("Bank Fee Expense", "Fees", "Balance Sheet"),
         ("Accounts Receivable", "Income", "Balance Sheet"),
@@ -180,33 +180,33 @@ def test_invoices(spark):
     costs = ll.load_green_sheets(
         spark.createDataFrame(
             [
-                ("Howard", "2025-11-05", "10000", " Material"),
-                ("Howard", "2025-11-10", "5000", "labor"),
-                ("Lynn", "2025-11-07", "20000", "material"),
-                ("Lynn", "2025-11-07", "oops", "material"),
-                ("Lynn", "2025-12-01", "1", "material"),
-                ("Nobody", "2025-11-07", "7", "material"),
+                ("Pier 6", "2025-11-04", "8000", " Material"),
+                ("Pier 6", "2025-11-13", "6000", "labor"),
+                ("Annex", "2025-11-18", "30000", "material"),
+                ("Annex", "2025-11-18", "oops", "material"),
+                ("Annex", "2025-12-01", "1", "material"),
+                ("Nobody", "2025-11-18", "7", "material"),
             ],
             "Project string, Date string, Total string, `Cost Type` string",
         )
     )
     configs = [
-        ll.JobBillingConfig("Howard", 0.10, 0.05),
-        ll.JobBillingConfig("Lynn", 0.10, 0.05),
-        ll.JobBillingConfig("Idle", 0.10, 0.05),
-        ll.JobBillingConfig("Lynn", 0.0, 0.0),
+        ll.JobBillingConfig("Pier 6", 0.20, 0.10),
+        ll.JobBillingConfig("Annex", 0.20, 0.10),
+        ll.JobBillingConfig("Idle", 0.20, 0.10),
+        ll.JobBillingConfig("Annex", 0.0, 0.0),
     ]
     got = ll.compute_period_billing(costs, configs, "2025-11-01", dt.date(2025, 11, 30)).collect()
     rows = sorted((r.job, r.overhead_amount, r.profit_amount, r.invoice_total) for r in got)
     assert rows == [
-        ("Howard", 1500, 825, 17325),
+        ("Annex", 0, 0, 30000),
+        ("Annex", 6000, 3600, 39600),
         ("Idle", 0, 0, 0),
-        ("Lynn", 0, 0, 20000),
-        ("Lynn", 2000, 1100, 23100),
+        ("Pier 6", 2800, 1680, 18480),
     ]
     assert got[0].period == "2025-11-01 → 2025-11-30"
     (alone,) = ll.compute_job_invoice(costs, configs[0], "2025-11-01", "2025-11-30").collect()
-    assert (alone.materials, alone.labor, alone.supervision) == (10000, 5000, 0)
+    assert (alone.materials, alone.labor, alone.supervision) == (8000, 6000, 0)
 
 
 def test_half_cents_round_to_even(spark, one):
@@ -323,7 +323,21 @@ def test_many_tokens_and_rules_give_what_few_give(make_ledger, monkeypatch):
     monkeypatch.setattr("ledgerlake.operators.addbacks.COMPILED", 1)
     assert reasons(ll.detect_addbacks(rows, tokens, rules)) == few
     assert few[0] == (True, "token=owner, token=co, token=co, rule=all, rule=p")
-    monkeypatch.setattr("ledgerlake.operators.addbacks.RULES_IN_PLAN", 1)
     assert reasons(ll.detect_addbacks(rows, tokens, rules)) == few
     plenty = [f"word{i}" for i in range(400)]
     assert [f for f, _ in reasons(ll.detect_addbacks(rows, plenty))] == [True, True, False]
+
+
+@pytest.mark.parametrize("count", [30, 31])
+def test_dated_rules_behave_alike_in_short_and_long_lists(spark, count):
+    rules = [ll.AddbackRule(name=f"r{i}", memo_contains=[f"word{i}"], start_date=dt.date(2025, 8, 1)) for i in range(count)]
+    rows = spark.createDataFrame(
+        [("2025-07-30", "word3"), ("2025-08-02", "word3 word5"), (None, "word3")], "day string, memo string"
+    )
+    dated = rows.selectExpr("cast(day as timestamp_ntz) as date", "memo")
+    got = {(str(r.date), r.sde_addback_reason) for r in ll.apply_addback_rules(dated, rules).collect()}
+    assert got == {("2025-07-30 00:00:00", ""), ("2025-08-02 00:00:00", "rule=r3, rule=r5"), ("None", "")}
+    with pytest.raises(KeyError):
+        ll.apply_addback_rules(rows.drop("day"), rules)
+    with pytest.raises(TypeError):
+        ll.apply_addback_rules(rows.withColumnRenamed("day", "date"), rules)
