@@ -117,3 +117,96 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     scored = katz.score(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# Words of a text with A-Z in lower case, as the contracts define them.
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+')"
+)
+
+ORACLE["op9_ngram_join"] = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM texts),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS both_n, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (both_n - common)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+_CLASSES = quality_rules.CHARACTER_CLASSES
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _distance(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of shares, in bits."""
+    term = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({1} + {2}) / 2)) ELSE 0 END"
+    each = f"({term.format('x[1]', 'x[1]', 'x[2]')} + {term.format('x[2]', 'x[1]', 'x[2]')}) / 2"
+    return f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x: {each})), 0))"
+
+
+def _quality_sql() -> str:
+    """The rules for documents in one of the listed languages, which all of the given ones are."""
+    cuts, left = [], "t"
+    for k, (_, pattern) in enumerate(_CLASSES):
+        cuts.append(f"cut{k} AS (SELECT *, regexp_replace(l{k}, {_quoted(pattern)}, '', 'g') AS l{k + 1} FROM {left})")
+        left = f"cut{k}"
+    counts = ", ".join([f"length(l{k}) - length(l{k + 1})" for k in range(len(_CLASSES))] + [f"length(l{len(_CLASSES)})"])
+    lists = " ".join(
+        f"WHEN lang = '{lang}' THEN [{', '.join(map(_quoted, words))}]" for lang, words in quality_rules.COMMON_WORDS.items()
+    )
+    limits = quality_rules.Limits()
+    space, symbol = ([name for name, _ in _CLASSES].index(n) for n in ("space", "symbol"))
+    return f"""
+WITH t AS (
+  SELECT doc_id, lang, coalesce(text, '') AS l0, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    CASE {lists} END AS common FROM documents),
+{", ".join(cuts)},
+counted AS (
+  SELECT doc_id, lang, l0, w, len(w) AS n, [{counts}] AS c,
+    list_concat(list_transform(common, lambda k: len(list_filter(w, lambda x: lower(x) = k))),
+      [len(list_filter(w, lambda x: NOT list_contains(common, lower(x))))]) AS f,
+    list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')) AS grams,
+    list_filter(string_split(l0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM {left}),
+shares AS (
+  SELECT *, list_transform(c, lambda x: x / greatest(list_sum(c), 1)) AS cs, list_transform(f, lambda x: x / greatest(n, 1)) AS fs
+  FROM counted),
+c_means AS (
+  SELECT lang, list(m ORDER BY k) AS c_ref FROM (
+    SELECT lang, k, avg(cs[k]) AS m FROM shares, range(1, {len(_CLASSES) + 2}) r(k)
+    WHERE n >= {limits.min_words_for_characters} GROUP BY lang, k) GROUP BY lang),
+f_means AS (
+  SELECT lang, list(m ORDER BY k) AS f_ref FROM (
+    SELECT lang, k, avg(fs[k]) AS m FROM shares, range(1, 17) r(k)
+    WHERE n >= {limits.min_words_for_common} GROUP BY lang, k) GROUP BY lang),
+places AS (SELECT doc_id, unnest(grams) AS g, unnest(range(1, len(grams) + 1)) AS i FROM shares),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM places) WHERE k > 1),
+again AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n_repeat FROM twice, range(0, 5) r(d) GROUP BY doc_id),
+figures AS (
+  SELECT s.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(l0) - c[{space + 1}] AS BIGINT) AS word_chars,
+    CAST(c[{symbol + 1}] AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(n >= {limits.min_words_for_characters} AND {_distance("cs", "c_ref")} > {limits.max_character_distance}, false)
+    OR coalesce(n >= {limits.min_words_for_common} AND {_distance("fs", "f_ref")} > {limits.max_word_distance}, false) AS far
+  FROM shares s LEFT JOIN again USING (doc_id) LEFT JOIN c_means USING (lang) LEFT JOIN f_means USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR far) AS kept
+FROM figures
+"""
+
+
+ORACLE["op10_quality_rules"] = _quality_sql()
