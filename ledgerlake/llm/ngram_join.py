@@ -330,15 +330,26 @@ def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame, members:
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = store(mixed.where("low < high").select("token"))
     met = among(rows, mixed, ["token"]).where("_hit").drop("_hit").join(mixed, "token")
-    tiles = store(met.withColumn("tile", band(F.col("n"))))
-    bitmaps = _of_classes(signed, nodes.join(tiles.select("node").distinct(), "node"), "bitmap")
+    rows = store(met.withColumn("band", band(F.col("n"))))
+    # The smaller set of a pair shares one of its first n / 9 + 1 shingles, and lies in the larger one's band or in
+    # the one below. Tiles without a smaller and a larger set of different components have nothing to compare.
+    smaller = rows.where("9 * (n - at) >= 8 * n").withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    larger = rows.withColumn("tile", F.col("band"))
+    sides = smaller.select("token", "tile", "component", F.lit(1).alias("small")).unionByName(
+        larger.select("token", "tile", "component", F.lit(0).alias("small"))
+    )
+    both = sides.groupBy("token", "tile").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("small").alias("a"), F.max("small").alias("b")
+    )
+    both = store(both.where("low < high AND a < b").select("token", "tile"))
+    smaller, larger = (among(side, both, ["token", "tile"]).where("_hit").drop("_hit", "band") for side in (smaller, larger))
+    asked = smaller.select("node").unionByName(larger.select("node")).distinct()
+    bitmaps = _of_classes(signed, nodes.join(asked, "node"), "bitmap")
     bitmaps = store(bitmaps.select("node", "bitmap"))
-    marked = tiles.join(bitmaps, "node")
-    left = marked.toDF(*[f"{c}1" if c not in ("token", "tile") else c for c in marked.columns])
-    right = marked.withColumn("tile", F.explode(F.array(F.col("tile"), F.col("tile") - 1)))
+    left, right = (side.join(bitmaps, "node") for side in (smaller, larger))
+    left = left.toDF(*[f"{c}1" if c not in ("token", "tile") else c for c in left.columns])
     right = right.toDF(*[f"{c}2" if c not in ("token", "tile") else c for c in right.columns])
-    # Within a band each pair is met twice, so one order is kept; a larger band's set is always on the right.
-    once = (band(F.col("n1")) != band(F.col("n2"))) | (F.col("node1") < F.col("node2"))
+    once = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
     need = 4 * (F.col("n1") + F.col("n2"))
     # At the first shingle that two sets share, all others that they share come later in both prefixes' order.
     possible = (
