@@ -10,6 +10,10 @@ for each block of passages and items. Passages have about an item's length and s
 of them lies within a twelfth of any copy. Sums of words between two places are differences of running sums, so
 overlapping passages cost no more than words do.
 
+**Rare words.** No leak hinges on the cosine. A reported passage lacks at most a fixed number of the item's words, so it
+holds at least so many of any larger set of them. Places where that many of an item's rarest words lie within a
+passage's reach come from an inverted index of these words; their passages are candidates whatever their cosine.
+
 **Checks.** A candidate is a leak if the longest common subsequence of the item's words and the passage's (and a few
 words around it) has 80 % of the item, or 60 % with the item's answer, its last sentence, word for word.
 
@@ -44,7 +48,9 @@ LENGTHS = (*range(8, 21), 22, 24, 27, 30, 34, 38, 43, 49, 56, 64, 74, 86, 104, 1
 MOST_WORDS = 128  # longer items are searched for in parts
 COSINE = 0.7
 SHARE, SHARE_WITH_ANSWER = 0.8, 0.6
+RARE_WORDS = 4  # of an item's rarest words that a passage must hold to be a candidate whatever its cosine
 BLOCK_ITEMS = 10_000
+WORDS_AT_ONCE = 50_000
 CHARACTERS_AT_ONCE = 50_000
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -74,9 +80,9 @@ def _passages(hashes: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.arange(b, b + len(h), PASSAGE) for b, h in zip(begins, hashes, strict=True)])
 
 
-def latent_space(docs: DataFrame, text: str = "text") -> np.ndarray:
+def latent_space(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """FEATURES x RANK: each feature's weight times its row of an orthonormal basis, axes of small
-    singular values stretched.
+    singular values stretched; and the weights.
 
     One pass. With A the passages (rows of word counts, of unit length) and W the features' weights, the weighted
     passages are AW. Y = W A'(A Omega) samples the range of (AW)', with A Omega as the test matrix, so the weights
@@ -127,7 +133,7 @@ def latent_space(docs: DataFrame, text: str = "text") -> np.ndarray:
         total[row["slice"] * height : (row["slice"] + 1) * height] = np.frombuffer(row["part"]).reshape(height, -1)
     weights = np.log((1 + total[0, -1]) / (1 + total[:, RANK])) + 1e-3
     basis, values, _ = np.linalg.svd(total[:, :RANK] * weights[:, None] + 1e-9 * random, full_matrices=False)
-    return (basis * (values[0] / values) ** WHITENING * weights[:, None]).astype(np.float32)
+    return (basis * (values[0] / values) ** WHITENING * weights[:, None]).astype(np.float32), weights
 
 
 def longest_common_subsequence(item: np.ndarray, passage: np.ndarray) -> int:
@@ -175,15 +181,23 @@ def _queries(items: Sequence[tuple[int, str]]) -> list[tuple[int, np.ndarray, np
 LEAK = "id long, item_id long, first_word long, n_words long, cosine double, share double, answer boolean"
 
 
+def _needed(query: tuple[int, np.ndarray, np.ndarray]) -> int:
+    """The fewest of the query's words that a reported passage can hold."""
+    _, words, answer = query
+    least = SHARE_WITH_ANSWER if len(answer) else SHARE
+    return next(k for k in range(len(words) + 1) if k / len(words) >= least)
+
+
 class _Group:
     """The queries of about one length: their directions in the space, and which features each has."""
 
     def __init__(self, length: int, queries: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
         self.length, self.step, self.queries = length, max(1, length // 6), queries
+        self.around = length // 8 + 2
         features = [_features(words) for _, words, _ in queries]
         vectors = np.array([space[f].sum(axis=0) for f in features])
         self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.copy()
-        self.sizes = np.array([len(f) for f in features])
+        self.needed = np.array([_needed(query) for query in queries])
         table = np.zeros((len(queries), FEATURES), bool)
         for row, f in zip(table, features, strict=True):
             row[f] = True
@@ -199,18 +213,37 @@ class _Group:
         start = np.concatenate(starts)
         return start, np.minimum(start + self.length, ends[doc]), doc
 
+    def around_runs(
+        self, runs: np.ndarray, starts: np.ndarray, docs: np.ndarray, ends: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Passages, in order, and queries whose runs lie in the passage and the words around it."""
+        query, first, last = runs
+        doc = np.searchsorted(ends, first, side="right")
+        low = np.searchsorted(starts, last + 1 - self.length - self.around)
+        high = np.searchsorted(starts, first + self.around, side="right")
+        low = np.maximum(low, np.searchsorted(docs, doc))
+        high = np.minimum(high, np.searchsorted(docs, doc, side="right"))
+        sizes = np.where(last < ends[doc], np.maximum(high - low, 0), 0)
+        passage = np.arange(sizes.sum()) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+        pairs = np.unique(passage * len(self.queries) + np.repeat(query, sizes))
+        return pairs // len(self.queries), pairs % len(self.queries)
+
     def candidates(
-        self, sums: np.ndarray, feature: np.ndarray, begins: np.ndarray, ends: np.ndarray
+        self, sums: np.ndarray, runs: np.ndarray, feature: np.ndarray, begins: np.ndarray, ends: np.ndarray
     ) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, query, first word, end, cosine) where enough of the query's features stand."""
         starts, stops, docs = self.passages(begins, ends)
-        around = self.length // 8 + 2
+        around = self.around
+        rare, rare_query = self.around_runs(runs, starts, docs, ends)
         for low in range(0, len(starts), 8_000):
             start, stop, doc = (x[low : low + 8_000] for x in (starts, stops, docs))
             passage = sums[stop] - sums[start]
             passage /= np.maximum(np.sqrt(np.einsum("ij,ij->i", passage, passage)), 1e-9)[:, None]
             cosine = passage @ self.vectors
-            near, query = np.nonzero(cosine >= COSINE)
+            wanted = cosine >= COSINE
+            own = slice(*np.searchsorted(rare, (low, low + len(start))))
+            wanted[rare[own] - low, rare_query[own]] = True
+            near, query = np.nonzero(wanted)
             # Words in the passage that the query has at all bound the common subsequence from above.
             first = np.maximum(start[near] - around, begins[doc[near]])
             last = np.minimum(stop[near] + around, ends[doc[near]])
@@ -221,22 +254,71 @@ class _Group:
                 inside = at < last[cut, None]
                 f = feature[np.minimum(at, len(feature) - 1)]
                 bit = (self.members[query[cut, None], f >> 3] >> (f & 7).astype(np.uint8)) & 1
-                enough[cut] = (bit.astype(bool) & inside).sum(axis=1) >= SHARE_WITH_ANSWER * self.sizes[query[cut]]
+                enough[cut] = (bit.astype(bool) & inside).sum(axis=1) >= self.needed[query[cut]]
             for i in np.flatnonzero(enough):
                 yield int(doc[near[i]]), int(query[i]), int(first[i]), int(last[i]), float(cosine[near[i], query[i]])
 
 
-def _search(docs: DataFrame, items: Sequence[tuple[int, str]], space: np.ndarray, id: str, text: str) -> DataFrame:
+class _RareWords:
+    """An inverted index of the rarest words of all groups' queries, by feature."""
+
+    def __init__(self, groups: Sequence[_Group], weights: np.ndarray):
+        least, reach, owners, found = [], [], [], []
+        for group in groups:
+            for query, needed in zip(group.queries, group.needed.tolist(), strict=True):
+                feature = _features(query[1])
+                least.append(min(needed, RARE_WORDS))
+                rarest = np.argsort(-weights[feature], kind="stable")[: len(feature) - needed + least[-1]]
+                found.append(np.unique(feature[rarest]))
+                owners.append(np.full(len(found[-1]), len(reach)))
+                reach.append(group.length + 2 * group.around)
+        self.offsets = np.cumsum([0, *(len(group.queries) for group in groups)])
+        self.least, self.reach = np.array(least, np.int64), np.array(reach, np.int64)
+        joined = np.concatenate([np.empty(0, np.int64), *found])
+        order = np.argsort(joined, kind="stable")
+        self.owners = np.concatenate([np.empty(0, np.int64), *owners])[order].astype(np.min_scalar_type(len(reach)))
+        self.sizes = np.bincount(joined, minlength=FEATURES)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def _runs(self, feature: np.ndarray) -> np.ndarray:
+        place = np.flatnonzero(self.sizes[feature])
+        sizes = self.sizes[feature[place]]
+        skipped = self.first[feature[place]] - np.cumsum(sizes) + sizes
+        query = self.owners[np.arange(sizes.sum()) + np.repeat(skipped, sizes)]
+        order = np.argsort(query, kind="stable")
+        query, place = query[order], np.repeat(place, sizes)[order]
+        last = np.arange(len(query)) + self.least[query] - 1
+        inside = np.flatnonzero(last < len(query))
+        last = last[inside]
+        run = (query[last] == query[inside]) & (place[last] - place[inside] < self.reach[query[inside]])
+        return np.stack([query[inside[run]].astype(np.int64), place[inside[run]], place[last[run]]])
+
+    def runs(self, feature: np.ndarray) -> list[np.ndarray]:
+        """For each group: queries, and the first and last place of as many rare words as a leak holds at least."""
+        most = int(self.reach.max(initial=0))
+        parts = [
+            self._runs(feature[low : low + WORDS_AT_ONCE + most]) + np.array([[0], [low], [low]])
+            for low in range(0, len(feature), WORDS_AT_ONCE)
+        ]
+        found = np.concatenate(parts, axis=1)
+        own = [found[:, (found[0] >= a) & (found[0] < b)] for a, b in zip(self.offsets, self.offsets[1:], strict=False)]
+        return [runs - np.array([[a], [0], [0]]) for a, runs in zip(self.offsets, own, strict=False)]
+
+
+def _search(
+    docs: DataFrame, items: Sequence[tuple[int, str]], space: tuple[np.ndarray, np.ndarray], id: str, text: str
+) -> DataFrame:
     queries = _queries(items)
     by_length: dict[int, list] = {}
     for query in queries:
         by_length.setdefault(min(LENGTHS, key=lambda n: abs(n - len(query[1]))), []).append(query)
     groups = [(length, own) for length, own in sorted(by_length.items())]
-    shared = docs.sparkSession.sparkContext.broadcast((space, groups))
+    shared = docs.sparkSession.sparkContext.broadcast((*space, groups))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        latent, groups = shared.value
+        latent, weights, groups = shared.value
         searched, powers = [_Group(length, own, latent) for length, own in groups], Powers()
+        rare = _RareWords(searched, weights)
         for batch in batches:
             ids, leaks = batch["id"].tolist(), []
             for rows, hashes in _blocks(batch["text"].tolist(), powers):
@@ -246,8 +328,8 @@ def _search(docs: DataFrame, items: Sequence[tuple[int, str]], space: np.ndarray
                 np.cumsum(latent[feature], axis=0, out=sums[1:])
                 ends = np.cumsum([len(h) for h in hashes])
                 begins = ends - [len(h) for h in hashes]
-                for group in searched:
-                    for doc, query, first, last, cosine in group.candidates(sums, feature, begins, ends):
+                for group, runs in zip(searched, rare.runs(feature), strict=True):
+                    for doc, query, first, last, cosine in group.candidates(sums, runs, feature, begins, ends):
                         item, wanted, answer = group.queries[query]
                         share = longest_common_subsequence(wanted, words[first:last]) / len(wanted)
                         told = share >= SHARE_WITH_ANSWER and _contains(words[first:last], answer)

@@ -4,7 +4,7 @@ import numpy as np
 
 from ledgerlake.llm import decontaminate as D
 
-from .conftest import prose
+from .conftest import WORDS, prose
 
 
 def subsequence(a, b):
@@ -54,6 +54,36 @@ def test_copies_and_paraphrases_are_found_and_nothing_else(spark, frame, awkward
     assert "_hit" in kept.columns
 
 
+def edited(words, keep, seed):
+    """So many of the words as they are, each of the others replaced."""
+    rng = random.Random(seed)
+    stay = set(rng.sample(range(len(words)), keep))
+    return [w if k in stay else f"new{rng.randrange(10**6)}" for k, w in enumerate(words)]
+
+
+def test_every_copy_that_passes_the_checks_is_found_however_edited(spark, frame):
+    rng = random.Random(4)
+    vocabulary = [item(5000 + k, 1) for k in range(2000)]
+
+    def text(n):  # every third word is one of few, as in any language
+        return [rng.choice(WORDS if rng.random() < 0.35 else vocabulary) for _ in range(n)]
+
+    items, rows, wanted = [], [], set()
+    for k in range(24):
+        body, answer = text(rng.randrange(12, 50)), text(6)
+        items.append((k, f"{' '.join(body)}. {' '.join(answer)}."))
+        n = len(body) + len(answer)
+        for percent in (100, 90, 80, 70, 60):
+            keep = -(-n * percent // 100)
+            copy = edited(body, max(0, keep - len(answer)), 1000 * k + percent) + answer
+            if percent >= 80:  # found by its share, so the answer may be edited as well
+                copy = edited(body + answer, keep, 1000 * k + percent)
+            rows.append((1000 * k + percent, " ".join(text(200) + copy + text(300))))
+            wanted.add((rows[-1][0], k))
+    found = D.find_leaks(frame(rows), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == wanted
+
+
 def test_empty_tables(spark, frame, nothing):
     assert D.find_leaks(nothing, benchmark(spark, [(1, item(1, 20))])).count() == 0
     assert D.clean(frame([(1, prose(1, 50))]), benchmark(spark, [])).count() == 1
