@@ -173,7 +173,7 @@ def _queries(items: Sequence[tuple[int, str]]) -> list[tuple[int, np.ndarray, np
         if len(hashes) < LEAST_WORDS:
             continue
         answer = _hashes(b" ".join(answer_words(text)).decode(), powers)
-        parts = max(1, round(len(hashes) / MOST_WORDS))
+        parts = -(-len(hashes) // MOST_WORDS)
         found += [(item, part, answer) for part in np.array_split(hashes, parts)]
     return found
 

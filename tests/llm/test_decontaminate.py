@@ -84,6 +84,16 @@ def test_every_copy_that_passes_the_checks_is_found_however_edited(spark, frame)
     assert {(r["doc_id"], r["item_id"]) for r in found} == wanted
 
 
+def test_edited_copies_of_items_around_the_longest_part_are_found(spark, frame):
+    items, rows = [], []
+    for k, n in enumerate((128, 129, 150, 170, 191, 192, 250)):
+        words = item(40 + k, n).split()
+        items.append((k, " ".join(words)))
+        rows.append((k, f"{item(300 + k, 150)} {' '.join(edited(words, n - n * 15 // 100, k))} {item(400 + k, 150)}"))
+    found = D.find_leaks(frame(rows), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k, _ in items}
+
+
 def test_empty_tables(spark, frame, nothing):
     assert D.find_leaks(nothing, benchmark(spark, [(1, item(1, 20))])).count() == 0
     assert D.clean(frame([(1, prose(1, 50))]), benchmark(spark, [])).count() == 1
