@@ -1,12 +1,13 @@
 """Quality rules: base counts, and the divergence of a document from its language's reference.
 
-Everything is one native column expression per document, so a filter needs no shuffle. The only
-other job is the one that learns the references: conditional sums per language, of which a fixed
-number of rows (the given languages) reaches the driver.
-
-Defined results: a null text counts as empty; an empty text has no words and fails the base rules;
-a null or unlisted language is compared with every reference and judged by the nearest; without any
-reference (an empty table, or no document long enough) only the base rules decide.
+Everything is one native column expression per document. The only other job is the one that learns
+the references: means per language, one row for each language that the corpus holds. This table is
+stored, counted and joined back; as long as it is small enough to be broadcast, no document moves.
+
+Defined results: a null text counts as empty; an empty text has no words and fails the base rules.
+Characters are compared with the reference of the document's own language, whichever that is; common
+words only where the language has a list. What a language has no list or reference for (no language,
+an empty table, or no document long enough) is not judged, so that the base rules decide alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from ..session import broadcast_if_small
+from .common import WORD, let, packed, store
 
 # Frequent function words of each language.
 COMMON_WORDS: dict[str, tuple[str, ...]] = {
@@ -169,27 +171,32 @@ def _literal(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def learn_references(
+def _own_words(lang: Column, languages: Mapping[str, Sequence[str]]) -> Column:
+    """The language's common words; null where it has no list."""
+    return reduce(
+        lambda rest, name: F.when(lang == name, _literal(languages[name])).otherwise(rest),
+        languages,
+        F.lit(None).cast("array<string>"),
+    )
+
+
+def reference_table(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
     languages: Mapping[str, Sequence[str]] = COMMON_WORDS,
     limits: Limits = Limits(),
-) -> dict[str, Reference]:
-    """Mean shares over every long enough document of each given language.
+) -> DataFrame:
+    """Mean shares over every long enough document of each language present: language, characters, frequent.
 
-    One pass with partial sums; each document weighs the same. The result has one row for each given
-    language, whatever the corpus holds.
+    One pass with partial sums; each document weighs the same. ``frequent`` is null for languages without a list,
+    and either is null where no document is long enough.
     """
-    own_words = reduce(
-        lambda rest, name: F.when(F.col("lang") == name, _literal(languages[name])).otherwise(rest),
-        languages,
-        F.lit(None).cast("array<string>"),
-    )
+    own_words = _own_words(F.col("lang"), languages)
     width = len(CHARACTER_CLASSES) + 1
     shares = (
         docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
-        .where(F.col("lang").isin(*languages))
+        .where("lang IS NOT NULL")
         .select(
             "lang",
             let(
@@ -197,58 +204,56 @@ def learn_references(
                 lambda w: F.struct(
                     F.size(w).alias("n"),
                     F.when(F.size(w) >= limits.min_words_for_characters, _shares(_class_counts(F.col("text")))).alias("c"),
-                    F.when(F.size(w) >= limits.min_words_for_common, _shares(_common_counts(w, own_words))).alias("w"),
+                    F.when(
+                        (F.size(w) >= limits.min_words_for_common) & own_words.isNotNull(),
+                        _shares(_common_counts(w, own_words)),
+                    ).alias("w"),
                 ),
             ).alias("s"),
         )
     )
-    longest = max(len(words) for words in languages.values()) + 1
-    means = shares.groupBy("lang").agg(
-        *[F.avg(F.get("s.c", F.lit(i))).alias(f"c{i}") for i in range(width)],
-        *[F.avg(F.get("s.w", F.lit(i))).alias(f"w{i}") for i in range(longest)],
+    longest = max(map(len, languages.values()), default=0) + 1
+    means = shares.groupBy(F.col("lang").alias("language")).agg(
+        F.array(*[F.avg(F.get("s.c", F.lit(i))) for i in range(width)]).alias("c"),
+        F.array(*[F.avg(F.get("s.w", F.lit(i))) for i in range(longest)]).alias("w"),
     )
-    found = {}
-    for row in means.collect():  # at most one row for each given language
-        size = len(languages[row["lang"]]) + 1
-        found[row["lang"]] = (
-            [row[f"c{i}"] for i in range(width)] if row["c0"] is not None else [],
-            [row[f"w{i}"] for i in range(size)] if row["w0"] is not None else [],
-        )
-    return found
 
+    def learned(found: str) -> Column:
+        return F.when(F.get(found, F.lit(0)).isNotNull(), F.filter(found, lambda x: x.isNotNull()))
 
-def _divergent(words: Column, classes: Column, common: Sequence[str], reference: Reference, limits: Limits) -> Column:
-    characters, frequent = reference
-    far = F.lit(False)
-    if characters:
-        far = far | (
-            (F.size(words) >= limits.min_words_for_characters)
-            & (js_distance(_shares(classes), _literal(characters)) > limits.max_character_distance)
-        )
-    if frequent:
-        far = far | (
-            (F.size(words) >= limits.min_words_for_common)
-            & (js_distance(_shares(_common_counts(words, _literal(common))), _literal(frequent)) > limits.max_word_distance)
-        )
-    return far
+    return means.select("language", learned("c").alias("characters"), learned("w").alias("frequent"))
 
 
-def assess(
-    text: Column,
-    lang: Column,
-    references: Mapping[str, Reference],
+def learn_references(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
     languages: Mapping[str, Sequence[str]] = COMMON_WORDS,
     limits: Limits = Limits(),
-) -> Column:
-    """A struct for each document: the base counts, base_failed, divergent, kept."""
+) -> dict[str, Reference]:
+    """The references of the given languages, as many as the corpus holds."""
+    listed = docs.where(F.col(lang).isin(*languages))
+    rows = reference_table(listed, text, lang, languages, limits).collect()  # at most one row for each given language
+    return {row["language"]: (row["characters"] or [], row["frequent"] or []) for row in rows}
+
 
+def _divergent(words: Column, classes: Column, common: Column, reference: tuple[Column, Column], limits: Limits) -> Column:
+    characters, frequent = reference
+    by_characters = F.when(
+        (F.size(words) >= limits.min_words_for_characters) & characters.isNotNull(),
+        js_distance(_shares(classes), characters) > limits.max_character_distance,
+    ).otherwise(F.lit(False))
+    by_words = F.when(
+        (F.size(words) >= limits.min_words_for_common) & common.isNotNull() & frequent.isNotNull(),
+        js_distance(_shares(_common_counts(words, common)), frequent) > limits.max_word_distance,
+    ).otherwise(F.lit(False))
+    return by_characters | by_words
+
+
+def _assessed(text: Column, common: Column, reference: tuple[Column, Column], limits: Limits) -> Column:
     def judged(t: Column, w: Column, classes: Column) -> Column:
         counts = _base(t, w, classes)
-        far = {
-            name: _divergent(w, classes, languages[name], reference, limits) for name, reference in references.items()
-        }
-        nearest = reduce(lambda a, b: a & b, far.values(), F.lit(bool(far)))
-        divergent = reduce(lambda rest, name: F.when(lang == name, far[name]).otherwise(rest), far, nearest)
+        divergent = _divergent(w, classes, common, reference, limits)
         return let(
             F.struct(*[c.alias(n) for n, c in counts.items()], divergent.alias("divergent")),
             lambda s: let(
@@ -268,7 +273,41 @@ def assess(
     )
 
 
+def assess(
+    text: Column,
+    lang: Column,
+    references: Mapping[str, Reference],
+    languages: Mapping[str, Sequence[str]] = COMMON_WORDS,
+    limits: Limits = Limits(),
+) -> Column:
+    """A struct for each document, by given references: the base counts, base_failed, divergent, kept."""
+
+    def own(part: int) -> Column:
+        known = [name for name, reference in references.items() if reference[part]]
+        return reduce(
+            lambda rest, name: F.when(lang == name, _literal(references[name][part])).otherwise(rest),
+            known,
+            F.lit(None).cast("array<double>"),
+        )
+
+    return _assessed(text, _own_words(lang, languages), (own(0), own(1)), limits)
+
+
+def assessed(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    languages: Mapping[str, Sequence[str]] = COMMON_WORDS,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """Whole documents as one column, ``row``, beside their assessment ``q`` by the references that they teach."""
+    references = store(reference_table(docs, text, lang, languages, limits))
+    references = broadcast_if_small(references, references.count())
+    rows = packed(docs, own=F.col(lang)).join(references, F.col("own") == F.col("language"), "left")
+    reference = F.col("characters"), F.col("frequent")
+    return rows.select("row", _assessed(F.col("row")[text], _own_words(F.col("own"), languages), reference, limits).alias("q"))
+
+
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    references = learn_references(docs, text, lang, **options)
-    return docs.where(assess(F.col(text), F.col(lang), references, **options)["kept"])
+    return assessed(docs, text, lang, **options).where("q.kept").select("row.*")

@@ -23,9 +23,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    references = quality_rules.learn_references(docs)
-    judged = docs.select("doc_id", quality_rules.assess(F.col("text"), F.col("lang"), references).alias("q"))
-    return judged.select("doc_id", "q.*").drop("divergent")
+    return quality_rules.assessed(docs).select("row.doc_id", "q.*").drop("divergent")
 
 
 @query

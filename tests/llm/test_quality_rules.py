@@ -64,6 +64,24 @@ def test_unknown_languages_meet_every_reference(frame):
         assert all(kept for _, kept in assessed(frame(rows, lang), references).values())
 
 
+def test_each_language_is_judged_by_its_own_characters_or_not_at_all(frame):
+    rng = random.Random(9)
+    letters = {"ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "ar": range(0x627, 0x64B), "nl": range(97, 123)}
+
+    def plain(lang):
+        words = ["".join(chr(rng.choice(letters[lang])) for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+        return " ".join(words) + "."
+
+    docs = frame([(i, prose(i, 120)) for i in range(6)])
+    for k, lang in enumerate(letters):
+        first = 100 * k + 100
+        docs = docs.unionByName(frame([(first + i, plain(lang)) for i in range(12)], lang))
+    docs = docs.unionByName(frame([(600, plain("ru")), (601, plain("nl"))], None))
+    docs = docs.unionByName(frame([(700, " ".join(w + "$$$" for w in plain("ru").split())), (701, "$ " * 8)], "ru"))
+    kept = {r["doc_id"] for r in Q.keep_good(docs).collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - {700, 701}
+
+
 def test_empty_table_and_all_columns(nothing, awkward):
     assert Q.learn_references(nothing) == {}
     assert Q.keep_good(nothing).count() == 0
