@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, katz, licenses, ngram_join, pii, quality_model, quality_rules, suffix_dedup
+from . import bpe, chat, collocations, decontaminate, katz, licenses, ngram_join, pii, quality_model, quality_rules, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,12 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = collocations.count_phrases(table(spark, sf_dir, "documents"))
+    return collocations.collocations(counts, top=2000)
+
+
 # Words of a text with A-Z in lower case, as the contracts define them.
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -208,3 +214,32 @@ FROM figures
 
 
 ORACLE["op10_quality_rules"] = _quality_sql()
+
+ORACLE["op11_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+places AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, range(1, 6) r(k) WHERE len(w) >= k),
+frequent AS (SELECT lang, k, phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, c AS cut, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS tail
+  FROM frequent, range(1, 5) r(c) WHERE c < k),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang JOIN frequent x ON x.lang = c.lang AND x.phrase = c.head
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = c.tail),
+weakest AS (
+  SELECT * FROM scored s WHERE NOT EXISTS (
+    SELECT 1 FROM frequent o WHERE o.lang = s.lang AND o.k > len(string_split(s.phrase, ' ')) AND 100 * o.f >= 100 * s.a
+      AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
