@@ -52,7 +52,7 @@ class Mining:
     support: int = 100
     shortest: int = 2
     longest: int = 5
-    shards: int = 20
+    shards: int = 8
 
     @property
     def local_support(self) -> int:
@@ -109,21 +109,24 @@ def _chunks(batch: pa.RecordBatch, powers: Powers) -> Iterator[tuple[str, Words]
 
 
 class Filter:
-    """A bitmap of hashes."""
+    """A bitmap of hashes: two bits for each, from its lowest and its highest digits."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes & np.uint64(FILTER_BITS - 1)
-        return (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        both = np.ones(len(hashes), bool)
+        for bit in (hashes & np.uint64(FILTER_BITS - 1), hashes >> np.uint64(64 - FILTER_BITS.bit_length() + 1)):
+            both &= (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        return both
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
     """The filter of a column ``gram``; 8 MB come to the driver, whatever the number of rows."""
-    bit = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1))
+    low = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1))
+    high = F.shiftrightunsigned("gram", 64 - FILTER_BITS.bit_length() + 1)
     blocks = (
-        grams.select(bit.alias("bit"))
+        grams.select(F.explode(F.array(low, high)).alias("bit"))
         .groupBy(F.floor(F.col("bit") / 32768).alias("block"))
         .agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
     )

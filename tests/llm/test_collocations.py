@@ -74,7 +74,7 @@ def sentences(seed, n):
 def test_equals_counting_everything(spark):
     rows = sentences(1, 600) + [("en", "a b c d e f")] * 40 + [("en", None), (None, ""), ("fr", " \t.")]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(7)
-    for support, shards, top in ((12, 3, 15), (40, 20, 2000), (1, 20, 4)):
+    for support, shards, top in ((12, 3, 15), (40, 8, 2000), (1, 20, 4)):
         got = mined(df, Mining(support=support, shards=shards), top)
         assert got == sorted(plain_collocations(rows, support, top)), (support, shards)
 
