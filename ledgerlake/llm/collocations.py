@@ -40,7 +40,7 @@ BREAK, BLANK = 10, 32
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 # Bytes of a text: A-Z in lower case, one byte for all that ends a piece, one for blanks.
 TABLE = bytes(BREAK if c in _BREAKS else BLANK if c in b" \t" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-CHUNK = 1 << 21  # characters that are cut into words at once
+CHUNK = 1 << 20  # characters that are cut into words at once
 HELD = 1 << 22  # phrases that a task adds up before it sends them on
 ROWS = 1 << 16
 
@@ -63,8 +63,9 @@ class Words:
     """Words of some texts in order: where they are, their hashes, and the piece that each is in."""
 
     def __init__(self, texts: list[str | None], powers: Powers, seed: int):
-        self.bytes = b"\n".join(t.encode() if t else b"" for t in texts).translate(TABLE)
-        data = np.frombuffer(self.bytes, np.uint8)
+        data = np.frombuffer(b"\n".join(t.encode() if t else b"" for t in texts).translate(TABLE), np.uint8)
+        blank = data == BLANK
+        data = self.data = data[~(blank & np.append(False, blank[:-1]))] if len(data) else data  # one blank between words
         inside = (data != BREAK) & (data != BLANK)
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.start, self.end = edges[::2], edges[1::2]
@@ -89,8 +90,13 @@ class Words:
         at = np.flatnonzero(self.piece[: len(self.piece) - size + 1] == self.piece[size - 1 :])
         return at, mixed(gram_hashes(self.hash, size)[at] ^ self.seed)
 
-    def phrase(self, at: int, size: int) -> str:
-        return b" ".join(self.bytes[self.start[at] : self.end[at + size - 1]].split()).decode()
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        """Texts of the runs of ``size`` words that begin at words ``at``."""
+        first, length = self.start[at], self.end[at + size - 1] - self.start[at]
+        offsets = np.append(0, np.cumsum(length))
+        places = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], length)
+        buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.data[places])]
+        return pa.Array.from_buffers(pa.string(), len(at), buffers)
 
 
 def _seed(lang: str) -> int:
@@ -136,14 +142,12 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return whole
 
 
-def _slices(columns: list[np.ndarray | list], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for first in range(0, len(columns[0]), ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(c[first : first + ROWS]) for c in columns], names)
-
-
 def _distinct(held: list[np.ndarray], shard: int) -> Iterator[pa.RecordBatch]:
     grams, counts = np.unique(np.concatenate(held), return_counts=True)
-    yield from _slices([np.full(len(grams), shard), grams.view(np.int64), counts], ["shard", "gram", "n"])
+    for a in range(0, len(grams), ROWS):
+        part = grams[a : a + ROWS].view(np.int64)
+        columns = [pa.array(np.full(len(part), shard)), pa.array(part), pa.array(counts[a : a + ROWS])]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "gram", "n"])
 
 
 def _later(flags: np.ndarray, by: int) -> np.ndarray:
@@ -174,24 +178,22 @@ def _shard_counts(rows: DataFrame, mining: Mining, places: Callable[[Words], Ite
 
 
 def _phrase_counts(rows: DataFrame, mining: Mining, shared) -> DataFrame:
-    """Exact counts by text of the phrases that the filter lets through; the phrase '' counts all words."""
+    """Exact counts by text of the phrases that the filter lets through; the phrase '' counts all words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, wanted = Powers(), Filter(shared.value)
-        counts: dict[tuple[str, int], int] = {}
-        phrases: dict[tuple[str, int], tuple[str, int]] = {}
+    A task holds one portion of its texts at a time and sends what it counted there; the sums over a task's
+    portions and then over tasks are the engine's.
+    """
 
-        def send() -> Iterator[pa.RecordBatch]:
-            keys = list(counts)
-            texts = [phrases[k] for k in keys]
-            columns = [[k[0] for k in keys], [t[0] for t in texts], [t[1] for t in texts], [counts[k] for k in keys]]
-            yield from _slices(columns, ["lang", "phrase", "words", "f"])
+    def counted(lang: str, phrases: pa.Array, words: int, f: np.ndarray) -> pa.RecordBatch:
+        same = [pa.array([value]).take(pa.array(np.zeros(len(phrases), np.int32))) for value in (lang, words)]
+        return pa.RecordBatch.from_arrays([same[0], phrases, same[1], pa.array(f)], ["lang", "phrase", "words", "f"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, wanted = Powers(), Filter(shared.value)
         for batch in batches:
             for lang, words in _chunks(batch, powers):
                 if len(words.hash):
-                    phrases[lang, 0] = ("", 0)
-                    counts[lang, 0] = counts.get((lang, 0), 0) + len(words.hash)
+                    yield counted(lang, pa.array([""]), 0, np.array([len(words.hash)]))
                 before = None
                 for size in range(1, mining.longest + 1):
                     at, grams = words.grams(size)
@@ -200,21 +202,12 @@ def _phrase_counts(rows: DataFrame, mining: Mining, shared) -> DataFrame:
                         hit &= before[at] & before[at + 1]
                     before = np.zeros(len(words.hash) + 1, bool)
                     before[at[hit]] = True
-                    found, where, n = np.unique(grams[hit], return_index=True, return_counts=True)
-                    for gram, place, k in zip(found.tolist(), at[hit][where].tolist(), n.tolist(), strict=True):
-                        if (lang, gram) not in counts:
-                            counts[lang, gram] = k
-                            phrases[lang, gram] = (words.phrase(place, size), size)
-                        else:
-                            counts[lang, gram] += k
-                if len(counts) >= HELD // 16:
-                    yield from send()
-                    counts, phrases = {}, {}
-        if counts:
-            yield from send()
-
-    counted = rows.mapInArrow(run, "lang string, phrase string, words long, f long")
-    total = counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+                    _, where, f = np.unique(grams[hit], return_index=True, return_counts=True)
+                    if len(f):
+                        yield counted(lang, words.phrases(at[hit][where], size), size, f)
+
+    parts = rows.mapInArrow(run, "lang string, phrase string, words long, f long")
+    total = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     return total.where((F.col("f") >= mining.support) | (F.col("words") == 0))
 
 
