@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collocations, decontaminate, katz, lang_id, licenses, ngram_join, pii, quality_model, quality_rules, suffix_dedup
+from . import bpe, chat, collocations, decontaminate, katz, lang_id, licenses, ngram_join, pii, quality_model, quality_rules, repair, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,13 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = repair.damaged(rows)
+    return repair.digests(damaged, repair.plan(repair.assess(damaged, ids=rows)))
+
+
 # Words of a text with A-Z in lower case, as the contracts define them.
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -251,3 +258,78 @@ weakest AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
+
+
+def _repair_sql() -> str:
+    """Damage, faults, and the cheapest edits from the end of each distinct signature, all as lists in recursions."""
+    best = lambda *options: f"list_sort([{', '.join(options)}])[1]"
+    choice = lambda cost, edit, state: f"{{'c': {cost} + g[{state + 1}].c, 'a': '{edit}' || g[{state + 1}].a}}"
+    inserted = lambda n, state: f"{{'c': {3 * n} + b[{state + 1}].c, 'a': '{'I' * n}' || b[{state + 1}].a}}"
+    steps, after = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}, {0: 2, 1: 2, 2: 3, 3: 2}
+    more = "CASE WHEN letter = upper(letter) THEN 3 ELSE 0 END"
+    rest, whole = [], []
+    for state in range(4):
+        delete, relabel = choice("4", "D", state), choice(f"3 + {more}", "R", after[state])
+        kept = " ".join(f"WHEN lower(letter) = '{r}' THEN {best(delete, relabel, choice(more, 'K', to))}" for r, to in steps[state].items())
+        rest.append(f"CASE WHEN letter = 'x' THEN {delete} {kept} ELSE {best(delete, relabel)} END")
+        chain = [state, after[state], after[after[state]], after[after[after[state]]]]
+        whole.append(best(*[inserted(n, to) for n, to in enumerate(chain)]))
+    last = "[{'c': 0, 'a': ''}, {'c': 6, 'a': 'II'}, {'c': 3, 'a': 'I'}, {'c': 0, 'a': ''}]"
+    wanted = "CASE state WHEN 2 THEN 'assistant' ELSE 'user' END"
+    to = lambda role: f"CASE left({role}, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END"
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda c: CAST(ord(c) AS BIGINT)) AS bytes FROM conversations),
+fated AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT) FOR z IN range(8)]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))),
+    4294967295) % 20 AS fate FROM keyed),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM fated, range(2) r(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
+counted AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM rows_),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS place FROM counted),
+faults AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM placed),
+lettered AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN initial NOT IN ('s', 'u', 'a') AND fault = '' THEN 'o'
+    WHEN initial NOT IN ('s', 'u', 'a') THEN 'O' WHEN fault = '' THEN initial ELSE upper(initial) END AS letter FROM faults),
+found AS (
+  SELECT conv_id, string_agg(letter, '' ORDER BY place) AS signature, list(role ORDER BY place) AS roles, list(text ORDER BY place) AS texts,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM lettered GROUP BY conv_id),
+convs AS (
+  SELECT i.conv_id, coalesce(signature, '') AS signature, roles, texts, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM i.conv_id),
+costs(signature, place, g) AS (
+  SELECT DISTINCT signature, length(signature), {last} FROM convs
+  UNION ALL
+  SELECT signature, place - 1, [{', '.join(whole)}] FROM (
+    SELECT signature, place, [{', '.join(rest)}] AS b FROM (
+      SELECT signature, place, g, signature[place] AS letter FROM costs WHERE place > 0))),
+planned AS (SELECT c.*, g[1].c AS cost, g[1].a AS audit FROM convs c JOIN costs x ON x.signature = c.signature AND x.place = 0),
+walk(conv_id, audit, roles, texts, pos, place, state, said) AS (
+  SELECT conv_id, audit, roles, texts, 1, 1, 0, CAST([] AS VARCHAR[]) FROM planned
+  UNION ALL
+  SELECT conv_id, audit, roles, texts, pos + 1, place + CASE WHEN edit = 'I' THEN 0 ELSE 1 END,
+    CASE edit WHEN 'D' THEN state WHEN 'K' THEN {to("roles[place]")} ELSE {to(wanted)} END,
+    CASE edit WHEN 'D' THEN said WHEN 'K' THEN list_append(said, roles[place] || ':' || texts[place])
+      WHEN 'R' THEN list_append(said, {wanted} || ':' || texts[place]) ELSE list_append(said, {wanted} || ':') END
+  FROM (SELECT *, audit[pos] AS edit FROM walk WHERE pos <= length(audit)))
+SELECT p.conv_id, p.gaps, p.blank, p.duplicate, p.truncated, p.illegal, CAST(p.cost AS BIGINT) AS cost, p.audit,
+  CAST(len(said) AS BIGINT) AS n_turns, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+FROM planned p JOIN walk w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.pos = length(w.audit) + 1
+"""
+
+
+ORACLE["op13_conversation_repair"] = _repair_sql()
