@@ -203,6 +203,53 @@ def signed_reconcile_summary(spark, sf_dir):
     return plain(ll.match_summary(signed(spark, sf_dir)), 3)
 
 
+def dense_ledger(spark, sf_dir):
+    """Bank rows with one of thirty amounts a cent apart, so that all of them hang together."""
+    rows = ledger(spark, sf_dir).where(F.col("account_type") == "Bank")
+    cents = F.round(F.col("amount") * 100).cast("bigint") % 30
+    return rows.withColumn("amount", F.round(F.lit(100.0) + cents / 100, 2))
+
+
+def dense_bank(spark, sf_dir):
+    rows = dense_ledger(spark, sf_dir).where(F.length("memo") % 4 != 0)
+    amount = F.round(F.col("amount") + (F.day("date") % 3 - 1) * F.lit(0.004), 3)
+    return rows.select(
+        F.col("_row_id").alias("bank_id"),
+        F.date_add("date", F.day("date") % 19 - 4).alias("date"),
+        F.when(F.month("date") % 6 == 0, -amount).otherwise(amount).alias("amount"),
+    )
+
+
+@query(
+    "match_bank_signed_dense_cents",
+    f"""WITH {LEDGER},
+dense AS (SELECT _row_id, date, memo, round(100.0 + (CAST(round(amount * 100) AS BIGINT) % 30) / 100, 2) AS amount
+  FROM ledger WHERE account_type = 'Bank'),
+register AS (SELECT _row_id AS bank_id, date + CAST(day(date) % 19 - 4 AS INT) AS date,
+    CASE WHEN month(date) % 6 = 0 THEN -1 ELSE 1 END * round(amount + (day(date) % 3 - 1) * 0.004, 3) AS amount
+  FROM dense WHERE length(memo) % 4 <> 0),
+pool AS (SELECT *, row_number() OVER (ORDER BY date, _row_id) AS place FROM dense),
+offers AS (SELECT bank_id, p.place, s.sign, abs(date_diff('day', p.date, b.date)) AS gap
+  FROM register b JOIN pool p ON p.date BETWEEN b.date - 14 AND b.date + 14, (VALUES (1), (-1)) s(sign)
+  WHERE abs(p.amount - s.sign * b.amount) <= 0.01 + 0.00001 * abs(b.amount)),
+wants AS (SELECT b.bank_id, any_value(b.date) AS date, coalesce(list(o.place ORDER BY o.sign DESC, gap, o.place) FILTER (o.place IS NOT NULL), []) AS choice
+  FROM register b LEFT JOIN offers o USING (bank_id) GROUP BY b.bank_id),
+lined AS (SELECT list(bank_id ORDER BY date, bank_id) AS ids,
+    list({{'choice': choice, 'picks': CAST([] AS BIGINT[])}} ORDER BY date, bank_id) AS wants FROM wants),
+folded AS (SELECT ids, list_reduce(list_concat([{{'choice': CAST([] AS BIGINT[]), 'picks': CAST([] AS BIGINT[])}}], wants),
+    lambda done, w: {{'choice': CAST([] AS BIGINT[]), 'picks': list_append(done.picks,
+      coalesce(list_filter(w.choice, lambda c: NOT list_contains(done.picks, c))[1], 0))}}).picks AS picks FROM lined),
+found AS (SELECT unnest(ids) AS bank_index, unnest(picks) AS place FROM folded)
+SELECT bank_index, _row_id AS qb_index FROM found JOIN pool USING (place)""",
+)
+def match_bank_signed_dense_cents(spark, sf_dir):
+    """Amounts within tolerance of each other without end: served in stretches of time and ranges of amounts."""
+    found = ll.match_bank_signed_tolerance(
+        dense_bank(spark, sf_dir), dense_ledger(spark, sf_dir), max_group_rows=2000, block_rows=500
+    )
+    return found.matched.select("bank_index", "qb_index")
+
+
 INSIDE = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
 
 CASH_SQL = f"""cash AS (SELECT entity, coalesce(sum(amount) FILTER (WHERE amount > 0), 0) AS revenue_cash,
