@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import ledgerlake as ll
 
 from .core import (
+    flagged_sql,
     CLASSIFIED,
     FLAGGED,
     FLAGGED_PLAIN,
@@ -146,6 +147,37 @@ def apply_addback_rules(spark, sf_dir):
     return ruled.select("_row_id", "sde_addback_flag", "sde_addback_reason")
 
 
+MANY_TOKENS = (*(f"{a}{b}" for a in ("bolt", "nut", "cog", "ring") for b in range(50)), "steel ring", "customer#000000003", "gear", "#000000007", "tin gear")
+
+
+@query("detect_many_tokens", f"WITH {flagged_sql(MANY_TOKENS)} SELECT _row_id, sde_addback_flag, sde_addback_reason FROM flagged")
+def detect_many_tokens(spark, sf_dir):
+    """Some two hundred tokens, phrases among them; reasons go by the tokens' order."""
+    rows = ll.detect_addbacks(ledger(spark, sf_dir), MANY_TOKENS)
+    return rows.select("_row_id", "sde_addback_flag", "sde_addback_reason")
+
+
+@query(
+    "apply_text_rules",
+    f"""WITH {LEDGER}, rules AS (
+      SELECT c_custkey AS pos, right(c_name, 10) AS digits, CASE WHEN c_custkey % 2 = 1 THEN 'gear' ELSE '' END AS word FROM customer),
+    hits AS (SELECT _row_id, string_agg('rule=' || pos, ', ' ORDER BY pos) AS reason
+      FROM ledger JOIN rules ON contains(lower(name), digits) AND contains(lower(memo), word) GROUP BY _row_id)
+    SELECT _row_id, reason IS NOT NULL AS sde_addback_flag, coalesce(reason, '') AS sde_addback_reason
+    FROM ledger LEFT JOIN hits USING (_row_id)""",
+)
+def apply_text_rules(spark, sf_dir):
+    """A rule for each customer, thousands of them, none with an amount."""
+    rules = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("pos"),
+        F.col("c_custkey").cast("string").alias("name"),
+        F.array(F.right("c_name", F.lit(10))).alias("name_contains"),
+        F.when(F.col("c_custkey") % 2 == 1, F.array(F.lit("Gear "))).alias("memo_contains"),
+    )
+    ruled = ll.apply_rule_table(ledger(spark, sf_dir), rules)
+    return ruled.select("_row_id", "sde_addback_flag", "sde_addback_reason")
+
+
 @query(
     "apply_rule_table",
     f"""WITH {LEDGER}, rules AS (

@@ -341,3 +341,75 @@ def test_dated_rules_behave_alike_in_short_and_long_lists(spark, count):
         ll.apply_addback_rules(rows.drop("day"), rules)
     with pytest.raises(TypeError):
         ll.apply_addback_rules(rows.withColumnRenamed("day", "date"), rules)
+
+
+def plain_hits(row, rules):
+    """Names of the rules that hold for (day, account, name, memo, amount), in the order of the rules."""
+    day, *texts, amount = row
+    texts = [(t or "").lower() for t in texts]
+    found = []
+    for rule in rules:
+        off = 0.01 if rule.amount_tolerance is None else rule.amount_tolerance
+        if rule.amount is not None and not abs(abs(amount or 0.0) - abs(rule.amount)) <= off:
+            continue
+        if rule.start_date is not None and (day is None or day < rule.start_date):
+            continue
+        wanted = (rule.account_contains, rule.name_contains, rule.memo_contains)
+        if all(n.strip().lower() in t for needles, t in zip(wanted, texts, strict=True) for n in needles or ()):
+            found.append(f"rule={rule.name}")
+    return ", ".join(found)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rule_tables_equal_trying_every_rule(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = ["gear", "Ä", "x", "long needle here", "ge", "#00", "a.b", " rod ", "日本語テ", "needle"]
+    pick = lambda: tuple(rng.choice(words) for _ in range(rng.randrange(1, 3))) if rng.random() < 0.4 else None
+    rules = [
+        ll.AddbackRule(
+            f"r{i}", pick(), pick(), pick(),
+            amount=rng.choice([None, None, 0.0, 10.0, -10.0, 10.005, 99.99, 1e15]),
+            amount_tolerance=rng.choice([None, 0.0, 0.005, 5.0, 1e4, -1.0]),
+            start_date=rng.choice([None, None, dt.date(2025, 8, 1)]),
+        )
+        for i in range(120)
+    ]
+    say = lambda: None if rng.random() < 0.1 else "".join(rng.choice([*words, " "]) for _ in range(rng.randrange(5)))
+    rows = [
+        (rng.choice([None, dt.date(2025, 7, 31), dt.date(2025, 8, 1)]), say(), say(), say(),
+         rng.choice([None, 0.0, 10.0, -10.01, 10.015, 99.985, 15.0, 1e15, -1e15 - 4]))
+        for _ in range(250)
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, date date, account string, name string, memo string, amount double")
+    table = ll.rules_table(spark, rules)
+    got = {r["i"]: r["sde_addback_reason"] for r in ll.apply_rule_table(df, table).collect()}
+    assert got == {i: plain_hits(r, rules) for i, r in enumerate(rows)}
+    keyed = df.withColumn("k", F.when(F.col("i") % 3 > 0, F.col("i") % 3))
+    own = table.withColumn("k", F.when(F.col("pos") % 4 > 0, F.col("pos") % 4 % 3))
+    got = {r["i"]: r["sde_addback_reason"] for r in ll.apply_rule_table(keyed, own, by="k").collect()}
+    mine = lambda i: [r for p, r in enumerate(rules) if i % 3 and p % 4 and p % 4 % 3 == i % 3]
+    assert got == {i: plain_hits(r, mine(i)) for i, r in enumerate(rows)}
+    assert ll.apply_rule_table(df, table.limit(0)).where("sde_addback_flag").count() == 0
+
+
+def test_many_tokens_go_by_their_order(make_ledger):
+    tokens = [*(f"w{i}" for i in range(250)), "big red", "red", "c&d", "...", "été", "w3", "and-so-on", "#7"]
+    rows = make_ledger(
+        [
+            ("2025-01-01", "", "", "W3 Big Red", "x w249", 1.0),
+            ("2025-01-02", "", "", "bigred w3w", "c&d été", 1.0),
+            ("2025-01-03", "", "", "big", "red a...b and-so-on", 1.0),
+            ("2025-01-04", "", "", "n#7", "#7 reds", 1.0),
+            ("2025-01-05", "", "", None, None, 1.0),
+        ]
+    )
+    got = [r.sde_addback_reason for r in ll.detect_addbacks(rows, tokens).orderBy("date").collect()]
+    assert got == [
+        "token=w3, token=w249, token=big red, token=red, token=w3",
+        "token=c&d, token=été",
+        "token=red, token=..., token=and-so-on",
+        "token=#7",
+        "",
+    ]
