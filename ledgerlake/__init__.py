@@ -42,6 +42,7 @@ from .operators.monthly import (
     monthly_summary,
     months_from,
 )
+from .operators.nearest import nearest_bank_row, nearest_rows
 from .operators.profile import (
     addback_listing,
     addback_totals,

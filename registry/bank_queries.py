@@ -96,6 +96,28 @@ def match_ledger_bank_in_blocks(spark, sf_dir):
     return found.matched.select("qb_index", "bank_index")
 
 
+@query(
+    "nearest_bank_row",
+    f"""WITH {BANK},
+q AS (SELECT * REPLACE (CASE WHEN length(memo) % 7 <> 0 THEN date END AS date, CASE WHEN length(name) % 5 <> 0 THEN amount END AS amount) FROM bank_ledger),
+near AS (SELECT _row_id, bank_id, b.date AS bank_date, abs(date_diff('day', q.date, b.date)) AS days_apart,
+    row_number() OVER (PARTITION BY _row_id ORDER BY abs(date_diff('day', q.date, b.date)), b.date, bank_id) AS nth
+  FROM q JOIN bank b ON q.entity = b.entity AND round(q.amount * 100) = round(b.amount * 100) AND abs(date_diff('day', q.date, b.date)) <= 14)
+SELECT q._row_id, bank_id AS bank_index, CAST(bank_date AS VARCHAR) AS bank_date, days_apart FROM q LEFT JOIN near ON near._row_id = q._row_id AND nth = 1""",
+)
+def nearest_bank_row(spark, sf_dir):
+    """Every ledger row's nearest bank row, some ledger rows without a date or an amount."""
+    rows = bank_ledger(spark, sf_dir)
+    rows = rows.withColumns(
+        {
+            "date": F.when(F.length("memo") % 7 != 0, F.col("date")),
+            "amount": F.when(F.length("name") % 5 != 0, F.col("amount")),
+        }
+    )
+    found = ll.nearest_bank_row(rows, bank(spark, sf_dir), by="entity")
+    return plain(found.select("_row_id", "bank_index", "bank_date", "days_apart"))
+
+
 @query(
     "unmatched_ledger",
     f"""{matched_sql()} SELECT _row_id, entity, CAST(date AS VARCHAR) AS date, amount, name, memo, account
