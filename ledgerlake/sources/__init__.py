@@ -11,7 +11,9 @@ from .ledger import (
     clean_ledger,
     clean_transaction_detail,
     filter_account,
+    ledger_rejects,
     load_ledger,
+    load_ledger_rejects,
     load_qb_export,
     load_transaction_detail,
 )
@@ -32,9 +34,11 @@ __all__ = [
     "clean_transaction_detail",
     "default_rules",
     "filter_account",
+    "ledger_rejects",
     "load_bank_export",
     "load_green_sheets",
     "load_ledger",
+    "load_ledger_rejects",
     "load_qb_export",
     "load_rules",
     "load_transaction_detail",

@@ -35,6 +35,8 @@ _CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x9
 _CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 FILE, BLOCK, LINE = "_file", "_block", "_line"
+# The text of a record with too many cells, where such records are kept.
+WIDE = "_wide"
 
 
 @dataclass(frozen=True)
@@ -222,7 +224,7 @@ def _read_group(
     layout: Layout,
     names: list[tuple[int, str]],
     multiline: bool,
-    drop_wide: bool,
+    wide: str,
 ) -> DataFrame:
     width = len(layout.header)
     fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
@@ -251,13 +253,17 @@ def _read_group(
         )
     # A record with more cells than the header has columns cannot be trusted; shorter ones are padded.
     fits = F.col("_misfit").isNull() | (_cells(F.col("_misfit")) <= width)
-    if not drop_wide:
+    extra = []
+    if wide == "mark":
+        extra = [F.when(~fits, F.col("_misfit")).alias(WIDE)]
+        fits = F.lit(True)
+    elif wide == "error":
         fault = F.concat(F.lit(f"expected {width} cells: "), F.col("_misfit"))
         fits = F.when(fits, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))
     # Always true: Spark turns down queries that look at nothing but the misfit column.
     named = F.octet_length(F.concat_ws("", F.col("_c0"))) >= 0
     return raw.where(fits & named).select(
-        *[_text_cell(F.col(f"_c{i}")).alias(name) for i, name in names], FILE, BLOCK, LINE
+        *[_text_cell(F.col(f"_c{i}")).alias(name) for i, name in names], *extra, FILE, BLOCK, LINE
     )
 
 
@@ -268,15 +274,18 @@ def read_exports(
     header_words: Sequence[str] = (),
     multiline: bool = True,
     same_layout: bool = False,
-    drop_wide: bool = False,
+    wide: str = "error",
 ) -> DataFrame:
     """All-text rows of delimited exports under their clean header names, plus file position.
 
     ``multiline``    cells may hold line breaks. Each file is then read by one task; turn it off
                      for very large files without such cells, which makes them splittable.
     ``same_layout``  all files share the layout of the first one: only that one is peeked at.
-    ``drop_wide``    leave out records with more cells than the header; else they are an error.
+    ``wide``         records with more cells than the header are an ``error``, are left out (``drop``), or
+                     are kept with their text in a column of its own (``mark``).
     """
+    if wide not in ("error", "drop", "mark"):
+        raise ValueError(f"wide is {wide!r}")
     listed = spark.read.text(paths if isinstance(paths, str) else list(paths)).inputFiles()
     files = sorted(_as_path(uri) for uri in listed)
     if not files:
@@ -295,14 +304,14 @@ def read_exports(
         names = usable_names(layout.header)
         for start in range(0, len(members) if names else 0, BROADCAST_ROWS):
             batch = members[start : start + BROADCAST_ROWS]
-            parts.append(_read_group(spark, batch, layout, names, multiline, drop_wide))
+            parts.append(_read_group(spark, batch, layout, names, multiline, wide))
     if not parts:
         raise ValueError(f"no readable header under {paths!r}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def with_file_order(df: DataFrame, name: str = "_pos") -> DataFrame:
-    """Dense 0..n-1 number in file order, over the rows that are left.
+def with_file_order(df: DataFrame, name: str = "_pos", each_file: bool = False) -> DataFrame:
+    """Dense 0..n-1 number in file order, over the rows that are left; for ``each_file`` from 0 on again.
 
     Each input split is one run of rows whose line numbers rise. A first pass, made when this is
     called, counts the rows of every split (one row per split, not per record); the second adds a
@@ -311,7 +320,8 @@ def with_file_order(df: DataFrame, name: str = "_pos") -> DataFrame:
     local = df.withColumn("_seq", F.monotonically_increasing_id())
     chunk = [FILE, BLOCK]
     sizes = local.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_from"))
-    earlier = Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(FILE).orderBy(BLOCK) if each_file else Window.orderBy(*chunk)
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(
         sizes.select(*chunk, "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
@@ -323,11 +333,9 @@ def with_file_order(df: DataFrame, name: str = "_pos") -> DataFrame:
 
 
 def with_place(df: DataFrame, name: str) -> DataFrame:
-    """Each row's file, split and place within the split as text, the same whichever files are read with it.
+    """Each row's file and place among the file's rows as text.
 
-    One row per split says where its line numbers start; several files may share a task's numbering.
+    It depends on the file alone: not on the files read with it, nor on how many cores or splits read it.
     """
-    starts = cut(df.groupBy(FILE, BLOCK).agg(F.min(LINE).alias("_from")))
-    placed = df.join(broadcast_if_small(starts, starts.count()), [FILE, BLOCK])
-    within = (F.col(LINE) - F.col("_from")).cast("string")
-    return placed.withColumn(name, F.concat_ws("#", F.col(FILE), F.col(BLOCK).cast("string"), within)).drop("_from")
+    placed = with_file_order(df, "_nth", each_file=True)
+    return placed.withColumn(name, F.concat_ws("#", F.col(FILE), F.col("_nth").cast("string"))).drop("_nth")

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.amounts import parse_amount, to_number
-from ..functions.columns import text
+from ..functions.columns import named, strip, text
 from ..functions.dates import parse_date
 from ..functions.text import contains_text
 from .layout import (
     BLOCK,
     FILE,
     LINE,
+    WIDE,
     first_present,
     normalize_ledger_columns,
     read_exports,
@@ -53,19 +54,54 @@ def _signed_amount(df: DataFrame) -> Column:
     return figure("amount") if "amount" in df.columns else figure("debit") - figure("credit")
 
 
-def clean_ledger(raw: DataFrame) -> DataFrame:
-    """Raw ledger rows under any header spelling to the ledger schema. No shuffle.
+# Why a row of an export is left out: more cells than the header, nothing in it, no date, no date that can be read.
+REJECTS = ("too_wide", "blank", "undated", "unreadable_date")
 
-    Undated rows (blank lines, subtotals, titles) are dropped. Source columns beyond the
-    schema are kept as they are.
-    """
+
+def _assessed(raw: DataFrame) -> DataFrame:
+    """Rows in the ledger schema, with the date's text and the reason to leave them out (null: none)."""
     df = normalize_ledger_columns(raw)
     date_column = first_present(df.columns, DATE_COLUMNS)
     dated = timestamp_of(df, date_column) if date_column else F.lit(None).cast("timestamp_ntz")
+    said = text(df, date_column) if date_column else F.lit("")
+    cells = [c for c in df.columns if c not in (FILE, BLOCK, LINE, WIDE)]
+    empty = strip(F.concat_ws("", *[named(c).cast("string") for c in cells])) == ""
     blanks = {c: F.lit("") for c in TEXT_COLUMNS if c not in df.columns}
-    return df.withColumns({"date": dated, "amount": _signed_amount(df), **blanks}).where(
-        F.col("date").isNotNull()
+    out = df.withColumns({"date": dated, "amount": _signed_amount(df), **blanks, "_said": said, "_empty": empty})
+    reason = (
+        F.when(F.col(WIDE).isNotNull() if WIDE in df.columns else F.lit(False), "too_wide")
+        .when(F.col("date").isNotNull(), None)
+        .when(F.col("_empty"), "blank")
+        .when(strip(F.col("_said")) == "", "undated")
+        .otherwise("unreadable_date")
     )
+    return out.withColumn("_reject", reason).drop("_empty")
+
+
+def clean_ledger(raw: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Raw ledger rows under any header spelling to the ledger schema. No shuffle.
+
+    Undated rows (blank lines, subtotals, titles) are dropped. Source columns beyond the
+    schema are kept as they are. An ``observation`` gets the number of rows kept, and of those left out for
+    each reason in ``REJECTS``, in the same pass: ``observation.get`` has them after the first action.
+    """
+    df = _assessed(raw)
+    if observation is not None:
+        why = F.col("_reject")
+        counts = [F.count(F.when(why == reason, 1)).alias(reason) for reason in REJECTS]
+        df = df.observe(observation, F.count(F.when(why.isNull(), 1)).alias("kept"), *counts)
+    return df.where(F.col("_reject").isNull()).drop("_said", "_reject", WIDE)
+
+
+def ledger_rejects(raw: DataFrame) -> DataFrame:
+    """The rows that ``clean_ledger`` leaves out: ``reason``, the date's text, and the row as JSON, ``record``."""
+    df = _assessed(raw).where(F.col("_reject").isNotNull())
+    own = [c for c in normalize_ledger_columns(raw).columns if c not in (FILE, BLOCK, LINE, WIDE)]
+    row = F.to_json(F.struct(*[named(c).cast("string").alias(c) for c in own if c != "amount"]))
+    if WIDE in df.columns:
+        row = F.coalesce(F.col(WIDE), row)
+    places = [named(FILE).alias("file")] if FILE in df.columns else []
+    return df.select(F.col("_reject").alias("reason"), F.col("_said").alias("date_text"), row.alias("record"), *places)
 
 
 def load_ledger(
@@ -75,12 +111,13 @@ def load_ledger(
     multiline: bool = True,
     same_layout: bool = False,
     dense_ids: bool = True,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Ledger CSV exports to the ledger schema with ``_row_id`` and, for ordering, ``_pos``.
 
-    ``dense_ids`` numbers rows 0..n-1 in file order, for which the files are read twice. Without
-    it the id is the row's place (file, split, place in the split), which does not depend on the other
-    files, and there is no ``_pos``.
+    ``dense_ids`` numbers rows 0..n-1 in the order of all files. Without it the id is the file and the
+    row's number in it, which depends on that file alone, and there is no ``_pos``. For either the files are
+    read twice: rows are counted first. ``observation`` gets counts of kept and left out rows (``clean_ledger``).
     """
     raw = read_exports(
         spark,
@@ -88,9 +125,9 @@ def load_ledger(
         header_words=("date", "account"),
         multiline=multiline,
         same_layout=same_layout,
-        drop_wide=True,
+        wide="drop" if observation is None else "mark",
     )
-    df = clean_ledger(raw)
+    df = clean_ledger(raw, observation)
     if dense_ids:
         return (
             with_file_order(df)
@@ -100,6 +137,16 @@ def load_ledger(
     return with_place(df, "_row_id").drop(FILE, BLOCK, LINE)
 
 
+def load_ledger_rejects(
+    spark: SparkSession, paths: str | Sequence[str], *, multiline: bool = True, same_layout: bool = False
+) -> DataFrame:
+    """What ``load_ledger`` leaves out of the same files, and why."""
+    words = ("date", "account")
+    return ledger_rejects(
+        read_exports(spark, paths, header_words=words, multiline=multiline, same_layout=same_layout, wide="mark")
+    )
+
+
 def load_qb_export(
     spark: SparkSession, paths: str | Sequence[str], account_token: str = "PNC", **options
 ) -> DataFrame:

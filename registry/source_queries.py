@@ -149,6 +149,27 @@ def clean_ledger(spark, sf_dir):
     )
 
 
+@query(
+    "clean_ledger_rejects",
+    """SELECT CASE l_linenumber WHEN 7 THEN 'unreadable_date' WHEN 6 THEN 'undated' ELSE 'blank' END AS reason,
+      CASE l_linenumber WHEN 7 THEN 'Total' ELSE '' END AS date_text,
+      CASE WHEN l_linenumber <> 5 THEN concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) END AS num
+    FROM lineitem WHERE l_linenumber >= 5""",
+)
+def clean_ledger_rejects(spark, sf_dir):
+    """Rows left out of the export, with the reason; every fifth line blanked out, every sixth without a date."""
+    number = F.split(F.col("` Num `"), "/")[1]
+    raw = raw_ledger(spark, sf_dir)
+    rows = raw.select(
+        *[
+            F.when((number != "5") & ~((number == "6") & F.lit(c == "Txn Date")), F.col(f"`{c}`")).alias(c)
+            for c in raw.columns
+        ]
+    )
+    rejects = ll.ledger_rejects(rows)
+    return rejects.select("reason", "date_text", F.get_json_object("record", "$.num").alias("num"))
+
+
 @query(
     "clean_transaction_detail",
     f"""SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS num, strftime(l_shipdate, {STAMP}) AS date,

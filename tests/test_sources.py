@@ -341,3 +341,42 @@ def test_header_search_in_one_job_equals_the_one_by_one(spark, tmp_path, monkeyp
         spark.conf.set(key, before)
     strip = lambda found: {k: sorted(f.removeprefix("file:").lstrip("/") for f in v) for k, v in found.items()}
     assert strip(few) == strip(many) and [k.header for k in many] == [("Date", "Account", "Amount")]
+
+
+def test_rejects_are_counted_and_shown(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    path = write(
+        tmp_path / "r.csv",
+        "Date,Account,Amount\n1/2/2025,a,1\n,,\n,subtotal,5\nsoon,b,2\n1/3/2025,c,3,extra\n1/4/2025,d,x\n",
+    )
+    seen = Observation()
+    df = ll.load_ledger(spark, path, observation=seen)
+    assert [r[0] for r in rows(df, "account")] == ["a", "d"] and "_wide" not in df.columns
+    assert seen.get == {"kept": 2, "too_wide": 1, "blank": 1, "undated": 1, "unreadable_date": 1}
+    rejects = ll.load_ledger_rejects(spark, path).collect()
+    assert {(r["reason"], r["date_text"]) for r in rejects} == {
+        ("blank", ""), ("undated", ""), ("unreadable_date", "soon"), ("too_wide", "1/3/2025"),
+    }
+    records = {r["reason"]: r["record"] for r in rejects}
+    assert records["too_wide"] == "1/3/2025,c,3,extra" and '"account":"subtotal"' in records["undated"]
+    assert all(r["file"].endswith("r.csv") for r in rejects)
+    assert rows(ll.load_ledger(spark, path), "account") == [("a",), ("d",)]
+
+
+def test_sparse_ids_depend_on_their_file_alone(spark, tmp_path):
+    """A file read alone, and beside a much larger one, in splits of other sizes."""
+    small = write(tmp_path / "a.csv", "Date,Account\n" + "".join(f"{'' if i % 9 == 0 else '1/2/2025'},acc {i}\n" for i in range(4000)))
+    large = write(tmp_path / "b.csv", "Date,Account\n" + "".join(f"1/2/2025,other {i}\n" for i in range(40_000)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    ids = []
+    try:
+        for paths, size in (([small], "9000"), ([small, large], "50000"), ([small, large], "1000000")):
+            spark.conf.set(key, size)
+            df = ll.load_ledger(spark, paths, multiline=False, dense_ids=False)
+            ids.append({(r["_row_id"], r["account"]) for r in df.where("account LIKE 'acc%'").collect()})
+    finally:
+        spark.conf.set(key, before)
+    assert ids[0] == ids[1] == ids[2] and len(ids[0]) == sum(i % 9 != 0 for i in range(4000))
+    assert {int(i.rpartition("#")[2]) for i, _ in ids[0]} == set(range(len(ids[0])))
