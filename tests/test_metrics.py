@@ -1,28 +1,69 @@
 """Period metrics on small ledgers with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import ledgerlake as ll
 
-SALES = [
-    ("2025-07-03", "Timber", "Cost of Goods Sold", "Yard Nine", "beams", 820.0),
-    ("2025-07-22", "Contract Sales", "Income", "Harbor Trust", "phase one", -6400.0),
-    ("2025-08-04", "Contract Sales", "Income", "Mill Street LLC", "phase two", -2750.0),
-    ("2025-08-11", "Timber", "Cost of Goods Sold", "Yard Nine", "floor boards", 1130.0),
-    ("2025-08-18", "Storage", "Expense", "Depot 4", "unit fee", 640.0),
-    ("2025-08-27", "Officer Pay", "Expense", "Nathan", "august pay", 3900.0),
-]
-INVERSE = [
-    ("2025-07-02", "Service Fees", "Income", "Quarry Club", "bill 7", 1400.0),
-    ("2025-07-09", "Gravel", "Cost of Goods Sold", "Pit Twelve", "gravel loads", -360.0),
-    ("2025-07-28", "Storage", "Expense", "Depot 4", "july unit", -450.0),
-    ("2025-08-06", "Service Fees", "Income", "Ferry Line", "bill 8", 2600.0),
-    ("2025-08-07", "Crew Hours", "Cost of Goods Sold", "Crew B", "night shift", -880.0),
-    ("2025-08-13", "Phones", "Expense", "Telco", "lines", -150.0),
-    ("2025-08-19", "Officer Pay", "Expense", "Nathan", "draw", -2400.0),
-    ("2025-08-25", "Loan Cost", "Other Expense", "Credit Union", "august loan", -70.0),
-]
+KINDS = ("Income", "Cost of Goods Sold", "Expense", "Other Expense", "Equity")
+FIGURES = {"Income": "revenue", "Cost of Goods Sold": "cogs", "Expense": "overhead", "Other Expense": "other_expense"}
+
+
+def random_rows(seed, sign=1, n=60):
+    """Rows of all kinds on days of four months, some for the owner, some on a job's account."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        kind = rng.choice(KINDS)
+        account = rng.choice(["7051 Piers", "706 Piles", "Quay dues", "Lamps", "812 Freight"])
+        size = rng.randrange(1, 400) * 25.0
+        credit = kind == "Income"
+        who = rng.choice(["Brisk & Co", "Nathan", "Wharf Nine"])
+        day = f"2025-{rng.randrange(6, 10):02d}-{rng.randrange(1, 29):02d}"
+        rows.append((day, account, kind, who, rng.choice(["", "spare xnp", "rope"]), sign * (-size if credit else size)))
+    return rows
+
+
+def plain_owner(rows, start, end, cut_over, overrides=(), job=("704", "705", "706", "707", "708")):
+    """The owner metrics, summed row by row."""
+    out = dict.fromkeys(ll_owner_measures(), 0.0)
+    plus = minus = 0.0
+    for day, account, kind, name, memo, amount in rows:
+        if not start <= day <= end or kind == "Equity":
+            figure = None
+        else:
+            figure = FIGURES[kind]
+        if start <= day <= end and (name == "Nathan" or "xnp" in memo or account in overrides):
+            plus, minus = plus + max(amount, 0), minus + max(-amount, 0)
+        if figure is None:
+            continue
+        if account.split()[0] in job and figure == "overhead":
+            figure = "cogs"
+        if day >= cut_over:
+            out[figure] += amount
+        elif figure != "revenue":
+            out["legacy_july_total_expense"] += amount
+            if account[:3] in job:
+                out["legacy_july_excluded_job_cost"] += amount
+            if figure == "cogs":
+                out["legacy_cogs"] += amount
+            elif figure == "overhead" and account[:3] not in job:
+                out["legacy_july_included_overhead"] += amount
+    out = {k: abs(v) for k, v in out.items()} | {"addbacks": plus or minus}
+    out["gross_profit"] = out["revenue"] - out["cogs"]
+    out["net_profit"] = out["gross_profit"] - out["overhead"] - out["other_expense"]
+    out["sde"] = out["net_profit"] + out["addbacks"]
+    return out
+
+
+def ll_owner_measures():
+    from ledgerlake.operators.metrics import OWNER_MEASURES
+
+    return OWNER_MEASURES
+
+
 CUT_OVER = "2025-08-01"
 
 
@@ -34,22 +75,14 @@ def subset(row, expected):
     return {k: row[k] for k in expected} == expected
 
 
-def test_owner_metrics_with_cut_over(make_ledger, one):
-    rows = flagged(make_ledger(SALES))
-    got = one(ll.get_owner_metrics(rows, "2025-07-01", "2025-12-01", CUT_OVER))
-    assert subset(
-        got,
-        dict(revenue=2750, cogs=1130, legacy_cogs=820, overhead=4540, other_expense=0,
-             gross_profit=1620, net_profit=-2920, addbacks=3900, sde=980),
-    )
-
-
-def test_account_overrides_count_as_addbacks(make_ledger, one):
-    rows = flagged(make_ledger(SALES))
-    got = one(
-        ll.get_owner_metrics(rows, "2025-07-01", "2025-12-01", CUT_OVER, addback_account_overrides={"Storage"})
-    )
-    assert got["sde"] == 1620
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("sign", [1, -1])
+def test_owner_metrics_equal_summing_row_by_row(make_ledger, one, seed, sign):
+    data = random_rows(seed, sign)
+    rows = flagged(make_ledger(data))
+    for overrides in (set(), {"Lamps", "812 Freight"}):
+        got = one(ll.get_owner_metrics(rows, "2025-06-05", "2025-09-20", CUT_OVER, addback_account_overrides=overrides))
+        assert got == plain_owner(data, "2025-06-05", "2025-09-20", CUT_OVER, overrides)
 
 
 def test_preclassified_rows_without_account_or_flag(spark, one):
@@ -96,45 +129,19 @@ def test_job_cost_prefix_before_cut_over(make_ledger, one):
     )
 
 
-def test_tokens_and_other_expense(make_ledger, one):
-    rows = flagged(
-        make_ledger(
-            [
-                ("2025-07-11", "Fees", "Income", "Oak Hall", "bill 1", -900.0),
-                ("2025-07-19", "Timber", "Cost of Goods Sold", "Yard Nine", "planks", 150.0),
-                ("2025-08-03", "Fees", "Income", "Elm Hall", "bill 2", -1700.0),
-                ("2025-08-09", "Storage", "Expense", "Depot 4", "unit", 420.0),
-                ("2025-08-16", "Travel", "Expense", "Rail Co", "trip with Nathan", 80.0),
-                ("2025-08-28", "Sundry", "Other Expense", "Shop 3", "xnp tools", 260.0),
-            ]
-        )
-    )
-    got = one(ll.get_owner_metrics(rows, "2025-07-01", "2025-08-31", CUT_OVER))
-    assert subset(
-        got,
-        dict(revenue=1700, cogs=0, legacy_cogs=150, overhead=500, other_expense=260,
-             net_profit=940, addbacks=340, sde=1280),
-    )
-    reasons = {r.memo: r.sde_addback_reason for r in rows.where("sde_addback_flag").collect()}
-    assert reasons == {"trip with Nathan": "token=nathan", "xnp tools": "token=xnp"}
-
-
-def test_inverse_signs_through_run_rate_and_forecast(make_ledger, one):
-    rows = flagged(make_ledger(INVERSE))
-    owner = ll.get_owner_metrics(rows, "2025-07-01", "2025-08-31", CUT_OVER)
-    assert subset(
-        one(owner),
-        dict(revenue=2600, cogs=880, legacy_cogs=360, overhead=2550, legacy_july_included_overhead=450,
-             other_expense=70, net_profit=-900, addbacks=2400, sde=1500),
-    )
-    period = ll.get_period_metrics(ll.report_window(rows, CUT_OVER, "2025-08-31"))
-    assert subset(one(period), dict(revenue=2600, sde=1500))
-    rates = ll.calculate_run_rates(period, 31)
-    assert one(rates)["revenue"] == pytest.approx(2600 / 31 * 30.4375)
-    outlook = one(ll.forecast_year_1(owner, rates, 304))
-    assert outlook["revenue"] == pytest.approx(2600 + 2600 / 31 * 304)
-    assert outlook["sde"] == pytest.approx(1500 + 1500 / 31 * 304)
-    assert outlook["months_remaining"] == pytest.approx(304 / 30.4375)
+def test_run_rates_and_forecast_follow_from_the_period(make_ledger, one):
+    data = random_rows(8, -1)
+    rows = flagged(make_ledger(data))
+    owner = ll.get_owner_metrics(rows, "2025-06-01", "2025-09-28", CUT_OVER)
+    period = ll.get_period_metrics(ll.report_window(rows, CUT_OVER, "2025-09-28"))
+    expected = plain_owner(data, CUT_OVER, "2025-09-28", CUT_OVER)
+    assert one(period) == {k: expected[k] for k in one(period)}
+    rates = ll.calculate_run_rates(period, 59)
+    outlook, sofar = one(ll.forecast_year_1(owner, rates, 250)), one(owner)
+    for measure in ("revenue", "sde"):
+        assert one(rates)[measure] == pytest.approx(expected[measure] / 59 * 30.4375)
+        assert outlook[measure] == pytest.approx(sofar[measure] + expected[measure] / 59 * 250)
+    assert outlook["months_remaining"] == pytest.approx(250 / 30.4375)
 
 
 def test_run_rate_without_days_is_zero_and_negative_days_forecast_nothing(spark, one):
@@ -263,11 +270,11 @@ def test_addback_size_prefers_positive_rows(spark, one):
 
 
 def test_metrics_by_entity_equal_metrics_of_each_entity(make_ledger, one):
-    both = make_ledger(SALES).withColumn("entity", F.lit("a")).union(
-        make_ledger(INVERSE).withColumn("entity", F.lit("b"))
+    both = make_ledger(random_rows(21)).withColumn("entity", F.lit("a")).union(
+        make_ledger(random_rows(22, -1)).withColumn("entity", F.lit("b"))
     )
     rows = flagged(both)
-    window = ("2025-07-01", "2025-12-01", CUT_OVER)
+    window = ("2025-06-03", "2025-12-01", CUT_OVER)
     together = {r.entity: r.asDict() for r in ll.get_owner_metrics(rows, *window, by="entity").collect()}
     for entity, got in together.items():
         alone = one(ll.get_owner_metrics(rows.where(F.col("entity") == entity), *window))
@@ -275,14 +282,14 @@ def test_metrics_by_entity_equal_metrics_of_each_entity(make_ledger, one):
 
 
 def test_financial_analysis_equals_its_parts(make_ledger, one):
-    rows = make_ledger(INVERSE)
+    rows = make_ledger(random_rows(22, -1))
     got = one(ll.financial_analysis(rows, "2025-09-30", CUT_OVER, "2026-06-30"))
     owner = ll.get_owner_metrics(flagged(rows), None, "2025-09-30", CUT_OVER)
     rates = ll.calculate_run_rates(
         ll.get_period_metrics(flagged(rows).where("date >= '2025-08-01'")), 60
     )
     outlook = one(ll.forecast_year_1(owner, rates, 273))
-    assert str(got["owner_period_start"]) == "2025-07-02"
+    assert str(got["owner_period_start"]) == min(r[0] for r in random_rows(22, -1))
     for measure, value in one(owner).items():
         assert got[measure] == value
     for measure, value in one(rates).items():
@@ -293,11 +300,11 @@ def test_financial_analysis_equals_its_parts(make_ledger, one):
 
 
 def test_dashboard_equals_its_parts(make_ledger, one, tmp_path):
-    ledger = make_ledger(SALES).withColumn("_row_id", F.col("amount").cast("string"))
+    ledger = make_ledger(random_rows(21)).withColumn("_row_id", F.concat_ws("/", F.col("date").cast("string"), "account", F.col("amount").cast("string")))
     extra = make_ledger([("2025-07-20", "Rent", "Expense", "Landlord", "July", 700.0)])
     ledger = ledger.union(extra.withColumn("_row_id", F.lit("july")))
     rows = ll.flagged_ledger(ledger)
-    got = one(ll.dashboard_metrics(rows, CUT_OVER, "2025-09-30", "2026-06-30", ["july", "640.0"]))
+    got = one(ll.dashboard_metrics(rows, CUT_OVER, "2025-09-30", "2026-06-30", ["july", "2025-08-02/Lamps/1.0"]))
     plain = one(ll.dashboard_metrics(rows, CUT_OVER, "2025-09-30", "2026-06-30"))
     period = ll.get_period_metrics(ll.report_window(rows, CUT_OVER, "2025-09-30"))
     for measure, value in one(period).items():
