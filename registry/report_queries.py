@@ -26,6 +26,7 @@ from .core import (
 )
 from .ledger_queries import ADDBACK_ACCOUNTS, flagged
 
+# The measures' names.
 PERIOD = (
     "revenue", "cogs", "overhead", "other_expense", "gross_profit", "net_profit", "addbacks", "sde",
 )
