@@ -333,3 +333,40 @@ FROM planned p JOIN walk w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.pos
 
 
 ORACLE["op13_conversation_repair"] = _repair_sql()
+
+# All windows of 400 bytes; those that occur again, and what is left between them, put together in hexadecimal.
+ORACLE["op5_suffix_dedup"] = """
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT r, i, md5(b[i + 1:i + 400]) AS m
+  FROM (SELECT r, b, unnest(range(0, octet_length(b) - 399)) AS i FROM texts WHERE octet_length(b) >= 400)),
+starts AS (SELECT r, i FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)),
+runs AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+    SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM starts)),
+spans AS (SELECT r, min(i) AS low, max(i) + 400 AS high FROM runs GROUP BY r, run),
+pieces AS (
+  SELECT r, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL SELECT t.r, coalesce(max(high), 0), CAST(length(any_value(h)) / 2 AS BIGINT) FROM texts t LEFT JOIN spans s ON s.r = t.r GROUP BY t.r),
+kept AS (
+  SELECT t.r, string_agg(CASE WHEN high > low THEN h[2 * low + 1:2 * high] ELSE '' END, '' ORDER BY low) AS k
+  FROM texts t JOIN pieces p ON p.r = t.r GROUP BY t.r)
+SELECT t.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(k)) / 2 AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM spans s WHERE s.r = t.r) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM texts t JOIN kept USING (r)
+"""
+
+ORACLE["op8_chat_format"] = f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) r(t)),
+turns AS (
+  SELECT *, replace(replace(role, '\\', '\\\\'), '<|', '<\\|') AS r, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS t FROM rows_),
+lined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    CAST(sum(length(r) + length(t) + {len(chat.START) + len(chat.TEXT) + len(chat.END)}) AS BIGINT) AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM lined
+"""
