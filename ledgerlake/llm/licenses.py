@@ -2,8 +2,10 @@
 
 All rolling word k-grams of a text are hashed and joined to the places where templates have the same
 hashes. A hit at text place p and template place q votes for diagonal p - q. Votes are summed for each
-(document, template, diagonal), diagonals a few words apart (inserted or dropped words) are merged, and
-the merged spans are verified by comparing words.
+(document, template, diagonal), and diagonals a few words apart (inserted or dropped words) are merged. A
+chain that grows longer than a template can be is a template that stands there again and again: it is parted,
+in the order of the text, where the template's places begin anew. A span is verified if the runs of equal
+words in it cover enough of the template and it is not too long.
 
 Everything is native. The templates are a parameter of a few kilobytes whose size is checked, so their
 places are broadcast; documents are never shuffled, only the few votes are. One document's votes are
@@ -136,13 +138,24 @@ def _spans(votes: DataFrame, gram: int, drift: int) -> DataFrame:
     template's words that stand in it."""
     order = Window.partitionBy(*KEY, "label").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > drift, F.lit(True))
-    merged = votes.withColumn("new", new.cast("int")).withColumn(
-        "span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chained = votes.withColumn("new", new.cast("int")).withColumns(
+        {
+            "chain": F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "low": F.array_min("places"),
+            "high": F.array_max("places"),
+        }
+    )
+    chain = Window.partitionBy(*KEY, "label", "chain")
+    length = F.max(F.col("diagonal") + F.col("high") + gram).over(chain) - F.min(F.col("diagonal") + F.col("low")).over(chain)
+    in_text = chain.orderBy(F.col("diagonal") + F.col("low"), "diagonal")
+    again = F.coalesce(F.col("low") <= F.lag("high").over(in_text), F.lit(False))
+    merged = chained.withColumn("again", ((length > 2 * F.col("size")) & again).cast("int")).withColumn(
+        "copy", F.sum("again").over(in_text.rowsBetween(Window.unboundedPreceding, 0))
     )
     places = F.array_distinct(F.flatten(F.collect_list("places")))
     covered = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + gram - 1))))
     return (
-        merged.groupBy(*KEY, "label", "size", "span")
+        merged.groupBy(*KEY, "label", "size", "chain", "copy")
         .agg(
             F.min(F.col("diagonal") + F.array_min("places")).alias("first"),
             F.max(F.col("diagonal") + F.array_max("places") + gram).alias("end"),

@@ -47,3 +47,23 @@ def test_spans_are_placed_once_however_often_rows_repeat(frame, nothing):
     assert sorted((r["_id"], r["label"], r["first"]) for r in spans) == [(1, "isc", 20), (2, "isc", 21)]
     assert L.scan(frame([(1, text), (1, text)])).count() == 2
     assert L.scan(nothing).count() == 0
+
+
+def test_notices_that_stand_there_many_times_keep_their_labels(frame):
+    rows = [(n, f"{prose(n, 9)} copyright {'all rights reserved ' * n}") for n in range(1, 11)]
+    rows += [(100 + n, f"{prose(n, 9)} {'all rights reserved. ' * n}") for n in range(1, 11)]
+    rows += [(200 + n, f"{(L.TEMPLATES['mit-notice'] + ' and ') * n} {prose(n, 9)}") for n in range(1, 11)]
+    rows += [(300 + n, (L.TEMPLATES["isc"] + " ") * n) for n in range(1, 5)]
+    got = {i: (r["labels"], r["score"]) for i, r in scanned(frame(rows)).items()}
+    for n in range(1, 11):
+        assert got[n] == ("reserved,reserved-notice", 1.0)
+        assert got[100 + n] == ("reserved,reserved-notice", 0.75)
+        assert got[200 + n] == ("mit-notice", 1.0)
+    assert {got[300 + n] for n in range(1, 5)} == {("isc", 1.0)}
+    spans = L.find_spans(frame([(1, "all rights reserved " * 6)])).where("label = 'reserved-notice'").collect()
+    assert sorted((r["first"], r["end"]) for r in spans) == [(3 * i, 3 * i + 3) for i in range(6)]
+
+
+def test_null_ids(frame):
+    rows = L.scan(frame([(None, L.TEMPLATES["isc"]), (None, None), (None, "cc by")])).collect()
+    assert sorted((r["labels"], r["n_base"]) for r in rows) == [("", 0), ("cc-by", 1), ("isc", 0)]
