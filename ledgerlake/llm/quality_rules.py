@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import WORD, let, packed, store
+from .common import WORD, let, store
 
 # Frequent function words of each language.
 COMMON_WORDS: dict[str, tuple[str, ...]] = {
@@ -122,17 +122,27 @@ def repeated_window_words(words: Column) -> Column:
     return F.when(size < WINDOW, F.lit(0)).otherwise(repeated)
 
 
-def _base(text: Column, words: Column, classes: Column) -> dict[str, Column]:
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    spaces = [name for name, _ in CHARACTER_CLASSES].index("space")
-    symbols = [name for name, _ in CHARACTER_CLASSES].index("symbol")
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": (F.length(text) - classes[spaces]).cast("long"),
-        "n_symbols": classes[symbols].cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_window_words(words).cast("long"),
-    }
+def _measures(text: Column, common: Column, limits: Limits) -> Column:
+    """All that is counted in a text, in one go: the base figures, characters by class, common words."""
+
+    def counted(t: Column, words: Column, classes: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+        names = [name for name, _ in CHARACTER_CLASSES]
+        frequent = F.when((F.size(words) >= limits.min_words_for_common) & common.isNotNull(), _common_counts(words, common))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            (F.length(t) - classes[names.index("space")]).cast("long").alias("word_chars"),
+            classes[names.index("symbol")].cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_window_words(words).cast("long").alias("n_repeat_words"),
+            F.when(F.size(words) >= limits.min_words_for_characters, classes).alias("classes"),
+            frequent.alias("frequent"),
+        )
+
+    return let(
+        F.coalesce(text, F.lit("")),
+        lambda t: let(_words(t), lambda w: let(_class_counts(t), lambda classes: counted(t, w, classes))),
+    )
 
 
 def _shares(counts: Column) -> Column:
@@ -180,42 +190,31 @@ def _own_words(lang: Column, languages: Mapping[str, Sequence[str]]) -> Column:
     )
 
 
-def reference_table(
+def measured(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
     languages: Mapping[str, Sequence[str]] = COMMON_WORDS,
     limits: Limits = Limits(),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
+    """``row`` (the columns in ``keep``; all by default), ``own`` (its language) and ``m`` (``_measures``) of each document."""
+    row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)])
+    own = F.col(lang)
+    return docs.select(row.alias("row"), own.alias("own"), _measures(F.col(text), _own_words(own, languages), limits).alias("m"))
+
+
+def references_of(counted: DataFrame, languages: Mapping[str, Sequence[str]] = COMMON_WORDS) -> DataFrame:
     """Mean shares over every long enough document of each language present: language, characters, frequent.
 
-    One pass with partial sums; each document weighs the same. ``frequent`` is null for languages without a list,
-    and either is null where no document is long enough.
+    Partial sums; each document weighs the same. ``frequent`` is null for languages without a list, and either
+    is null where no document is long enough.
     """
-    own_words = _own_words(F.col("lang"), languages)
-    width = len(CHARACTER_CLASSES) + 1
-    shares = (
-        docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
-        .where("lang IS NOT NULL")
-        .select(
-            "lang",
-            let(
-                _words(F.col("text")),
-                lambda w: F.struct(
-                    F.size(w).alias("n"),
-                    F.when(F.size(w) >= limits.min_words_for_characters, _shares(_class_counts(F.col("text")))).alias("c"),
-                    F.when(
-                        (F.size(w) >= limits.min_words_for_common) & own_words.isNotNull(),
-                        _shares(_common_counts(w, own_words)),
-                    ).alias("w"),
-                ),
-            ).alias("s"),
-        )
-    )
+    shares = counted.where("own IS NOT NULL").select("own", _shares(F.col("m.classes")).alias("c"), _shares(F.col("m.frequent")).alias("w"))
     longest = max(map(len, languages.values()), default=0) + 1
-    means = shares.groupBy(F.col("lang").alias("language")).agg(
-        F.array(*[F.avg(F.get("s.c", F.lit(i))) for i in range(width)]).alias("c"),
-        F.array(*[F.avg(F.get("s.w", F.lit(i))) for i in range(longest)]).alias("w"),
+    means = shares.groupBy(F.col("own").alias("language")).agg(
+        F.array(*[F.avg(F.get("c", F.lit(i))) for i in range(len(CHARACTER_CLASSES) + 1)]).alias("c"),
+        F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(longest)]).alias("w"),
     )
 
     def learned(found: str) -> Column:
@@ -224,6 +223,16 @@ def reference_table(
     return means.select("language", learned("c").alias("characters"), learned("w").alias("frequent"))
 
 
+def reference_table(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    languages: Mapping[str, Sequence[str]] = COMMON_WORDS,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    return references_of(measured(docs, text, lang, languages, limits, keep=[lang]), languages)
+
+
 def learn_references(
     docs: DataFrame,
     text: str = "text",
@@ -237,39 +246,34 @@ def learn_references(
     return {row["language"]: (row["characters"] or [], row["frequent"] or []) for row in rows}
 
 
-def _divergent(words: Column, classes: Column, common: Column, reference: tuple[Column, Column], limits: Limits) -> Column:
+def _divergent(m: Column, reference: tuple[Column, Column], limits: Limits) -> Column:
     characters, frequent = reference
-    by_characters = F.when(
-        (F.size(words) >= limits.min_words_for_characters) & characters.isNotNull(),
-        js_distance(_shares(classes), characters) > limits.max_character_distance,
-    ).otherwise(F.lit(False))
-    by_words = F.when(
-        (F.size(words) >= limits.min_words_for_common) & common.isNotNull() & frequent.isNotNull(),
-        js_distance(_shares(_common_counts(words, common)), frequent) > limits.max_word_distance,
-    ).otherwise(F.lit(False))
-    return by_characters | by_words
-
-
-def _assessed(text: Column, common: Column, reference: tuple[Column, Column], limits: Limits) -> Column:
-    def judged(t: Column, w: Column, classes: Column) -> Column:
-        counts = _base(t, w, classes)
-        divergent = _divergent(w, classes, common, reference, limits)
-        return let(
-            F.struct(*[c.alias(n) for n, c in counts.items()], divergent.alias("divergent")),
-            lambda s: let(
-                (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"]),
-                lambda failed: F.struct(
-                    *[s[n].alias(n) for n in counts],
-                    failed.alias("base_failed"),
-                    s["divergent"].alias("divergent"),
-                    (~failed & ~s["divergent"]).alias("kept"),
-                ),
-            ),
-        )
+    by_characters = js_distance(_shares(m["classes"]), characters) > limits.max_character_distance
+    by_words = js_distance(_shares(m["frequent"]), frequent) > limits.max_word_distance
+    return (
+        F.when(m["classes"].isNotNull() & characters.isNotNull(), by_characters).otherwise(F.lit(False))
+        | F.when(m["frequent"].isNotNull() & frequent.isNotNull(), by_words).otherwise(F.lit(False))
+    )
+
 
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _judged(measures: Column, reference: tuple[Column, Column], limits: Limits) -> Column:
     return let(
-        F.coalesce(text, F.lit("")),
-        lambda t: let(_words(t), lambda w: let(_class_counts(t), lambda classes: judged(t, w, classes))),
+        measures,
+        lambda m: let(
+            F.struct(
+                ((m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])).alias("failed"),
+                _divergent(m, reference, limits).alias("divergent"),
+            ),
+            lambda v: F.struct(
+                *[m[n].alias(n) for n in FIGURES],
+                v["failed"].alias("base_failed"),
+                v["divergent"].alias("divergent"),
+                (~v["failed"] & ~v["divergent"]).alias("kept"),
+            ),
+        ),
     )
 
 
@@ -290,7 +294,7 @@ def assess(
             F.lit(None).cast("array<double>"),
         )
 
-    return _assessed(text, _own_words(lang, languages), (own(0), own(1)), limits)
+    return _judged(_measures(text, _own_words(lang, languages), limits), (own(0), own(1)), limits)
 
 
 def assessed(
@@ -299,13 +303,18 @@ def assessed(
     lang: str = "lang",
     languages: Mapping[str, Sequence[str]] = COMMON_WORDS,
     limits: Limits = Limits(),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Whole documents as one column, ``row``, beside their assessment ``q`` by the references that they teach."""
-    references = store(reference_table(docs, text, lang, languages, limits))
+    """Documents as one column, ``row``, beside their assessment ``q`` by the references that they teach.
+
+    Every text is worked through once: what was counted is stored with the columns to ``keep``, teaches the
+    references, and is judged by them.
+    """
+    counted = store(measured(docs, text, lang, languages, limits, keep))
+    references = store(references_of(counted, languages))
     references = broadcast_if_small(references, references.count())
-    rows = packed(docs, own=F.col(lang)).join(references, F.col("own") == F.col("language"), "left")
-    reference = F.col("characters"), F.col("frequent")
-    return rows.select("row", _assessed(F.col("row")[text], _own_words(F.col("own"), languages), reference, limits).alias("q"))
+    rows = counted.join(references, F.col("own") == F.col("language"), "left")
+    return rows.select("row", _judged(F.col("m"), (F.col("characters"), F.col("frequent")), limits).alias("q"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", **options) -> DataFrame:

@@ -23,7 +23,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.assessed(docs).select("row.doc_id", "q.*").drop("divergent")
+    return quality_rules.assessed(docs, keep=["doc_id"]).select("row.doc_id", "q.*").drop("divergent")
 
 
 @query
