@@ -8,7 +8,8 @@ in the order of the text, where the template's places begin anew. A span is veri
 words in it cover enough of the template and it is not too long.
 
 Everything is native. The templates are a parameter of a few kilobytes whose size is checked, so their
-places are broadcast; documents are never shuffled, only the few votes are. One document's votes are
+places are broadcast. Every text is worked through once, and of its k-grams only those that a template has are
+stored; documents are never shuffled, only the few votes are. One document's votes are
 summed before they meet, so a document of any length, or a hot one, gives few rows.
 
 Defined results: null text has no words, a null score is never given: a text without any license has no
@@ -24,7 +25,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, store
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases that count wherever they stand, and the labels they give.
@@ -124,10 +125,23 @@ def template_places(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, g
     )
 
 
-def _votes(words: DataFrame, templates: DataFrame, gram: int) -> DataFrame:
+def _counted(docs: DataFrame, id: str, text: str, templates: DataFrame, gram: int) -> DataFrame:
+    """Each text worked through once and stored: its number of words, base places, and k-grams that templates have."""
+    known = sorted(r["hash"] for r in templates.select("hash").distinct().collect())  # at most MAX_TEMPLATE_WORDS
+    words = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"), license_words(F.col(text)).alias("words"))
+
+    def hit(hash: Column, at: Column) -> Column:
+        return F.when(hash.isin(known), F.struct(at.alias("at"), hash.alias("hash")))
+
+    hits = F.filter(F.transform(_grams(_hashes(F.col("words")), gram), hit), lambda x: x.isNotNull())
+    return store(
+        words.select(*KEY, F.size("words").cast("long").alias("n_words"), base_places(F.col("words")).alias("places"), hits.alias("hits"))
+    )
+
+
+def _votes(counted: DataFrame, templates: DataFrame) -> DataFrame:
     """The template places hit for each (document, template, diagonal); at most a template's length."""
-    grams = words.select(*KEY, F.posexplode(_grams(F.col("hashes"), gram)).alias("at", "hash"))
-    hits = grams.join(F.broadcast(templates), "hash")
+    hits = counted.select(*KEY, F.inline("hits")).join(F.broadcast(templates), "hash")
     return hits.groupBy(*KEY, "label", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.collect_set("place").alias("places")
     )
@@ -181,28 +195,33 @@ def find_spans(
 
     A span is verified if it holds enough of its template's words and is at most twice as long.
     """
-    words = _prepared(docs, id, text).select(*KEY, _hashes(F.col("words")).alias("hashes"))
-    spans = _spans(_votes(words, template_places(docs, templates, gram), gram), gram, drift)
-    verified = (F.col("share") >= least_share) & (F.col("end") - F.col("first") <= 2 * F.col("size"))
-    return spans.where(verified).select(*KEY, "label", "first", "end", "share")
+    table = template_places(docs, templates, gram)
+    return _verified(_counted(docs, id, text, table, gram), table, gram, drift, least_share)
 
 
-def _prepared(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(
-        F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"), license_words(F.col(text)).alias("words")
-    )
+def _verified(counted: DataFrame, table: DataFrame, gram: int, drift: int, least_share: float) -> DataFrame:
+    spans = _spans(_votes(counted, table), gram, drift)
+    enough = (F.col("share") >= least_share) & (F.col("end") - F.col("first") <= 2 * F.col("size"))
+    return spans.where(enough).select(*KEY, "label", "first", "end", "share")
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    templates: Mapping[str, str] = TEMPLATES,
+    gram: int = GRAM,
+    drift: int = DRIFT,
+    least_share: float = LEAST_SHARE,
+) -> DataFrame:
     """For each document the base figures, all labels, and the best verified share as score.
 
     Rows are found again by id and the hash of their text, so rows with the same id and different texts
     are told apart, and rows that are equal get equal results.
     """
-    base = _prepared(docs, id, text).select(
-        *KEY, F.size("words").cast("long").alias("n_words"), base_places(F.col("words")).alias("places")
-    )
-    spans = find_spans(docs, id, text, **options)
+    table = template_places(docs, templates, gram)
+    base = _counted(docs, id, text, table, gram)
+    spans = _verified(base, table, gram, drift, least_share)
     found = spans.groupBy(*[F.col(k).alias(f"{k}2") for k in KEY]).agg(
         F.collect_set("label").alias("own"), F.max("share").alias("share")
     )
