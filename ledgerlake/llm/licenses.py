@@ -25,7 +25,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, store
+from .common import ascii_lower, let, store
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases that count wherever they stand, and the labels they give.
@@ -128,15 +128,20 @@ def template_places(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, g
 def _counted(docs: DataFrame, id: str, text: str, templates: DataFrame, gram: int) -> DataFrame:
     """Each text worked through once and stored: its number of words, base places, and k-grams that templates have."""
     known = sorted(r["hash"] for r in templates.select("hash").distinct().collect())  # at most MAX_TEMPLATE_WORDS
-    words = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"), license_words(F.col(text)).alias("words"))
 
     def hit(hash: Column, at: Column) -> Column:
         return F.when(hash.isin(known), F.struct(at.alias("at"), hash.alias("hash")))
 
-    hits = F.filter(F.transform(_grams(_hashes(F.col("words")), gram), hit), lambda x: x.isNotNull())
-    return store(
-        words.select(*KEY, F.size("words").cast("long").alias("n_words"), base_places(F.col("words")).alias("places"), hits.alias("hits"))
-    )
+    def read(words: Column) -> Column:
+        grams = let(_hashes(words), lambda hashes: _grams(hashes, gram))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            base_places(words).alias("places"),
+            F.filter(F.transform(grams, hit), lambda x: x.isNotNull()).alias("hits"),
+        )
+
+    read_once = let(license_words(F.col(text)), read)  # bound: the optimizer would write the words into every use
+    return store(docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"), read_once.alias("r")).select(*KEY, "r.*"))
 
 
 def _votes(counted: DataFrame, templates: DataFrame) -> DataFrame:
