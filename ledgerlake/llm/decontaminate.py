@@ -5,15 +5,13 @@ the weighted sum of its words. The leading right singular vectors of all passage
 randomised SVD: each task multiplies its passages with a fixed random matrix and back (Y = A'A Omega), the tasks'
 matrices of fixed size are added up, and an orthonormal basis of Y spans the space.
 
-**Search.** Every passage of every document is compared with every benchmark item by cosine, as one matrix product
-for each block of passages and items. Passages have about an item's length and start every sixth of it, so one
-of them lies within a twelfth of any copy. Sums of words between two places are differences of running sums, so
+**Search.** Passages have about an item's length and start every sixth of it, so one of them lies within a
+twelfth of any copy. Passages that cannot leak are skipped: a leak lacks at most a fixed number of the item's words,
+so it holds at least so many of any larger set of them, and an inverted index of the items' rarest words gives the
+places where that many lie within a passage's reach. All other passages are compared with the item by cosine, and
+those of at least ``COSINE`` are its candidates. Sums of words between two places are differences of running sums, so
 overlapping passages cost no more than words do.
 
-**Rare words.** No leak hinges on the cosine. A reported passage lacks at most a fixed number of the item's words, so it
-holds at least so many of any larger set of them. Places where that many of an item's rarest words lie within a
-passage's reach come from an inverted index of these words; their passages are candidates whatever their cosine.
-
 **Checks.** A candidate is a leak if the longest common subsequence of the item's words and the passage's (and a few
 words around it) has 80 % of the item, or 60 % with the item's answer, its last sentence, word for word.
 
@@ -31,7 +29,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, store, without
@@ -46,9 +44,9 @@ LEAST_WORDS = 8
 PASSAGE = 40  # words of the passages that the space is learned from
 LENGTHS = (*range(8, 21), 22, 24, 27, 30, 34, 38, 43, 49, 56, 64, 74, 86, 104, 125)
 MOST_WORDS = 128  # longer items are searched for in parts
-COSINE = 0.7
+COSINE = 0.4
 SHARE, SHARE_WITH_ANSWER = 0.8, 0.6
-RARE_WORDS = 4  # of an item's rarest words that a passage must hold to be a candidate whatever its cosine
+RARE_WORDS = 4  # of an item's rarest words that a passage must hold to be compared at all
 BLOCK_ITEMS = 10_000
 WORDS_AT_ONCE = 50_000
 CHARACTERS_AT_ONCE = 50_000
@@ -178,7 +176,7 @@ def _queries(items: Sequence[tuple[int, str]]) -> list[tuple[int, np.ndarray, np
     return found
 
 
-LEAK = "id long, item_id long, first_word long, n_words long, cosine double, share double, answer boolean"
+LEAK = "id long, hash long, item_id long, first_word long, n_words long, cosine double, share double, answer boolean"
 
 
 def _needed(query: tuple[int, np.ndarray, np.ndarray]) -> int:
@@ -235,15 +233,14 @@ class _Group:
         starts, stops, docs = self.passages(begins, ends)
         around = self.around
         rare, rare_query = self.around_runs(runs, starts, docs, ends)
-        for low in range(0, len(starts), 8_000):
-            start, stop, doc = (x[low : low + 8_000] for x in (starts, stops, docs))
+        for low in range(0, len(rare), 100_000):
+            at, query = rare[low : low + 100_000], rare_query[low : low + 100_000]
+            start, stop, doc = starts[at], stops[at], docs[at]
             passage = sums[stop] - sums[start]
             passage /= np.maximum(np.sqrt(np.einsum("ij,ij->i", passage, passage)), 1e-9)[:, None]
-            cosine = passage @ self.vectors
-            wanted = cosine >= COSINE
-            own = slice(*np.searchsorted(rare, (low, low + len(start))))
-            wanted[rare[own] - low, rare_query[own]] = True
-            near, query = np.nonzero(wanted)
+            cosine = np.einsum("ij,ij->i", passage, self.vectors.T[query])
+            near = np.flatnonzero(cosine >= COSINE)
+            query, cosine = query[near], cosine[near]
             # Words in the passage that the query has at all bound the common subsequence from above.
             first = np.maximum(start[near] - around, begins[doc[near]])
             last = np.minimum(stop[near] + around, ends[doc[near]])
@@ -256,7 +253,7 @@ class _Group:
                 bit = (self.members[query[cut, None], f >> 3] >> (f & 7).astype(np.uint8)) & 1
                 enough[cut] = (bit.astype(bool) & inside).sum(axis=1) >= self.needed[query[cut]]
             for i in np.flatnonzero(enough):
-                yield int(doc[near[i]]), int(query[i]), int(first[i]), int(last[i]), float(cosine[near[i], query[i]])
+                yield int(doc[near[i]]), int(query[i]), int(first[i]), int(last[i]), float(cosine[i])
 
 
 class _RareWords:
@@ -320,7 +317,7 @@ def _search(
         searched, powers = [_Group(length, own, latent) for length, own in groups], Powers()
         rare = _RareWords(searched, weights)
         for batch in batches:
-            ids, leaks = batch["id"].tolist(), []
+            ids, marks, leaks = batch["id"].tolist(), batch["hash"].tolist(), []
             for rows, hashes in _blocks(batch["text"].tolist(), powers):
                 words = np.concatenate(hashes)
                 feature = _features(words)
@@ -335,17 +332,17 @@ def _search(
                         told = share >= SHARE_WITH_ANSWER and _contains(words[first:last], answer)
                         if share >= SHARE or told:
                             place = int(first - begins[doc])
-                            leaks.append((ids[rows[doc]], item, place, last - first, cosine, share, told))
+                            leaks.append((ids[rows[doc]], marks[rows[doc]], item, place, last - first, cosine, share, told))
             if leaks:
                 found = pd.DataFrame(leaks, columns=[c.split()[0] for c in LEAK.split(", ")])
                 yield found.astype({"id": "Int64", "item_id": "Int64"})
 
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     return rows.mapInPandas(run, LEAK)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The best passage for each leaked (document, item): where it is, its cosine, its share, whether with the answer."""
+def _all_leaks(docs: DataFrame, benchmark: DataFrame, id: str, text: str) -> DataFrame:
+    """Every passage that leaks an item, with its row's id and the hash of its text."""
     space = latent_space(docs, text)
     found = None
     items: list[tuple[int, str]] = []
@@ -358,11 +355,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     if items or found is None:
         part = _search(docs, items, space, id, text)
         found = part if found is None else found.unionByName(part)
+    return found
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The best passage for each leaked (document, item): where it is, its cosine, its share, whether with the answer."""
     best = F.max_by(F.struct("first_word", "n_words", "cosine", "share", "answer"), F.struct("share", "cosine", -F.col("first_word")))
-    return found.groupBy("id", "item_id").agg(best.alias("best")).select(F.col("id").alias(id), "item_id", "best.*")
+    found = _all_leaks(docs, benchmark, id, text).groupBy("id", "item_id").agg(best.alias("best"))
+    return found.select(F.col("id").alias(id), "item_id", "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a leak, with all their columns. Rows with a null id are searched but always stay."""
-    leaked = store(find_leaks(docs, benchmark, id, text).select(F.col(id).alias("id")).where("id IS NOT NULL").distinct())
-    return without(packed(docs, id=F.col(id).cast("long")), leaked, ["id"])
+    """The documents without a leak, with all their columns.
+
+    Rows are told apart by id and the hash of their text, so a clean row stays beside a leaked one of its id, and
+    a leaked row without an id goes.
+    """
+
+    def keys(own: Column, hash: Column) -> dict[str, Column]:
+        return {"id": F.coalesce(own, F.lit(0)), "nil": own.isNull(), "hash": hash}
+
+    found = _all_leaks(docs, benchmark, id, text)
+    leaked = store(found.select(*[c.alias(n) for n, c in keys(F.col("id"), F.col("hash")).items()]).distinct())
+    own = keys(docs[id].cast("long"), F.xxhash64(docs[text]))
+    return without(packed(docs, **own), leaked, list(own))

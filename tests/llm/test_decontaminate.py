@@ -97,3 +97,18 @@ def test_edited_copies_of_items_around_the_longest_part_are_found(spark, frame):
 def test_empty_tables(spark, frame, nothing):
     assert D.find_leaks(nothing, benchmark(spark, [(1, item(1, 20))])).count() == 0
     assert D.clean(frame([(1, prose(1, 50))]), benchmark(spark, [])).count() == 1
+
+
+def test_rows_are_removed_by_id_and_text(spark, frame):
+    leak = item(1, 30)
+    rows = [(1, f"{prose(1, 40)} {leak} {prose(2, 40)}"), (1, prose(3, 90)), (None, f"{prose(4, 40)} {leak}"), (None, prose(5, 60)), (None, None)]
+    kept = D.clean(frame(rows), benchmark(spark, [(7, leak)])).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept) == sorted([(1, prose(3, 90)), (-1, prose(5, 60)), (-1, "")])
+
+
+def test_the_cosine_decides(spark, frame, monkeypatch):
+    leak = item(2, 30)
+    rows = frame([(1, f"{prose(1, 40)} {leak} {prose(2, 40)}"), (2, prose(3, 400))])
+    assert [r["doc_id"] for r in D.find_leaks(rows, benchmark(spark, [(7, leak)])).collect()] == [1]
+    monkeypatch.setattr(D, "COSINE", 2.0)
+    assert D.find_leaks(rows, benchmark(spark, [(7, leak)])).count() == 0
