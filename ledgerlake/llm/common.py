@@ -19,6 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW_GROUP = 1 << 24  # bytes that a writing task buffers
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet below the shared checkpoint folder and go on from there.
 
@@ -28,7 +31,7 @@ def store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(folder)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
