@@ -76,12 +76,21 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
 
 
+PORTION = 1_000  # rows whose shingles a task holds at once
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, PORTION):
+            yield batch.slice(first, PORTION)
+
+
 def shingle_counts(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     """How many shingles of all documents fall on each counter. The result's size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, total = Powers(), np.zeros(counters, np.int64)
-        for batch in batches:
+        for batch in _portions(batches):
             sets = shingle_sets(batch.column(0).to_pylist(), powers)
             at = np.concatenate(sets) & np.uint64(counters - 1) if sets else np.empty(0, np.uint64)
             total += np.bincount(at.astype(np.int64), minlength=counters)
@@ -105,7 +114,7 @@ def signatures(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, total = Powers(), shared.value
         mask = np.uint64(len(total) - 1)
-        for batch in batches:
+        for batch in _portions(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), powers)
             keep = [i for i, s in enumerate(sets) if len(s)]
             sets = [sets[i] for i in keep]
@@ -135,7 +144,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in _portions(batches):
             sets = [s for s in shingle_sets(batch.column(0).to_pylist(), powers) if len(s)]
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
