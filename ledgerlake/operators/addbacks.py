@@ -185,16 +185,18 @@ def apply_rule_table(
     found by the piece of up to four characters, of all their needles, that the fewest rules share; a row
     looks up the pieces of its texts. Only what is found is tested in full. Rows are neither multiplied nor
     regrouped, so a key or an amount that holds most of them costs nothing extra.
+
+    Of a table of more than ``HELD`` rules nothing is gathered: pieces are longer, the pieces of the distinct
+    texts are joined to those of the rules, and rows to what was found for their texts.
     """
     by = keys(by)
     if "name" not in rules.columns:
         raise ValueError("a rule table needs a 'name' column")
-    ready = _prepared(rules, by, order)
-    seen = ready.select("_width", "_column", "_piece").distinct().collect()  # settings: at most one for each rule
-    widths = sorted({r["_width"] for r in seen if r["_width"] is not None})
-    pieces = {c: sorted({r["_piece"] for r in seen if r["_column"] == c}) for c in _SEARCHED}
-    used = [c for c in _SEARCHED if pieces[c]]
-    rows = ready.count()
+    ready, rows = _prepared(rules, by, order)
+    kinds = ready.select("_width", "_column").distinct().collect()  # a few: widths are whole powers of two
+    widths = sorted({r["_width"] for r in kinds if r["_width"] is not None})
+    used = [c for c in _SEARCHED if any(r["_column"] == c for r in kinds)]
+    always = any(r["_width"] is None and r["_column"] is None for r in kinds)
 
     size = _magnitude(df)
     joined, found = df, []
@@ -209,7 +211,19 @@ def apply_rule_table(
         joined = joined.withColumn("_tile", F.floor(size / wide))
         joined = joined.join(broadcast_if_small(tiles, 3 * rows), [*by, "_tile"], "left").drop("_tile")
         found.append(F.col(f"_tile{k}"))
-    if used or any(r["_width"] is None and r["_column"] is None for r in seen):
+    if rows > HELD:
+        for c in used:
+            texts = df.select(*by, F.lower(text(df, c)).alias("_text"))
+            joined = joined.withColumn("_text", F.lower(text(df, c)))
+            joined = joined.join(_of_texts(texts, ready, by, c), [*by, "_text"], "left").drop("_text")
+            found.append(F.col(f"_said_{c}"))
+        if always:
+            rest = ready.where("_width IS NULL AND _column IS NULL").groupBy(*by).agg(F.collect_list("_rule").alias("_always"))
+            joined = joined.join(broadcast_if_small(rest, rows), by, "left") if by else joined.crossJoin(rest)
+            found.append(F.col("_always"))
+    elif used or always:
+        seen = ready.where("_piece IS NOT NULL").select("_column", "_piece").distinct().collect()  # at most HELD
+        pieces = {c: sorted({r["_piece"] for r in seen if r["_column"] == c}) for c in _SEARCHED}
         index = _hashed(ready.where("_width IS NULL"), by)
         both = F.struct("_buckets", "_always")
         if by:
@@ -264,12 +278,17 @@ def apply_rule_table(
 
 
 PIECE = 4  # characters of a needle that rules are looked up by
-
+LONG_PIECE = 8  # the same for a table of more than HELD rules
+HELD = 1_000  # rules that the plan or a row may hold
+CLASS = 1_000  # characters that a place in a pattern may list
 
 def _classes(texts: Sequence[str]) -> str:
     """A pattern of one class of characters for each place in texts of one length."""
-    places = zip(*texts)
-    return "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(place))) + "]" for place in places)
+    return _classes_of(sorted(set(place)) for place in zip(*texts))
+
+
+def _classes_of(places: Iterable[Iterable[str]]) -> str:
+    return "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in place) + "]" for place in places)
 
 
 def _pieces(lowered: Column, wanted: Sequence[str]) -> Column:
@@ -281,6 +300,25 @@ def _pieces(lowered: Column, wanted: Sequence[str]) -> Column:
     return F.concat(*runs)
 
 
+def _of_texts(texts: DataFrame, rules: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """For each distinct text of the column the rules that it holds a piece and all of that column's needles of.
+
+    Neither rules nor their pieces are gathered, only the characters that pieces have at each place.
+    """
+    own = rules.where(F.col("_column") == column).select(*by, "_piece", "_rule")
+    letters = F.transform(F.sequence(F.lit(1), F.length("_piece")), lambda i: F.substring("_piece", i, F.lit(1)))
+    spelled = own.select(F.length("_piece").alias("_length"), F.posexplode(letters).alias("_place", "_letter"))
+    listed = spelled.groupBy("_length", "_place").agg(F.collect_set("_letter").alias("_letters"))
+    listed = listed.withColumn("_letters", F.when(F.size("_letters") <= CLASS, F.array_sort("_letters")))
+    patterns: dict[int, str] = {}
+    for length, _, some in sorted(listed.collect(), key=lambda r: (r["_length"], r["_place"])):
+        patterns[length] = patterns.get(length, "") + (r"[\s\S]" if some is None else _classes_of([some]))
+    runs = [F.regexp_extract_all("_text", F.lit(f"(?=({p}))"), F.lit(1)) for p in patterns.values()]
+    each = texts.distinct().select(*by, "_text", F.explode(F.array_distinct(F.concat(*runs))).alias("_piece"))
+    fit = F.forall(f"_rule.{column}_contains", lambda needle: F.contains("_text", needle))
+    return each.join(own, [*by, "_piece"]).where(fit).groupBy(*by, "_text").agg(F.collect_list("_rule").alias(f"_said_{column}"))
+
+
 def _hashed(rules: DataFrame, by: Sequence[str]) -> DataFrame:
     """For each key a hash table of its pieces, and the rules without a piece.
 
@@ -313,8 +351,9 @@ def _of_pieces(lowered: Column, column: str, wanted: Sequence[str], buckets: Col
     return F.flatten(F.filter(F.transform(own, rules), lambda found: found.isNotNull()))
 
 
-def _prepared(rules: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Rules as records, stored, with what they are looked up by: a tile width, or else a column and a piece.
+def _prepared(rules: DataFrame, by: Sequence[str], order: str) -> tuple[DataFrame, int]:
+    """Rules as records, stored, with what they are looked up by: a tile width, or else a column and a piece;
+    and how many they are.
 
     Everything about a rule that does not depend on the row is settled here, once per rule.
     """
@@ -329,14 +368,16 @@ def _prepared(rules: DataFrame, by: Sequence[str], order: str) -> DataFrame:
         F.col(order).alias("pos"),
         *[ready.get(f.name, F.col(f.name)).alias(f.name) for f in RULE_SCHEMA.fields],
     )
-    rule = full.select(*by, record.alias("_rule"))
+    rule = cut(full.select(*by, record.alias("_rule")))
+    rows = rule.count()
+    piece = LONG_PIECE if rows > HELD else PIECE
     width = F.greatest(F.ceil(F.log2(2 * F.col("_rule.amount_tolerance"))).cast("int"), F.lit(-6))
     runs = lambda c: F.flatten(
         F.transform(
             F.filter(F.coalesce(f"_rule.{c}_contains", F.array().cast("array<string>")), lambda n: F.length(n) > 0),
             lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(n) - PIECE + 1, F.lit(1))),
-                lambda i: F.struct(F.lit(c).alias("_column"), F.substring(n, i, F.lit(PIECE)).alias("_piece")),
+                F.sequence(F.lit(1), F.greatest(F.length(n) - piece + 1, F.lit(1))),
+                lambda i: F.struct(F.lit(c).alias("_column"), F.substring(n, i, F.lit(piece)).alias("_piece")),
             ),
         )
     )
@@ -347,11 +388,10 @@ def _prepared(rules: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     shared = each.groupBy("_column", "_piece").agg(F.count(F.lit(1)).alias("_rules"))
     rarest = F.min(F.struct("_rules", -F.length("_piece"), "_column", "_piece")).alias("_best")
     chosen = each.join(shared, ["_column", "_piece"]).groupBy("_id").agg(rarest)
-    return cut(
-        rule.join(chosen, "_id", "left").select(
-            *by, "_rule", "_width", F.col("_best._column").alias("_column"), F.col("_best._piece").alias("_piece")
-        )
+    ready = rule.join(chosen, "_id", "left").select(
+        *by, "_rule", "_width", F.col("_best._column").alias("_column"), F.col("_best._piece").alias("_piece")
     )
+    return cut(ready), rows
 
 
 def _needle(text: Column) -> Column:

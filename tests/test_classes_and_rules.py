@@ -400,3 +400,42 @@ def test_many_tokens_go_by_their_order(make_ledger):
         "token=#7",
         "",
     ]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_long_rule_tables_equal_short_ones(spark, seed, monkeypatch):
+    """Joined by the pieces of distinct texts, rules hit what they hit when the plan holds them."""
+    import random
+
+    from ledgerlake.operators import addbacks
+
+    rng = random.Random(seed)
+    words = ["gear", "Ä", "x", "long needle here", "ge", "#000012345", "a.b", " rod ", "日本語テ", "𝄞𝄢 clefs", "needle", ""]
+    pick = lambda: [rng.choice(words) for _ in range(rng.randrange(1, 3))] if rng.random() < 0.4 else None
+    rules = [
+        (i % 90, f"r{i}", pick(), pick(), pick(), rng.choice([None, None, 10.0]), rng.choice([None, 5.0]), rng.choice([None, "a", "b"]))
+        for i in range(120)
+    ]
+    kinds = "pos int, name string, account_contains array<string>, name_contains array<string>, memo_contains array<string>, amount double, amount_tolerance double, k string"
+    table = spark.createDataFrame(rules, kinds)
+    say = lambda: None if rng.random() < 0.1 else "".join(rng.choice([*words, " "]) for _ in range(rng.randrange(5)))
+    rows = [(i % 200, say(), say(), say(), rng.choice([None, 10.0, -14.0, 99.0]), rng.choice([None, "a", "b", "c"])) for i in range(250)]
+    df = spark.createDataFrame(rows, "i int, account string, name string, memo string, amount double, k string")
+
+    def results():
+        return [sorted(map(str, ll.apply_rule_table(df, table, by=by, order="name").collect())) for by in ((), "k")]
+
+    short = results()
+    monkeypatch.setattr(addbacks, "HELD", 0)
+    assert results() == short
+    monkeypatch.setattr(addbacks, "CLASS", 1)
+    assert results() == short
+
+
+def test_a_long_rule_table_is_not_held_in_the_plan(spark, make_ledger):
+    """Thousands of rules without an amount: neither their names nor their needles reach the driver."""
+    rules = spark.range(3000).selectExpr("id as pos", "concat('rule', id) as name", "array(format_string('#%09d', id)) as name_contains")
+    rows = make_ledger([("2025-08-01", "a", "", f"Customer#{i:09d}", "", 1.0) for i in (7, 2999, 3000)])
+    ruled = ll.apply_rule_table(rows, rules)
+    assert len(ruled._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert sorted(r["sde_addback_reason"] for r in ruled.collect()) == ["", "rule=rule2999", "rule=rule7"]
