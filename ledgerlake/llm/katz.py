@@ -36,6 +36,7 @@ from .shingles import Powers, batches_of, hashed_words
 ADDED = 0.1
 DISCOUNTED = 5  # counts up to this are discounted
 BLOCK_BYTES = 16_000_000
+SLICE = 500  # texts of a block that are taken apart at once
 START, END = np.uint64(1), np.uint64(2)  # no word has these hashes but by a chance of 2 ** -64
 
 
@@ -75,11 +76,20 @@ class Block:
     """The distinct words and pairs of a block of texts, in an order that every pass finds again."""
 
     def __init__(self, table: pa.Table, setting: Setting):
-        self.tokens = _tokens(table.column("text").to_pylist())
         self.train = np.array(table.column("train").to_pylist(), bool)
         self.setting = setting
-        self.sizes = np.array([len(t) for t in self.tokens])
-        self.words, self.word = np.unique(np.concatenate(self.tokens), return_inverse=True)
+        sizes, words, places = [], [], []
+        for at in range(0, table.num_rows, SLICE):
+            tokens = _tokens(table.column("text").slice(at, SLICE).to_pylist())
+            sizes += [len(t) for t in tokens]
+            own, place = np.unique(np.concatenate(tokens), return_inverse=True)
+            words.append(own)
+            places.append(place.astype(np.int32))  # a block's tokens stay far below 2 ** 31
+        self.sizes = np.array(sizes)
+        self.words = np.unique(np.concatenate(words))
+        self.word = np.concatenate(
+            [np.searchsorted(self.words, own).astype(np.int32)[place] for own, place in zip(words, places, strict=True)]
+        )
 
     def word_slices(self) -> list[np.ndarray]:
         """Distinct words by shard; shards own ranges, so the slices follow one another."""
@@ -90,13 +100,23 @@ class Block:
         """Distinct pairs by (context, word), places in ``words``; and by shard those that training can have seen."""
         starts = np.cumsum(self.sizes) - self.sizes
         first = len(self.words)  # the place of the start mark
-        context = np.empty(len(self.word), np.int64)
-        context[1:] = self.word[:-1]
-        context[starts] = first
-        key, self.pair = np.unique(context * (first + 1) + self.word, return_inverse=True)
+        key = np.empty(len(self.word), np.int64)
+        key[1:] = self.word[:-1]
+        key[starts] = first
+        key *= first + 1
+        key += self.word
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        key = key[fresh]
+        self.pair = np.empty(len(fresh), np.int32)
+        self.pair[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order, fresh
         learnt = np.repeat(self.train, self.sizes)
         self.count = np.bincount(self.pair[learnt], minlength=len(key))
-        self.context, self.second = key // (first + 1), key % (first + 1)
+        self.context = (key // (first + 1)).astype(np.int32)
+        self.second = (key % (first + 1)).astype(np.int32)
         heads, hot = np.append(self.words, START), self.setting.hot
         place = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
         self.hot = np.where(hot[place] == heads, place, -1)  # of each context, its place among the frequent ones
@@ -123,7 +143,16 @@ class Block:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(a.tobytes() for a in arrays)
+    """Bytes of one significance together: most numbers are small, and those compress better."""
+    return b"".join(a.reshape(-1, 1).view(np.uint8).T.tobytes() for a in arrays)
+
+
+def _whole(blob: bytes, kind: type, size: int, at: int = 0) -> np.ndarray:
+    """An array of ``_packed``."""
+    width = np.dtype(kind).itemsize
+    if not size:
+        return np.empty(0, kind)
+    return np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size).T.copy().view(kind).ravel()
 
 
 def _ask_words(setting: Setting):
@@ -133,7 +162,7 @@ def _ask_words(setting: Setting):
             {
                 "shard": pa.array(range(len(slices)), pa.int32()),
                 "block": pa.array([key[0].as_py()] * len(slices), pa.int32()),
-                "words": pa.array([s.tobytes() for s in slices], pa.binary()),
+                "words": pa.array([_packed(s) for s in slices], pa.binary()),
             }
         )
 
@@ -148,12 +177,12 @@ def _answer_words(setting: Setting):
         words, counts = words[order], known.column("c").to_numpy()[order]
         names, answers = [], []
         for blob in asked.column("words").to_pylist():
-            wanted = np.frombuffer(blob, np.uint64)
+            wanted = _whole(blob, np.uint64, len(blob) // 8)
             at = np.minimum(np.searchsorted(words, wanted), max(len(words) - 1, 0))
             found = words[at] == wanted if len(words) else np.zeros(len(wanted), bool)
             count = np.where(found, counts[at], 0) if len(words) else np.zeros(len(wanted))
-            names.append(((at << setting.bits) + (key[0].as_py() or 0)).astype(setting.kind).tobytes())
-            answers.append(count.astype(setting.kind).tobytes())
+            names.append(_packed(((at << setting.bits) + (key[0].as_py() or 0)).astype(setting.kind)))
+            answers.append(_packed(count.astype(setting.kind)))
         return pa.table(
             {
                 "block": asked.column("block"),
@@ -173,8 +202,9 @@ def _by_shard(answers: pa.Table, kind: int, column: str) -> list[tuple[int, byte
 
 
 def _numbers(answers: pa.Table, column: str, setting: Setting) -> np.ndarray:
-    joined = b"".join(a for _, a in _by_shard(answers, 0, column))
-    return np.frombuffer(joined, setting.kind).astype(np.int64)
+    width = np.dtype(setting.kind).itemsize
+    parts = [_whole(a, setting.kind, len(a) // width) for _, a in _by_shard(answers, 0, column)]
+    return np.concatenate(parts).astype(np.int64)
 
 
 def _ask_pairs(setting: Setting):
@@ -190,8 +220,8 @@ def _ask_pairs(setting: Setting):
             second = block.second[mine]
             # Columns of one kind together: they compress better than rows.
             rows.append(
-                _packed(
-                    np.array([len(mine), len(own)], np.int64),
+                np.array([len(mine), len(own)], np.int64).tobytes()
+                + _packed(
                     heads[own].astype(kind),
                     lengths.astype(np.uint32),
                     names[second].astype(kind),
@@ -214,7 +244,7 @@ def _unpacked(blob: bytes, kind: type) -> tuple[np.ndarray, ...]:
     n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     at, out = 16, []
     for size, each in ((m, kind), (m, np.uint32), (n, kind), (n, kind), (n, np.uint32)):
-        out.append(np.frombuffer(blob, each, size, at))
+        out.append(_whole(blob, each, size, at))
         at += size * np.dtype(each).itemsize
     heads, lengths, words, counts, seen = out
     return np.repeat(heads, lengths), words, counts, seen, heads
@@ -226,8 +256,11 @@ def _merged(asked: pa.Table, kind: type) -> tuple[list[tuple], np.ndarray, np.nd
     parts = [_unpacked(b, kind) for b in asked.column("pairs").to_pylist()]
     heads, words, counts, seen = (np.concatenate([p[k] for p in parts]) for k in range(4))
     order = np.lexsort((words, heads))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (heads[order][1:] != heads[order][:-1]) | (words[order][1:] != words[order][:-1])
+    fresh = np.zeros(len(order), bool)
+    for sent in (heads, words):
+        line = sent[order]
+        fresh[1:] |= line[1:] != line[:-1]
+    fresh[:1] = True
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(fresh) - 1
     first = order[fresh]
@@ -264,7 +297,7 @@ def _answer_pairs(setting: Setting):
             own = stats[np.searchsorted(context, part[4])]
             few = own[:, :DISCOUNTED].astype(np.uint32)
             total = totals[which[at : at + size]].astype(np.uint32)
-            answers.append(_packed(hot_stats, few.T.copy(), own[:, DISCOUNTED].copy(), total))
+            answers.append(hot_stats.tobytes() + _packed(few.T.copy(), own[:, DISCOUNTED].copy(), total))
             at += size
         return pa.table(
             {
@@ -309,13 +342,13 @@ def _score(setting: Setting):
             mine, own, _ = block.asked(shard)
             at = hot_stats.size * 8
             hot_stats += np.frombuffer(blob, np.float64, hot_stats.size).reshape(hot_stats.shape)
-            few = np.frombuffer(blob, np.uint32, DISCOUNTED * len(own), at).reshape(DISCOUNTED, -1)
+            few = _whole(blob, np.uint32, DISCOUNTED * len(own), at).reshape(DISCOUNTED, len(own))
             at += few.nbytes
-            seen = np.frombuffer(blob, np.float64, len(own), at)
+            seen = _whole(blob, np.float64, len(own), at)
             at += seen.nbytes
             stats[own, :DISCOUNTED] = few.T
             stats[own, DISCOUNTED] = seen
-            totals[mine] = np.frombuffer(blob, np.uint32, len(mine), at)
+            totals[mine] = _whole(blob, np.uint32, len(mine), at)
         stats[block.hot >= 0] = hot_stats[block.hot[block.hot >= 0]]
         factor = discounts([int(answers.column(f"n{r}")[0].as_py() or 0) for r in range(1, DISCOUNTED + 2)])
         word = setting.share(counts)

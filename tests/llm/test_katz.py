@@ -1,6 +1,7 @@
 import collections
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,18 @@ def test_discounts_are_factors():
     assert K.discounts([100, 30, 14, 8, 5, 3])[0] == 1
     for n in ([100, 30, 14, 8, 5, 3], [0] * 6, [5, 0, 0, 0, 0, 0], [1, 50, 2, 9, 1, 7]):
         assert all(0 < f < 1 for f in K.discounts(n)[1:])
+
+
+def test_small_numbers_take_little_room_in_the_exchange():
+    """Tables of counts come back as they were, and compress to little more than the bytes that differ."""
+    import zlib
+
+    from ledgerlake.llm.katz import _packed, _whole
+
+    counts = np.random.default_rng(1).integers(0, 60_000, 20_000)
+    for kind in (np.uint32, np.uint64, np.float64):
+        blob = _packed(counts.astype(kind), counts[:0].astype(kind), counts[:7].astype(kind))
+        assert (_whole(blob, kind, 20_000) == counts).all()
+        assert len(_whole(blob, kind, 0, 20_000)) == 0
+        assert (_whole(blob, kind, 7, 20_000 * np.dtype(kind).itemsize) == counts[:7]).all()
+    assert len(zlib.compress(_packed(counts.astype(np.uint32)), 1)) < 2.1 * len(counts)
