@@ -139,28 +139,36 @@ def signatures(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     return texts.select("id", "text", "h").mapInArrow(run, SIGNED)
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k1, k2, shingles) of the documents whose ids are wanted, and of a few others."""
+def keyed_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, text) of the documents whose ids are wanted, and of a few others.
+
+    A text compresses to a fraction of its shingles' hashes, so it is what travels; sets are made again where it arrives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in _portions(batches):
-            sets = [s for s in shingle_sets(batch.column(0).to_pylist(), powers) if len(s)]
-            keys = [set_key(s) for s in sets]
+            sets = shingle_sets(batch.column(0).to_pylist(), powers)
+            keep = [i for i, s in enumerate(sets) if len(s)]
+            keys = [set_key(sets[i]) for i in keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _lists(sets)],
-                ["k1", "k2", "shingles"],
+                [
+                    pa.array([k[0] for k in keys], pa.int64()),
+                    pa.array([k[1] for k in keys], pa.int64()),
+                    batch.column(0).take(pa.array(keep, pa.int64())),
+                ],
+                ["k1", "k2", "text"],
             )
 
     near = among(texts.select("id", "text"), wanted.select("id"), ["id"]).where("_hit")
-    return near.select("text").mapInArrow(run, "k1 long, k2 long, shingles array<long>")
+    return near.select("text").mapInArrow(run, "k1 long, k2 long, text string")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are linked, by exact intersection of their sorted arrays.
 
-    The sets are made again from the texts of just these documents, and each travels to the groups that
-    ask for it: one group for every ``GROUP`` members a that one b is compared with.
+    The texts of just these documents travel to the groups that ask for them: one group for every ``GROUP``
+    members a that one b is compared with.
     """
     named = classes.select("node", "id", "k1", "k2")
     groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
@@ -169,17 +177,18 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     heads = groups.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
     asked = members.unionByName(heads.withColumn("member", F.lit(None).cast("long"))).join(named, "node")
     asked = store(asked.select("id", "k1", "k2", "b", "salt", "member"))
-    sent = sets_of(texts, asked.select("id").distinct()).join(asked.drop("id"), ["k1", "k2"])
+    sent = keyed_texts(texts, asked.select("id").distinct()).join(asked.drop("id"), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, head = None, np.empty(0, np.int64)
-        for batch in batches:
-            b, salt, member, shingles = (batch.column(k) for k in range(4))
+        powers, group, head = Powers(), None, np.empty(0, np.uint64)
+        for batch in _portions(batches):
+            b, salt, member, text = (batch.column(k) for k in range(4))
+            sets = shingle_sets(text.to_pylist(), powers)
             first, second = [], []
             for i, key in enumerate(zip(b.to_pylist(), salt.to_pylist(), strict=True)):
-                own = shingles[i].values.to_numpy()
+                own = sets[i]
                 if member[i].as_py() is None:
-                    group, head = key, own.copy()
+                    group, head = key, own
                 elif key == group:
                     common = len(np.intersect1d(own, head, assume_unique=True))
                     if 9 * common >= 4 * (len(own) + len(head)):
@@ -188,7 +197,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
 
     order = ["b", "salt", F.col("member").asc_nulls_first()]
-    ordered = sent.select("b", "salt", "member", "shingles").repartition("b", "salt").sortWithinPartitions(*order)
+    ordered = sent.select("b", "salt", "member", "text").repartition("b", "salt").sortWithinPartitions(*order)
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -280,19 +289,19 @@ def cluster_links(signed: DataFrame, classes: DataFrame, members: DataFrame, tex
     )
     asked = store(rows.join(classes.select("node", "id", "k1", "k2"), "node"))
     wanted = asked.select("id").distinct()
-    sent = sets_of(texts, wanted).join(asked.drop("id"), ["k1", "k2"])
+    sent = keyed_texts(texts, wanted).join(asked.drop("id"), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, split = None, [], [], 0
+        powers, key, nodes, sets, split = Powers(), None, [], [], 0
 
         def done() -> list[tuple[int, int]]:
             # In a group of one block all are compared with all, else the second block's with all others.
             return spanning_links(nodes, sets, split if key[1] != key[2] else 0) if nodes else []
 
-        for batch in batches:
+        for batch in _portions(batches):
             found = []
             columns = [batch.column(c).to_pylist() for c in ("cluster", "low", "high", "second", "node")]
-            shingles = batch.column("shingles")
+            made = shingle_sets(batch.column("text").to_pylist(), powers)
             for i, (cluster, low, high, second, node) in enumerate(zip(*columns, strict=True)):
                 if (cluster, low, high) != key:
                     found += done()
@@ -300,13 +309,13 @@ def cluster_links(signed: DataFrame, classes: DataFrame, members: DataFrame, tex
                 if nodes and nodes[-1] == node:
                     continue  # another document with the same set
                 nodes.append(node)
-                sets.append(shingles[i].values.to_numpy().copy())
+                sets.append(made[i])
                 split += not second
             yield _links(found)
         yield _links(done())
 
     group = ["cluster", "low", "high"]
-    ordered = sent.select(*group, "second", "node", "shingles").repartition(*group).sortWithinPartitions(*group, "second", "node")
+    ordered = sent.select(*group, "second", "node", "text").repartition(*group).sortWithinPartitions(*group, "second", "node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -328,6 +337,24 @@ def _of_classes(signed: DataFrame, classes: DataFrame, column: str) -> DataFrame
     return classes.join(own, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
+def _sided(side: DataFrame, k: int) -> DataFrame:
+    """All columns with a 1 (smaller set of a pair) or a 2."""
+    return side.toDF(*[f"{c}{k}" for c in side.columns])
+
+
+SAME_TILE = "token1 = token2 AND tile1 = tile2"
+
+
+def _meeting(smaller: DataFrame, larger: DataFrame, possible: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of either side that may be linked to one of the other side. No pairs are made."""
+    left, right = _sided(smaller, 1), _sided(larger, 2)
+    on = F.expr(SAME_TILE) & possible
+    near = left.join(right, on, "left_semi").toDF(*smaller.columns).withColumn("side", F.lit(1))
+    far = right.join(left, on, "left_semi").toDF(*larger.columns).withColumn("side", F.lit(2))
+    met = store(near.unionByName(far))
+    return met.where("side = 1").drop("side"), met.where("side = 2").drop("side")
+
+
 def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of different components and without a common cluster that share a prefix shingle and pass the
     bounds. Pairs with a common cluster have been compared."""
@@ -338,7 +365,11 @@ def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame, members:
     rows = own.select("node", "n", "component", "clusters", F.posexplode("prefix").alias("at", "token"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = store(mixed.where("low < high").select("token"))
-    met = among(rows, mixed, ["token"]).where("_hit").drop("_hit").join(mixed, "token")
+    # Of the prefixes only what may be such a shingle is dealt out once more.
+    tokens = signed.select("k1", "k2", F.col("id").alias("_id"), F.posexplode("prefix").alias("at", "token"))
+    hits = among(tokens, mixed, ["token"]).where("_hit").drop("_hit")
+    met = nodes.join(hits, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("_id"))).join(mixed, "token")
+    met = met.select("node", "n", "component", "clusters", "at", "token")
     rows = store(met.withColumn("band", band(F.col("n"))))
     # The smaller set of a pair shares one of its first n / 9 + 1 shingles, and lies in the larger one's band or in
     # the one below. Tiles without a smaller and a larger set of different components have nothing to compare.
@@ -352,12 +383,6 @@ def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame, members:
     )
     both = store(both.where("low < high AND a < b").select("token", "tile"))
     smaller, larger = (among(side, both, ["token", "tile"]).where("_hit").drop("_hit", "band") for side in (smaller, larger))
-    asked = smaller.select("node").unionByName(larger.select("node")).distinct()
-    bitmaps = _of_classes(signed, nodes.join(asked, "node"), "bitmap")
-    bitmaps = store(bitmaps.select("node", "bitmap"))
-    left, right = (side.join(bitmaps, "node") for side in (smaller, larger))
-    left = left.toDF(*[f"{c}1" if c not in ("token", "tile") else c for c in left.columns])
-    right = right.toDF(*[f"{c}2" if c not in ("token", "tile") else c for c in right.columns])
     once = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
     need = 4 * (F.col("n1") + F.col("n2"))
     # At the first shingle that two sets share, all others that they share come later in both prefixes' order.
@@ -366,10 +391,19 @@ def tile_pairs(signed: DataFrame, classes: DataFrame, known: DataFrame, members:
         & once
         & ~F.arrays_overlap("clusters1", "clusters2")
         & (9 * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= need)
+    )
+    # Rows that may be linked so far are few, and only these get bitmaps.
+    sides = _meeting(smaller, larger, possible)
+    asked = sides[0].select("node").unionByName(sides[1].select("node")).distinct()
+    bitmaps = _of_classes(signed, nodes.join(asked, "node"), "bitmap")
+    bitmaps = store(bitmaps.select("node", "bitmap"))
+    left, right = (_sided(side.join(bitmaps, "node"), k) for k, side in enumerate(sides, 1))
+    bounded = (
+        possible
         & (9 * (F.col("n1") - _bound(F.col("bitmap1"), F.col("bitmap2"))) >= need)
         & (9 * (F.col("n2") - _bound(F.col("bitmap2"), F.col("bitmap1"))) >= need)
     )
-    pairs = left.join(right, ["token", "tile"]).where(possible)
+    pairs = left.join(right, F.expr(SAME_TILE) & bounded)
     return pairs.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
 
 

@@ -69,6 +69,26 @@ def test_one_of_each_group_stays(frame, awkward, awkward_rows, nothing):
     assert left == sorted([(None, same), (None, prose(6, 50)), (5, prose(7, 50)), (3, same)], key=str)
 
 
+def test_only_rows_that_meet_get_bitmaps(frame, monkeypatch):
+    """One passage in many different documents makes tiles, but no row of it may be linked to another."""
+    passage = prose(77, 25)
+    rows = [(k, f"{passage} {prose(300 + k, 100)}") for k in range(30)]
+    meeting, met = J._meeting, []
+    monkeypatch.setattr(J, "_meeting", lambda *sides: met.append((sides[:2], meeting(*sides))) or met[0][1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.similar_groups(frame(rows)).collect()}
+    assert got == brute(rows)
+    (before, after), = met
+    assert all("bitmap" not in side.columns for side in before)
+    assert [side.count() for side in after] == [0, 0]
+
+
+def test_texts_travel_and_not_their_sets(frame):
+    texts = J._texts(frame([(1, prose(1, 200)), (2, None), (3, prose(3, 4))]), "doc_id", "text")
+    sent = J.keyed_texts(texts, texts.select("id"))
+    assert sent.columns == ["k1", "k2", "text"]
+    assert {r["text"] for r in sent.collect()} == {prose(1, 200), prose(3, 4)}
+
+
 def test_chains_and_stars_of_links(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(50)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
