@@ -35,7 +35,7 @@ from .shingles import Powers, batches_of, hashed_words
 
 ADDED = 0.1
 DISCOUNTED = 5  # counts up to this are discounted
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 SLICE = 500  # texts of a block that are taken apart at once
 START, END = np.uint64(1), np.uint64(2)  # no word has these hashes but by a chance of 2 ** -64
 
@@ -106,7 +106,7 @@ class Block:
         key *= first + 1
         key += self.word
         order = np.argsort(key)
-        key = key[order]
+        key.sort()
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[1:] != key[:-1]
         key = key[fresh]
@@ -114,20 +114,22 @@ class Block:
         self.pair[order] = np.cumsum(fresh, dtype=np.int32) - 1
         del order, fresh
         learnt = np.repeat(self.train, self.sizes)
-        self.count = np.bincount(self.pair[learnt], minlength=len(key))
+        self.count = np.bincount(self.pair[learnt], minlength=len(key)).astype(np.int32)
         self.context = (key // (first + 1)).astype(np.int32)
         self.second = (key % (first + 1)).astype(np.int32)
+        del key, learnt
         heads, hot = np.append(self.words, START), self.setting.hot
         place = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
         self.hot = np.where(hot[place] == heads, place, -1)  # of each context, its place among the frequent ones
-        owner = self.setting.shard(heads)[self.context]
+        owner = self.setting.shard(heads).astype(np.int32)[self.context]
         is_hot = self.hot[self.context] >= 0
         owner[is_hot] = self.setting.shard(self.words)[self.second[is_hot]]
         seen = np.append(counts, 1) > 0
-        known = np.flatnonzero(seen[self.context] & (counts[self.second] > 0))
-        self.order = known[np.argsort(owner[known], kind="stable")]  # contexts stay together in a shard
+        known = np.flatnonzero(seen[self.context] & (counts[self.second] > 0)).astype(np.int32)
+        owner = owner[known]
+        self.order = known[np.argsort(owner, kind="stable")]  # contexts stay together in a shard
         shards = np.arange((1 << self.setting.bits) + 1)
-        self.cuts = np.searchsorted(owner[self.order], shards)
+        self.cuts = np.append(0, np.cumsum(np.bincount(owner, minlength=len(shards) - 1)))
         # What follows a context matters to its weight even if the block has it before unknown words only.
         own = np.unique(self.context)
         own = own[seen[own] & (self.hot[own] < 0)]
@@ -251,21 +253,25 @@ def _unpacked(blob: bytes, kind: type) -> tuple[np.ndarray, ...]:
 
 
 def _merged(asked: pa.Table, kind: type) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all blocks' pairs: what each block sent; for each pair its distinct pair; the distinct pairs' contexts,
-    words' counts, totals."""
-    parts = [_unpacked(b, kind) for b in asked.column("pairs").to_pylist()]
+    """Of all blocks' pairs: how many each block sent, and its contexts; for each pair its distinct pair; the distinct
+    pairs' contexts, words' counts, totals."""
+    parts = [_unpacked(b.as_py(), kind) for b in asked.column("pairs")]
+    sent = [(len(p[0]), p[4]) for p in parts]
     heads, words, counts, seen = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    del parts
     order = np.lexsort((words, heads))
     fresh = np.zeros(len(order), bool)
-    for sent in (heads, words):
-        line = sent[order]
+    for column in (heads, words):
+        line = column[order]
         fresh[1:] |= line[1:] != line[:-1]
+    del words, line
     fresh[:1] = True
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(fresh) - 1
     first = order[fresh]
+    del order, fresh
     totals = np.bincount(which, weights=seen, minlength=len(first)).astype(np.int64)
-    return parts, which, heads[first], counts[first].astype(np.int64), totals
+    return sent, which, heads[first], counts[first].astype(np.int64), totals
 
 
 def _count_of_counts(setting: Setting):
@@ -282,7 +288,7 @@ def _answer_pairs(setting: Setting):
         parts, which, heads, counts, totals = _merged(asked, setting.kind)
         hot = (setting.last - np.arange(len(setting.hot))).astype(setting.kind)
         known = totals > 0
-        wanted = [part[4] for part in parts]
+        wanted = [own for _, own in parts]
         context, place = np.unique(np.concatenate([heads, hot, *wanted]), return_inverse=True)
         place = place[: len(heads)]
         stats = np.zeros((len(context), DISCOUNTED + 1))
@@ -292,9 +298,8 @@ def _answer_pairs(setting: Setting):
         stats[:, DISCOUNTED] = np.bincount(place[known], weights=shares[known], minlength=len(context))
         hot_stats = stats[np.searchsorted(context, hot)]
         answers, at = [], 0
-        for part in parts:
-            size = len(part[0])
-            own = stats[np.searchsorted(context, part[4])]
+        for size, contexts in parts:
+            own = stats[np.searchsorted(context, contexts)]
             few = own[:, :DISCOUNTED].astype(np.uint32)
             total = totals[which[at : at + size]].astype(np.uint32)
             answers.append(hot_stats.tobytes() + _packed(few.T.copy(), own[:, DISCOUNTED].copy(), total))
@@ -412,7 +417,7 @@ def score(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     texts = rows.where("train").count()
-    bits = max(0, int(np.floor(np.log2(max(1, size / block_bytes)))))
+    bits = max(0, int(np.ceil(np.log2(max(1, size / block_bytes)))))  # a shard gets no more than a block sends
     shards, dealt = 1 << bits, max(1, -(-size // block_bytes))
     # At most ``shards`` words can be that frequent, and the start mark.
     frequent = counts.where((F.col("c") >= tokens / shards) & (F.col("w") != int(END))).select("w").collect()

@@ -91,3 +91,14 @@ def test_small_numbers_take_little_room_in_the_exchange():
         assert len(_whole(blob, kind, 0, 20_000)) == 0
         assert (_whole(blob, kind, 7, 20_000 * np.dtype(kind).itemsize) == counts[:7]).all()
     assert len(zlib.compress(_packed(counts.astype(np.uint32)), 1)) < 2.1 * len(counts)
+
+
+def test_a_shard_holds_no_more_text_than_a_block(frame, monkeypatch):
+    """Pairs of a shard come from as many bytes of text as a block has, at most."""
+    made = []
+    setting = K.Setting
+    monkeypatch.setattr(K, "Setting", lambda *a: made.append(setting(*a)) or made[-1])
+    rows = [(k, prose(k, 100)) for k in range(40)]
+    size = sum(len(t) for _, t in rows)
+    K.score(frame(rows), F.lit(True), block_bytes=size // 3)
+    assert size / (1 << made[0].bits) <= size // 3
