@@ -29,7 +29,7 @@ from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 # Fixed value: how byte-level vocabularies of this family split a text before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose ids a task remembers; beyond it, it forgets them all and starts anew.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
+PORTION = 500  # rows whose texts and ids a task holds at once
 LATER = 1 << 60
 PARTS = ("vocab", "merges", "special")
 
@@ -194,21 +195,29 @@ def compile_tokenizer(path: str) -> Automaton:
 def encode(docs: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """For each row its keys, ``ids`` (little-endian unsigned 32-bit), ``n_tokens`` and ``decoded``.
 
-    One pass without a shuffle. Rows go through in batches; a batch's texts and ids are all that a
+    One pass without a shuffle. Rows go through in portions; a portion's texts and ids are all that a
     task holds beside the tables.
     """
     if clash := {"ids", "n_tokens", "decoded"} & set(keys):
         raise ValueError(f"keys named like results: {sorted(clash)}")
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A worker compiles the vocabulary once and keeps the automaton, with what it remembers, for its next tasks.
         tables = vocabulary.value
         machine = tables.get("machine") or tables.setdefault("machine", Automaton(*(tables[k] for k in PARTS)))
         words = regex.compile(WORD_PATTERN).findall
         for batch in batches:
-            ids = [machine.encode(t or "", words) for t in batch.pop(batch.columns[-1])]
-            yield batch.assign(ids=ids, n_tokens=[len(x) // 4 for x in ids], decoded=[machine.decode(x) for x in ids])
+            for first in range(0, batch.num_rows, PORTION):
+                rows = batch.slice(first, PORTION)
+                *kept, texts = rows.columns
+                ids = [machine.encode(t.as_py() or "", words) for t in texts]
+                made = [
+                    pa.array(ids, pa.binary()),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([machine.decode(x) for x in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*rows.schema.names[:-1], "ids", "n_tokens", "decoded"])
 
     chosen = docs.select(*keys, docs[text].alias("_text"))
     result = T.StructType(
@@ -219,4 +228,4 @@ def encode(docs: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text:
             T.StructField("decoded", T.StringType()),
         ]
     )
-    return chosen.mapInPandas(run, result)
+    return chosen.mapInArrow(run, result)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -50,3 +51,16 @@ def test_awkward_rows_come_back(awkward, awkward_rows, nothing):
     assert bpe.encode(nothing, PATH).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(awkward.withColumnRenamed("id", "ids"), PATH, ["ids"])
+
+
+def test_rows_go_through_in_portions(frame, monkeypatch):
+    """However many rows a batch has, few texts are held at once; keys and order stay together."""
+    rows = [(k, f"text {k}") for k in range(1_200)]
+    caught = []
+    docs = frame(rows).coalesce(1)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run) or self)
+    bpe.encode(docs, PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "_text"])
+    out = list(caught[0](iter([batch])))
+    assert max(b.num_rows for b in out) <= 500 and sum(b.num_rows for b in out) == 1_200
+    assert [(i, t) for b in out for i, t in zip(b.column("doc_id").to_pylist(), b.column("decoded").to_pylist(), strict=True)] == rows
