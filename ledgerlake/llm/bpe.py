@@ -11,7 +11,7 @@ All arcs of one token end in one state, so a state is named by a token; its miss
 splits of that token, of its right part before the token was born, of that one's right part, and so
 on. An arc (token born from its left part) is missing where its left part was missing at its birth.
 Two short walks over the table of splits therefore decide any transition; rows of the transition
-table are filled on first use. The vocabulary is broadcast and each worker compiles it once, in about a
+table are filled on first use, and emptied when it grows long. The vocabulary is broadcast and each worker compiles it once, in about a
 second for 50,000 merges; its size does not depend on the data.
 
 **Encoding** follows arcs from the start of a word, longest labels first. Only one path leads to any
@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 
 # Fixed value: how byte-level vocabularies of this family split a text before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Words whose ids a task remembers; beyond it, it forgets them all and starts anew.
-REMEMBERED_WORDS = 150_000
+# Words whose ids a task remembers as recently met; beyond it, these replace those remembered from before.
+REMEMBERED_WORDS = 50_000
+REMEMBERED_ARCS = 100_000
 PORTION = 500  # rows whose texts and ids a task holds at once
 LATER = 1 << 60
 PARTS = ("vocab", "merges", "special")
@@ -58,6 +59,7 @@ class Automaton:
         self.special = special
         self._table: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
+        self._words_before: dict[str, bytes] = {}
         self.labels = {i: bytes(symbols[c] for c in token) for token, i in vocab.items() if token not in special}
         self.labels |= {i: token.encode() for token, i in special.items()}
         self.parts: dict[int, tuple[int, int]] = {}  # token -> the two tokens it was merged from
@@ -72,15 +74,16 @@ class Automaton:
                 self.splits[a, b] = time
                 self.parts[c], self.born[c] = (a, b), time
                 arcs.add(c)
-        self.ids = {self.labels[t]: t for t in arcs}
-        self.size = {t: len(label) for label, t in self.ids.items()}
+        ids = {self.labels[t]: t for t in arcs}
+        self.size = {t: len(label) for label, t in ids.items()}
         self.longest = max(self.size.values(), default=1)
-        self.prefixes = {label[:n] for label in self.ids for n in range(1, len(label))}
+        # What tokens begin with -> the token of that label, or -1
+        self.pieces = {label[:n]: -1 for label in ids for n in range(1, len(label))} | ids
         self.shorter = {}  # token -> the longest token that it begins with
-        for label, token in self.ids.items():
-            cut = next((label[:n] for n in range(len(label) - 1, 0, -1) if label[:n] in self.ids), None)
+        for label, token in ids.items():
+            cut = next((label[:n] for n in range(len(label) - 1, 0, -1) if label[:n] in ids), None)
             if cut is not None:
-                self.shorter[token] = self.ids[cut]
+                self.shorter[token] = ids[cut]
 
     def follows(self, last: int, token: int) -> bool:
         """Whether the state that ``last`` leads to has an arc ``token``."""
@@ -104,24 +107,22 @@ class Automaton:
         names = sorted(self.special, key=len, reverse=True)
         return regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
-    def _arc(self, last: int, token: int) -> bool:
-        table, key = self._table, last << 32 | token
-        known = table.get(key)
-        if known is None:
-            if len(table) > 4 * REMEMBERED_WORDS:
-                table.clear()
-            known = table[key] = self.follows(last, token)
+    def _fill(self, last: int, token: int) -> bool:
+        table = self._table
+        if len(table) > REMEMBERED_ARCS:
+            table.clear()
+        known = table[last << 32 | token] = self.follows(last, token)
         return known
 
     def _longest(self, word: bytes, start: int) -> int | None:
         """The longest token that the word has at a place."""
-        ids, prefixes, found = self.ids, self.prefixes, None
+        piece, found = self.pieces.get, None
         for end in range(start + 1, min(len(word), start + self.longest) + 1):
-            piece = word[start:end]
-            if piece in ids:
-                found = ids[piece]
-            elif piece not in prefixes:
+            token = piece(word[start:end])
+            if token is None:
                 break
+            if token >= 0:
+                found = token
         return found
 
     def word(self, word: bytes) -> list[int]:
@@ -132,10 +133,14 @@ class Automaton:
         """
         path: list[int] = []
         closed: set[int] = set()
-        at, size, shorter = 0, self.size, self.shorter
+        at, size, shorter, arc = 0, self.size, self.shorter, self._table.get
         token = self._longest(word, 0)
         while at < len(word):
-            while token is not None and (at + size[token] in closed or path and not self._arc(path[-1], token)):
+            while token is not None:
+                if at + size[token] not in closed:
+                    known = not path or arc(path[-1] << 32 | token)
+                    if self._fill(path[-1], token) if known is None else known:
+                        break
                 token = shorter.get(token)
             if token is not None:
                 path.append(token)
@@ -151,13 +156,13 @@ class Automaton:
         return path
 
     def _plain(self, text: str, out: list[bytes], words: Callable[[str], list[str]]) -> None:
-        known = self._words
+        known, before = self._words, self._words_before
         for word in words(text):
             ids = known.get(word)
             if ids is None:
                 if len(known) > REMEMBERED_WORDS:
-                    known.clear()
-                ids = array("I", self.word(word.encode())).tobytes()
+                    self._words, self._words_before = known, before = {}, known
+                ids = before.get(word) or array("I", self.word(word.encode())).tobytes()
                 if len(word) < 100:
                     known[word] = ids
             out.append(ids)
@@ -203,9 +208,13 @@ def encode(docs: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), text:
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A worker compiles the vocabulary once and keeps the automaton, with what it remembers, for its next tasks.
+        # A worker compiles the vocabulary once and keeps the automaton alone, with what it remembers, for its next tasks.
         tables = vocabulary.value
-        machine = tables.get("machine") or tables.setdefault("machine", Automaton(*(tables[k] for k in PARTS)))
+        if "machine" not in tables:
+            machine = Automaton(*(tables[k] for k in PARTS))
+            tables.clear()
+            tables["machine"] = machine
+        machine = tables["machine"]
         words = regex.compile(WORD_PATTERN).findall
         for batch in batches:
             for first in range(0, batch.num_rows, PORTION):

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -64,3 +65,35 @@ def test_rows_go_through_in_portions(frame, monkeypatch):
     out = list(caught[0](iter([batch])))
     assert max(b.num_rows for b in out) <= 500 and sum(b.num_rows for b in out) == 1_200
     assert [(i, t) for b in out for i, t in zip(b.column("doc_id").to_pylist(), b.column("decoded").to_pylist(), strict=True)] == rows
+
+
+def test_a_worker_keeps_the_automaton_without_the_vocabulary(frame, monkeypatch):
+    caught = []
+    docs = frame([(1, "text")])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run) or self)
+    bpe.encode(docs, PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["text"])], ["doc_id", "_text"])
+    for _ in range(2):
+        (out,) = caught[0](iter([batch]))
+        assert out.column("decoded").to_pylist() == ["text"]
+    assert set(inspect.getclosurevars(caught[0]).nonlocals["vocabulary"].value) == {"machine"}
+
+
+def test_words_in_use_stay_known_while_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 20)
+    small = bpe.Automaton({"a": 0, "b": 1, "aa": 2}, [("a", "a")], {})
+    made, real = [], small.word
+    monkeypatch.setattr(small, "word", lambda word: made.append(word) or real(word))
+    rare = [f"{k:b}".replace("0", "a").replace("1", "b") for k in range(256, 456)]
+    for word in rare:
+        ids = small.encode(f"{word} ab", str.split)
+        assert small.decode(ids) == word + "ab"
+        assert len(small._words) + len(small._words_before) <= 2 * (20 + 1)
+    assert made.count(b"ab") == 1 and len(made) == 1 + len(rare)
+
+
+def test_arcs_are_worked_out_again_after_the_table_was_emptied(automaton, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_ARCS", 5)
+    for text in ("eresheonwhtish laenaique", "itatonon thndonenblehe", "eresheonwhtish x"):
+        for word in regex.compile(bpe.WORD_PATTERN).findall(text):
+            assert automaton.word(word.encode()) == library.encode(word, add_special_tokens=False).ids
