@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Fixed value: how byte-level vocabularies of this family split a text before merging.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose ids a task remembers as recently met; beyond it, these replace those remembered from before.
-REMEMBERED_WORDS = 50_000
-REMEMBERED_ARCS = 100_000
+REMEMBERED_WORDS = 110_000
+REMEMBERED_ARCS = 300_000
 PORTION = 500  # rows whose texts and ids a task holds at once
 LATER = 1 << 60
 PARTS = ("vocab", "merges", "special")
@@ -76,9 +76,12 @@ class Automaton:
                 arcs.add(c)
         ids = {self.labels[t]: t for t in arcs}
         self.size = {t: len(label) for label, t in ids.items()}
-        self.longest = max(self.size.values(), default=1)
-        # What tokens begin with -> the token of that label, or -1
-        self.pieces = {label[:n]: -1 for label in ids for n in range(1, len(label))} | ids
+        # What tokens begin with -> twice the longest token that it begins with (-2: none), odd if longer ones begin with it
+        self.pieces: dict[bytes, int] = {}
+        longer = {label[:n] for label in ids for n in range(1, len(label))}
+        for piece in sorted(longer.union(ids), key=len):
+            found = ids.get(piece, self.pieces.get(piece[:-1], -2) >> 1)
+            self.pieces[piece] = 2 * found + (piece in longer)
         self.shorter = {}  # token -> the longest token that it begins with
         for label, token in ids.items():
             cut = next((label[:n] for n in range(len(label) - 1, 0, -1) if label[:n] in ids), None)
@@ -116,14 +119,18 @@ class Automaton:
 
     def _longest(self, word: bytes, start: int) -> int | None:
         """The longest token that the word has at a place."""
-        piece, found = self.pieces.get, None
-        for end in range(start + 1, min(len(word), start + self.longest) + 1):
-            token = piece(word[start:end])
-            if token is None:
+        piece, end = self.pieces.get, start + 3  # most words have three bytes that some token begins with
+        found = piece(word[start:end])
+        while found is None and end > start + 1:
+            end -= 1
+            found = piece(word[start:end])
+        while found is not None and found & 1 and end < len(word):
+            end += 1
+            more = piece(word[start:end])
+            if more is None:
                 break
-            if token >= 0:
-                found = token
-        return found
+            found = more
+        return None if found is None or found < 0 else found >> 1
 
     def word(self, word: bytes) -> list[int]:
         """The ids on the only path that spells the word.
